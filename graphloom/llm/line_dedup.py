@@ -42,14 +42,14 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return words.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, counts: bool = False) -> DataFrame:
-    """docs with the kept lines as text; with counts also n_lines and n_dropped (before any columns so named)."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, counts: bool = False, count_chars: str | None = None) -> DataFrame:
+    """docs with the kept lines as text; with counts also n_lines and n_dropped in front; a column count_chars becomes the length of the new text."""
     marks = drop_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.col("id").alias("__mark_id"), F.col("dropped").alias("__dropped"))
     joined = docs.join(marks, F.col(id_col).eqNullSafe(F.col("__mark_id")), "left")
     kept = F.filter(F.col("__lines"), lambda line, i: F.coalesce(F.element_at("__dropped", F.expr("0L") + F.floor(i / 64)), F.lit(0).cast("long")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) == 0)
     out = joined.withColumn("__lines", lines(F.col(text_col))).withColumn("__kept", F.when(F.col("__dropped").isNull(), F.col("__lines")).otherwise(kept))
     text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
-    cols = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    cols = [text.alias(c) if c == text_col else F.length(text).cast(dict(docs.dtypes)[c]).alias(c) if c == count_chars else F.col(c) for c in docs.columns]
     extra = [F.size("__lines").cast("long").alias("n_lines"), (F.size("__lines") - F.size("__kept")).cast("long").alias("n_dropped")] if counts else []
     return out.select(*extra, *cols)
 

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from graphloom.llm import line_dedup
+from graphloom.llm import bpe, embedding_dedup, imatch, language, line_dedup, packing, quality, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op2_quality": quality.op2_quality,
+    "op3_packing": packing.op3_packing,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
+    "op5_imatch": imatch.op5_imatch,
+    "op6_bpe": bpe.op6_bpe,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_language": language.op9_language,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
+    "op4_embedding_dedup": embedding_dedup.ORACLE,
+    "op5_imatch": imatch.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
