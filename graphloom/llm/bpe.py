@@ -150,7 +150,7 @@ class BytePairs:
         if not rest:
             return self.joined(text)
         inner = self.inner
-        fresh = set(rest) - inner.keys()
+        fresh = {s for s in rest if s not in inner}
         if fresh:
             if len(inner) > MOST:
                 inner.clear()

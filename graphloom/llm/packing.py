@@ -54,7 +54,7 @@ class WordEncoder:
 
     def learn(self, fresh: set[str]) -> None:
         if len(self.known) > self.MOST:  # the memo is bounded; dropping it costs only time
-            self.known = {}
+            self.known.clear()
         parts = {c: m.groups() for c in fresh if (m := self.PARTS.fullmatch(c))}
         words = [*(fresh - parts.keys()), *{p for pair in parts.values() for p in pair if p not in self.known}]
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
@@ -64,12 +64,13 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         stretches = text.replace("\n", " ").split(" ")
-        fresh = set(stretches) - self.known.keys()
+        known = self.known
+        fresh = {s for s in stretches if s not in known}
         if fresh:
             self.learn(fresh)
-            if not self.known.keys() >= set(stretches):
-                self.learn(set(stretches) - self.known.keys())
-        return b"".join(map(self.known.__getitem__, stretches))
+            if again := {s for s in stretches if s not in known}:  # the memo was dropped in between
+                self.learn(again)
+        return b"".join(map(known.__getitem__, stretches))
 
 
 def segments(text: str, size: int = 1 << 20) -> Iterator[str]:

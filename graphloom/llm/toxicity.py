@@ -35,7 +35,7 @@ from graphloom.llm.labelled import fetch, fold, sample
 WINDOW, STRIDE = 60, 44
 #: Bytes of the n-grams that training compares.
 GRAM = 5
-LEVELS = (2, 3, 4, 5)
+LEVELS = (1, 2, 3, 5)
 
 
 def plain(text: str | None) -> bytes:
@@ -85,13 +85,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _grams(data: bytes) -> np.ndarray:
+def _grams(data: bytes, width: int = GRAM) -> np.ndarray:
     a = np.frombuffer(data, np.uint8).astype(np.uint64)
-    if len(a) < GRAM:
+    if len(a) < width:
         return np.zeros(0, np.uint64)
-    v = np.zeros(len(a) - GRAM + 1, np.uint64)
-    for i in range(GRAM):
-        v = (v << np.uint64(8)) | a[i : len(a) - GRAM + 1 + i]
+    v = np.zeros(len(a) - width + 1, np.uint64)
+    for i in range(width):
+        v = (v << np.uint64(8)) | a[i : len(a) - width + 1 + i]
     return v
 
 
@@ -164,6 +164,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
+def distinct(texts: list[bytes], width: int = 8, kept: int = 16) -> list[int]:
+    """Positions of the texts that share under a quarter of their least hashes with those before: copies would pass for evidence."""
+    seen: set[int] = set()
+    out = []
+    for i, t in enumerate(texts):
+        g = _grams(t, width)
+        least = np.unique((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20))[:kept].tolist() if len(g) else [hash(t)]
+        if 4 * sum(h in seen for h in least) < len(least):
+            out.append(i)
+        seen.update(least)
+    return out
+
+
 def _bounded(texts: list[bytes], most: int) -> list[bytes]:
     """Whole texts while they fit in most bytes; a text over a sixteenth of that is passed over."""
     out, size = [], 0
@@ -177,6 +190,10 @@ def _bounded(texts: list[bytes], most: int) -> list[bytes]:
 def fit(texts: list[bytes], y: np.ndarray, max_bytes: int = 8_000_000) -> Model:
     """Half of the rows train the dictionaries, the others the curve."""
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    if not len(y) or y.min() == y.max():
+        return Model(base=base)
+    alone = distinct(texts)
+    texts, y = [texts[i] for i in alone], y[alone]
     if not len(y) or y.min() == y.max():
         return Model(base=base)
     first = [(t, k) for i, (t, k) in enumerate(zip(texts, y, strict=True)) if i % 2 == 0]
