@@ -146,7 +146,7 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def merge_subsets(parts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Subsets that pairs (a, b) connect become one, named by the least of them (union-find)."""
-    c = fixpoint.components(pairs, "a", "b")
+    c = fixpoint.components(pairs, "a", "b", small=500_000)
     return parts.join(c.select(F.col("id").alias("subset"), "component"), "subset", "left").select("id", F.coalesce("component", "subset").alias("subset"))
 
 

@@ -11,13 +11,15 @@ from graphloom.plans import fixpoint
 from graphloom.plans.fixpoint import cut
 
 
+#: Edges that one task joins by union-find; more go by rounds of joins.
+SMALL = 500_000
 #: Distinct weights that union_maximum_forest takes.
 LEVELS = 4096
 
 
 def connected_components(g: Graph) -> DataFrame:
     """(id, component): the smallest id of the node's component; direction is ignored."""
-    found = fixpoint.components(g.edges)
+    found = fixpoint.components(g.edges, small=SMALL)
     return g.nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
@@ -84,7 +86,7 @@ def maximum_forest(g: Graph, jitter: int | None = None) -> DataFrame:
         ends = live.select(F.col("a").alias("c"), "src", "dst", "w", "rank").union(live.select("b", "src", "dst", "w", "rank"))
         picked = cut(ends.groupBy("c").agg(F.max_by(F.struct("src", "dst", "w"), "rank").alias("e")).select("e.*").distinct())
         chosen = picked if chosen is None else cut(chosen.union(picked))
-        comp = fixpoint.components(chosen)
+        comp = fixpoint.components(chosen, small=SMALL)
         live = cut(edges.join(comp.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(comp.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").where("a <> b").select("src", "dst", "w", "rank", "a", "b"))
     return chosen if chosen is not None else g.edges.where("false")
 
@@ -109,7 +111,7 @@ def _path_minimum(g: Graph, forest: DataFrame) -> DataFrame:
     for w in weights:
         if open_edges.isEmpty():
             break
-        comp = fixpoint.components(forest.where(F.col("w") >= w))
+        comp = fixpoint.components(forest.where(F.col("w") >= w), small=SMALL)
         met = open_edges.join(comp.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(comp.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").where("a = b").select("src", "dst", F.lit(w).alias("low"))
         met = cut(met)
         found = met if found is None else found.union(met)
