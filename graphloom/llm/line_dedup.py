@@ -6,8 +6,8 @@ bitmap of the lines to drop (64 lines a word, only words with a bit set), never
 
 Defined cases: a null or empty text is one empty line; a null doc_id can hold lines but is no
 document of its own for the count and never the keeper, so its repeated lines go wherever the key is
-repeated enough; rows that repeat a doc_id count as one document and keep or lose a line alike; other
-columns pass through untouched.
+repeated enough; rows that repeat a doc_id count as one document, and each of them loses its own
+lines; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -29,23 +29,23 @@ def key(line: Column) -> Column:
 
 
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(id, dropped): for each document that loses lines, a map from word number to 64 drop bits."""
-    said = docs.select(F.col(id_col).alias("id"), F.posexplode(lines(F.col(text_col))).alias("at", "line"))
-    said = said.select("id", "at", key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
+    """(id, t, dropped): for each document (id, hash t of its text) that loses lines, a map from word number to 64 drop bits."""
+    said = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(lines(F.col(text_col))).alias("at", "line"))
+    said = said.select("id", "t", "at", key(F.col("line")).alias("k")).where(F.length("k") >= min_chars)
     # Two independent 64-bit hashes stand for the key: 128 bits do not collide at corpus size.
-    hashed = said.select(F.xxhash64("k").alias("h"), F.xxhash64(F.lit(1), "k").alias("g"), "id", "at")
+    hashed = said.select(F.xxhash64("k").alias("h"), F.xxhash64(F.lit(1), "k").alias("g"), "id", "t", "at")
     dealt = hashed.repartitionByRange("h", "g", "id", "at").sortWithinPartitions("h", "g", "id", "at")
     firsts = dealt.groupBy("h", "g", "id").agg(F.count(F.lit(1)).alias("n"))
     repeated = firsts.groupBy("h", "g").agg(F.count("id").alias("docs"), F.max("id").alias("keeper")).where(F.col("docs") >= min_docs).select("h", "g", "keeper")
     lost = hashed.join(repeated, ["h", "g"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
-    words = lost.groupBy("id", F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, at % 64))").alias("bits"))
-    return words.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    words = lost.groupBy("id", "t", F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, at % 64))").alias("bits"))
+    return words.groupBy("id", "t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, counts: bool = False, count_chars: str | None = None) -> DataFrame:
     """docs with the kept lines as text; with counts also n_lines and n_dropped in front; a column count_chars becomes the length of the new text."""
-    marks = drop_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.col("id").alias("__mark_id"), F.col("dropped").alias("__dropped"))
-    joined = docs.join(marks, F.col(id_col).eqNullSafe(F.col("__mark_id")), "left")
+    marks = drop_bitmaps(docs, id_col, text_col, min_chars, min_docs).select(F.col("id").alias("__mark_id"), F.col("t").alias("__mark_t"), F.col("dropped").alias("__dropped"))
+    joined = docs.join(marks, F.col(id_col).eqNullSafe(F.col("__mark_id")) & (F.xxhash64(text_col) == F.col("__mark_t")), "left")
     kept = F.filter(F.col("__lines"), lambda line, i: F.coalesce(F.element_at("__dropped", F.expr("0L") + F.floor(i / 64)), F.lit(0).cast("long")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)) == 0)
     out = joined.withColumn("__lines", lines(F.col(text_col))).withColumn("__kept", F.when(F.col("__dropped").isNull(), F.col("__lines")).otherwise(kept))
     text = F.when(F.col("__dropped").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n"))
