@@ -19,6 +19,7 @@ columns are unread, and the filter passes them through.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -196,9 +197,10 @@ def fit(texts: list[bytes], y: np.ndarray, max_bytes: int = 8_000_000) -> Model:
     texts, y = [texts[i] for i in alone], y[alone]
     if not len(y) or y.min() == y.max():
         return Model(base=base)
-    first = [(t, k) for i, (t, k) in enumerate(zip(texts, y, strict=True)) if i % 2 == 0]
+    half = [zlib.crc32(t) >> 7 & 1 for t in texts]
+    first = [(t, k) for t, k, h in zip(texts, y, half, strict=True) if h]
     model = Model(*dictionaries(_bounded([t for t, k in first if k], max_bytes), _bounded([t for t, k in first if not k], max_bytes)))
-    rest = [(t, k) for i, (t, k) in enumerate(zip(texts, y, strict=True)) if i % 2]
+    rest = [(t, k) for t, k, h in zip(texts, y, half, strict=True) if not h]
     toxic, ordinary = _bounded([t for t, k in rest if k], max_bytes), _bounded([t for t, k in rest if not k], max_bytes)
     if not toxic or not ordinary:
         return Model(base=base)
