@@ -307,7 +307,7 @@ def _stream_daily(s, d):
     from graphloom.streaming import fold
 
     out = fold.windowed(fx.table(s, d, "events"))
-    return out.select("opened", "event_type", "events", F.round("total", 4).alias("total"))
+    return out.select(F.col("opened").cast("timestamp_ntz").alias("opened"), "event_type", "events", F.round("total", 4).alias("total"))
 
 
 # -- algebra

@@ -216,13 +216,13 @@ def edge_list_partition(spark: SparkSession, path: str, separator: str = "\t", f
 
 def cover(spark: SparkSession, path: str) -> DataFrame:
     """(id, subset): a line lists a subset's members."""
-    return lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.explode(F.split(F.trim("value"), r"\s+")).cast("long").alias("id"), F.col("line").alias("subset"))
+    return lines(spark, path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(F.explode(F.split(F.trim("value"), r"\s+").cast("array<bigint>")).alias("id"), F.col("line").alias("subset"))
 
 
 def edge_list_cover(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
     """(id, subset): a line is a node and its subsets."""
     p = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select((p.getItem(0).cast("long") - first).alias("id"), F.explode(F.slice(p, 2, 1 << 30)).cast("long").alias("subset"))
+    return spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select((p.getItem(0).cast("long") - first).alias("id"), F.explode(F.slice(p, 2, 1 << 30).cast("array<bigint>")).alias("subset"))
 
 
 def events(spark: SparkSession, path: str, first: int = 0) -> DataFrame:

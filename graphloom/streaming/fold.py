@@ -16,16 +16,20 @@ def read_events(spark: SparkSession, path: str, pattern: str = "events.parquet")
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").parquet(path)
 
 
+def _timed(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def windowed(events: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "1 hour", keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """Counts and sums by tumbling or sliding event-time windows; events later than `late` are let go."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    agg = events.withWatermark("ts", late).groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
+    agg = _timed(events, late).groupBy(w.alias("w"), *keys).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
     return agg.select(F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), *keys, "events", "total")
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """Sessions of each user: runs of events without a pause of gap."""
-    agg = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("events"))
+    agg = _timed(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("events"))
     return agg.select("user_id", F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "events")
 
 
