@@ -16,6 +16,7 @@ segments; repeated rows and equal ids are packed as separate documents; an empty
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from math import ceil
@@ -39,9 +40,18 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class WordEncoder:
     """Little-endian uint32 ids of a text, by a tokenizers file that drops white space; equal to encoding it whole."""
 
-    #: A word and trailing marks: the tokenizer's pattern always parts them, so each is encoded once.
-    PARTS = re.compile(r"([A-Za-z0-9]+)([.,!?;:$#%&*|]+)")
-    MOST = 1 << 19
+    #: A word and trailing marks: the tokenizer's pattern always parts them, so each is encoded once. Latin letters that
+    #: neither composition nor lower case (İ) turns into a letter and a mark.
+    PARTS = re.compile("([0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,!?;:$#%&*|]+)")
+    MOST = 1 << 20
+    #: One for each vocabulary in a Python worker, so tasks after the first start with what it knows.
+    made: dict[str, WordEncoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordEncoder:
+        if path not in cls.made:
+            cls.made[path] = cls(path)
+        return cls.made[path]
 
     def __init__(self, path: str):
         import os
@@ -58,7 +68,7 @@ class WordEncoder:
         parts = {c: m.groups() for c in fresh if (m := self.PARTS.fullmatch(c))}
         words = [*(fresh - parts.keys()), *{p for pair in parts.values() for p in pair if p not in self.known}]
         for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+            self.known[w] = struct.pack(f"<{len(i)}I", *i) if (i := e.ids) else b""
         for c, (a, b) in parts.items():
             self.known[c] = self.known[a] + self.known[b]
 
@@ -96,7 +106,7 @@ def tokenised(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = WordEncoder.of(path)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
