@@ -86,6 +86,15 @@ class Prefixes:
 
 
 class BytePairs:
+    #: One for each vocabulary in a Python worker, so tasks after the first start with what it knows.
+    made: dict[tuple[str, str], BytePairs] = {}
+
+    @classmethod
+    def of(cls, path: str, pattern: str) -> BytePairs:
+        if (path, pattern) not in cls.made:
+            cls.made[path, pattern] = cls(load_ranks(path), pattern)
+        return cls.made[path, pattern]
+
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
@@ -94,8 +103,12 @@ class BytePairs:
         self.find = regex.compile(pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\p{White_Space}\p{L}\p{N}]").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.split = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?= [^\s\x1c-\x1f\x85])").split
         self.longest = max(map(len, ranks))
+        self.reach: dict[bytes, int] = {}
+        for t in ranks:
+            if len(t) > 2:
+                self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 2))
         self.alone: dict[int, bool] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, str] = {}
         self.inner: dict[str, str | None] = {}
         self.names = {v: str(v) for v in ranks.values()}
@@ -107,32 +120,63 @@ class BytePairs:
             if ok is None:
                 ok = self.alone[token] = merge(self.bytes_of[token], self.ranks) == [token]
             return ok
-        ok = self.pairs.get((before, token))
+        key = before << 32 | token
+        ok = self.pairs.get(key)
         if ok is None:
-            if len(self.pairs) > 4 * MOST:
+            if len(self.pairs) > 2 * MOST:
                 self.pairs.clear()
-            ok = self.pairs[before, token] = self.fits(-1, token) and merge(self.bytes_of[before] + self.bytes_of[token], self.ranks) == [before, token]
+            ok = self.pairs[key] = self.fits(-1, token) and merge(self.bytes_of[before] + self.bytes_of[token], self.ranks) == [before, token]
         return ok
 
     def extend(self, data: bytes, last: list[int]) -> None:
         """Add the entries of last (entry i: the last token of the first i bytes) that data still lacks."""
-        get, fits = self.ranks.get, self.fits
+        get, fits, known, reach = self.ranks.get, self.fits, self.pairs.get, self.reach.get
         for end in range(len(last), len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
+            # no token with these last three bytes is longer
+            far = reach(data[end - 3 : end], 2) if end > 2 else end
+            for start in range(max(0, end - far), end):
                 token = get(data[start:end])
-                if token is not None and fits(last[start], token):
-                    last.append(token)
-                    break
+                if token is not None:
+                    before = last[start]
+                    ok = known(before << 32 | token)
+                    if ok or ok is None and fits(before, token):
+                        last.append(token)
+                        break
             else:
                 raise ValueError(f"no token ends at byte {end}")
 
+    def last_of(self, data: bytes, end: int, last: dict[int, int]) -> int:
+        """The last token of the first end bytes; only the shorter prefixes that it asks about are entered."""
+        get, known = self.ranks.get, self.pairs.get
+        far = self.reach.get(data[end - 3 : end], 2) if end > 2 else end
+        for start in range(max(0, end - far), end):
+            token = get(data[start:end])
+            if token is not None:
+                before = last[start] if start in last else self.last_of(data, start, last)
+                ok = known(before << 32 | token)
+                if ok or ok is None and self.fits(before, token):
+                    last[end] = token
+                    return token
+        raise ValueError(f"no token ends at byte {end}")
+
+    def ids_of(self, data: bytes) -> list[int]:
+        """The encoding of a piece: the table from its end backwards, or from its start if it is long."""
+        if len(data) > 300:
+            return Prefixes(self, data).ids()
+        last, at, out = {0: -1}, len(data), []
+        while at:
+            token = last[at] if at in last else self.last_of(data, at, last)
+            out.append(token)
+            at -= len(self.bytes_of[token])
+        return out[::-1]
+
     def piece(self, piece: str) -> str:
         """Decimal ids of one match of the pattern, joined by commas."""
         got = self.pieces.get(piece)
         if got is None:
             data = piece.encode()
             whole = self.ranks.get(data)
-            got = str(whole) if whole is not None else ",".join(map(self.names.__getitem__, Prefixes(self, data).ids()))
+            got = str(whole) if whole is not None else ",".join(map(self.names.__getitem__, self.ids_of(data)))
             if len(self.pieces) > MOST:
                 self.pieces.clear()
             if len(piece) < 64:
@@ -177,7 +221,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, columns: tuple[st
     """doc_id and the asked-for columns: ids, decoded (their bytes), n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = BytePairs(load_ranks(path), pattern)
+        bpe = BytePairs.of(path, pattern)
         schema = pa.schema([("doc_id", pa.int64()), *((c, COLUMNS[c]) for c in columns)])
         for batch in batches:
             rows: dict[str, list] = {c: [] for c in columns}
