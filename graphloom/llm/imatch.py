@@ -68,11 +68,12 @@ def fingerprint(text: Column, chains: Column, size: int) -> Column:
 
     def signature(k: Column, all_terms: Column) -> Column:
         kept = F.filter(all_terms, lambda e: F.call_function("shiftright", e["m"], k).bitwiseAND(F.lit(1).cast("long")) == 1)
-        return F.when(F.size(kept) == 0, F.lit("-" * WIDTH)).otherwise(F.substring(F.md5(F.array_join(F.transform(kept, lambda e: e["t"]), " ").cast("binary")), 1, WIDTH))
+        joined = F.array_join(kept["t"], " ")
+        return F.element_at(F.transform(F.array(joined), lambda s: F.when(s == "", F.lit("-" * WIDTH)).otherwise(F.substring(F.md5(s.cast("binary")), 1, WIDTH))), 1)
 
-    # one-element transform: binds the sorted terms once for all subsets
-    rows = F.transform(F.array(F.array_sort(known)), lambda ts: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: signature(k, ts)), ""))
-    return F.when(F.element_at(rows, 1) == "-" * (WIDTH * SUBSETS), F.concat(F.lit("text:"), F.md5(text.cast("binary")))).otherwise(F.element_at(rows, 1))
+    # transforms of one element: they bind the sorted terms, and then the joined signatures, so that each is evaluated once
+    joined = F.transform(F.array(F.array_sort(known)), lambda ts: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: signature(k, ts)), ""))
+    return F.element_at(F.transform(joined, lambda s: F.when(s == "-" * (WIDTH * SUBSETS), F.concat(F.lit("text:"), F.md5(text.cast("binary")))).otherwise(s)), 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
