@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.jaccard import groups
 from graphloom.plans.fixpoint import components, cut
 
 #: Keys with more fingerprints than this go by single-bit neighbours instead of pairs.
@@ -99,10 +100,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(grouped, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each group: that with the group's smallest id, once if its row repeats; null ids go when their group has another."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias(id_col)).distinct()
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """docs with one document of each group of texts whose shingles are similar by num / den or more: that with the group's smallest id, once if its row repeats; null ids go when their group has another."""
+    found = groups(docs, id_col, text_col, width, num, den)
+    kept = found.groupBy("component").agg(F.min("doc_id").alias(id_col)).select(id_col).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi").dropDuplicates([id_col])
 
 

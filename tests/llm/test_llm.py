@@ -89,6 +89,40 @@ def test_simhash_filter_and_empty(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def plain_shingles(text, width=5):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+
+
+def near_copies(seed=21):
+    """Texts with near copies about a similarity of 0.8, a large group of them, and a passage that many hold."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    text = lambda k: [word() for _ in range(k)]
+
+    def edited(words, k):
+        words = list(words)
+        for _ in range(k):
+            words[rng.randrange(len(words))] = word()
+        return words
+
+    out, hot, passage = [], text(120), text(30)
+    for _ in range(40):
+        base = text(rng.randint(30, 200))
+        out += [base, *(edited(base, rng.randint(1, max(1, len(base) // 30))) for _ in range(2))]
+    out += [edited(hot, rng.randint(1, 3)) for _ in range(80)] + [[*text(40), *passage, *text(10)] for _ in range(60)] + [edited([*passage, *text(2)], 1) for _ in range(30)]
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_keep_first_leaves_no_near_copy(spark):
+    rows = near_copies()
+    sets = [plain_shingles(t) for _, t in rows]
+    alike = [(a, b) for a in range(len(rows)) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    up = connect(len(rows), alike)
+    assert len(set(up)) < len(rows) - 60
+    assert sorted(r.doc_id for r in simhash.keep_first(docs(spark, rows)).collect()) == sorted(set(up))
+
+
 # -- 2, 7, 9
 def held_out(spark, frame, label, sf=SMALL):
     l = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", label)
