@@ -101,10 +101,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs with one document of each group of texts whose shingles are similar by num / den or more: that with the group's smallest id, once if its row repeats; null ids go when their group has another."""
+    """docs with one row of each group of texts whose shingles are similar by num / den or more: that with the group's least (id, hash of the text), once if it repeats; null ids come after all others."""
     found = groups(docs, id_col, text_col, width, num, den)
-    kept = found.groupBy("component").agg(F.min("doc_id").alias(id_col)).select(id_col).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi").dropDuplicates([id_col])
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    kept = found.groupBy("component").agg(F.min(row).alias("r")).select(F.col("r.doc_id").alias("__id"), F.col("r.t").alias("__t"))
+    of_row = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__t_of") == F.col("__t"))
+    return docs.withColumn("__t_of", F.xxhash64(text_col)).join(kept, of_row, "left_semi").dropDuplicates([id_col, "__t_of"]).drop("__t_of")
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:

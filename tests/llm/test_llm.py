@@ -123,6 +123,14 @@ def test_keep_first_leaves_no_near_copy(spark):
     assert sorted(r.doc_id for r in simhash.keep_first(docs(spark, rows)).collect()) == sorted(set(up))
 
 
+def test_keep_first_chooses_rows_of_null_and_repeated_ids(spark):
+    one, two, three, four, five = (" ".join(f"{c}{i}" for i in range(12)) for c in "abcde")
+    rows = [(None, one), (None, two), (None, two), (None, three), (7, three), (9, one), (5, four), (5, five), (5, five), (6, five), (None, None), (8, "")]
+    kept = simhash.keep_first(docs(spark, rows)).collect()
+    want = [(None, two), (7, three), (9, one), (5, four), (5, five), (8, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept))) == sorted(map(str, want))
+
+
 # -- 2, 7, 9
 def held_out(spark, frame, label, sf=SMALL):
     l = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", label)
