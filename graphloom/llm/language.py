@@ -20,10 +20,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.labelled import fetch, fold
+from graphloom.plans.fixpoint import cut
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
@@ -151,7 +152,16 @@ def fit(w: np.ndarray, y: np.ndarray, names: list[str], dims: int = 6, filters:
 def train(docs: DataFrame, folds: int = 4, held_out: int = 2, max_rows: int = 4000, per_doc: int = 4, longest: int = 1 << 20) -> Network:
     """From at most max_rows documents of at most `longest` bytes, the first by a hash of their id in each language in turn."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (fold("doc_id", folds) != held_out) & (F.octet_length("text").between(1, longest)))
-    chosen = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    known = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"), F.shiftright(F.xxhash64("doc_id"), 48).alias("part"))
+    # the share of the hashes that holds a language's first max_rows documents: no task sorts a whole language
+    known = cut(known)
+    so_far = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = known.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+    last = parts.where(F.col("before") < max_rows).groupBy("lang").agg(F.max("part").alias("last"))
+    # a row for each language
+    few = known.join(F.broadcast(last), "lang").where("part <= last")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    chosen = few.select("doc_id", "lang", "h", turn.alias("turn")).orderBy("turn", "h", "doc_id").limit(max_rows)
     # at most max_rows ids
     rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").where("lang is not null and text is not null")
 

@@ -198,6 +198,14 @@ def test_language_edge_cases(spark):
     assert by_id(language.predictions(d, none))[1].lang_pred == "und"
 
 
+def test_language_learns_a_rare_language(spark):
+    rows = [(i, f"the usual words number {i}", "en") for i in range(3000)] + [(i, f"harvinaiset sanat {i}", "fi") for i in range(3000, 3006)] + [(i, f"les mots {i}", "fr") for i in range(4000, 4200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language.train(d, max_rows=60)
+    assert net.names == ["en", "fi", "fr"]
+    assert language.train(d, max_rows=3).names == net.names
+
+
 # -- 3
 def test_word_encoder_is_exact():
     e = packing.WordEncoder.of(packing.vocabulary())
