@@ -1,20 +1,21 @@
 """Operator 7: toxicity by compression distance under two zstandard dictionaries.
 
-Two raw-content dictionaries are trained, one on toxic and one on ordinary text. Each begins with the
-stretches that its class has significantly more often than the other (byte n-grams whose document
-frequencies differ, joined where they overlap) and both end with the same stretches common to all
-text, so a window without telling stretches compresses to the same length under either. Documents are
-cut into overlapping windows short enough that literals stay uncoded; a window's distance is its
-length under the ordinary dictionary less that under the toxic one. How many windows reach each of
-a few distances, and how densely, gives the score through a logistic curve that is calibrated on
-the training rows; the thresholds it weighs are part of the fit.
-
-The model is fitted on the driver from at most max_rows labelled documents and max_bytes of their
-text per class; every document is scored in whole, where it lies.
+Each class's dictionary is trained by zstandard, on the stretches that the class has significantly more
+often than the other (every occurrence of runs of byte n-grams whose document frequencies differ; all
+windows of the toxic class where nothing tells). Both end with what is trained on the windows of ordinary
+text, for toxic text is ordinary text with something added: a window without telling stretches compresses
+to the same length under either.
+Documents are cut into overlapping windows short enough that literals stay uncoded; a window's distance
+is its length under the ordinary dictionary less that under the toxic one. How many windows reach each
+of a few distances, and how densely, gives the score through a logistic curve. It is calibrated by
+cross-fitting: the evidence of each fold of the training rows comes from dictionaries of the others.
+
+The model is fitted on the driver from at most max_rows labelled documents; every document is scored in
+whole, where it lies.
 
 Defined cases: null and empty texts have no windows and score as such; a null id is never held out;
-without labelled rows, or with one class, the score is the smoothed share of label 1 for all. Other
-columns are unread, and the filter passes them through.
+without labelled rows, or with one class in a fold's complement, the score is the smoothed share of
+label 1 for all. Other columns are unread, and the filter passes them through.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 from graphloom.llm.labelled import fetch, fold, sample
 
 WINDOW, STRIDE = 60, 44
-#: Bytes of the n-grams that training compares.
-GRAM = 5
-LEVELS = (1, 2, 3, 5)
+#: Widths of the byte n-grams that training compares.
+GRAMS = (5, 8)
+LEVELS = (1, 2, 3, 4, 5, 6, 8)
 
 
 def plain(text: str | None) -> bytes:
@@ -48,7 +49,7 @@ def windows(data: bytes) -> list[bytes]:
 
 
 def _compressor(content: bytes) -> zstd.ZstdCompressor:
-    how = zstd.ZstdCompressionParameters(window_log=16, hash_log=13, chain_log=13, search_log=4, min_match=4, target_length=32, strategy=zstd.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    how = zstd.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=4, target_length=32, strategy=zstd.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
     words = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
     words.precompute_compress(compression_params=how)
     return zstd.ZstdCompressor(dict_data=words, compression_params=how)
@@ -86,7 +87,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _grams(data: bytes, width: int = GRAM) -> np.ndarray:
+def _grams(data: bytes, width: int) -> np.ndarray:
     a = np.frombuffer(data, np.uint8).astype(np.uint64)
     if len(a) < width:
         return np.zeros(0, np.uint64)
@@ -96,61 +97,76 @@ def _grams(data: bytes, width: int = GRAM) -> np.ndarray:
     return v
 
 
-def _document_frequency(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    found = [np.unique(_grams(t)) for t in texts]
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
-
-
-def _stretches(texts: list[bytes], chosen: np.ndarray, least: int = 3) -> Counter:
-    """How often each run of overlapping chosen n-grams occurs."""
-    out: Counter = Counter()
-    for t in texts:
-        g = _grams(t)
-        if not len(g) or not len(chosen):
-            continue
-        at = np.minimum(np.searchsorted(chosen, g), len(chosen) - 1)
-        hit = np.flatnonzero(chosen[at] == g)
-        if len(hit):
-            cuts = np.flatnonzero(np.diff(hit) > 1) + 1
-            for run in np.split(hit, cuts):
-                out[t[run[0] : run[-1] + GRAM]] += 1
-    return Counter({s: n for s, n in out.items() if n >= least and len(s) <= 48})
-
-
-def _content(stretches: Counter, most: int) -> bytes:
-    """The stretches that save most, those that save most last (their matches are nearest)."""
-    out, size = [], 0
-    for s, n in sorted(stretches.items(), key=lambda x: (-x[1] * (len(x[0]) - 3), x[0])):
-        if any(s in t for t in out):
-            continue
-        if size + len(s) > most:
-            break
-        out.append(s)
-        size += len(s)
-    return b"".join(out[::-1])
-
-
-def dictionaries(toxic: list[bytes], ordinary: list[bytes], z: float = 5.0, own: int = 6000, common: int = 8000) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary."""
-    (ga, na), (gb, nb) = _document_frequency(toxic), _document_frequency(ordinary)
-    both = np.union1d(ga, gb)
-    a, b = np.zeros(len(both)), np.zeros(len(both))
-    a[np.searchsorted(both, ga)], b[np.searchsorted(both, gb)] = na, nb
-    p, q = (a + 0.5) / (len(toxic) + 1), (b + 0.5) / (len(ordinary) + 1)
-    mean = (a + b + 1) / (len(toxic) + len(ordinary) + 2)
-    gap = (p - q) / np.sqrt(mean * (1 - mean) * (1 / (len(toxic) + 1) + 1 / (len(ordinary) + 1)))
-    own_toxic = _content(_stretches(toxic, both[(gap > z) & (p > 3 * q)]), own)
-    own_ordinary = _content(_stretches(ordinary, both[(gap < -z) & (q > 3 * p)]), own)
-    parts = [w for t in ordinary[:2000] for w in windows(t[:4000])]
-    shared = b""
-    if len(parts) >= 200:
-        try:
-            shared = zstd.train_dictionary(common, parts, k=48, d=6).as_bytes()[-common:]
-        except zstd.ZstdError:
-            shared = b"".join(parts)[-common:]
-    width = max(len(own_toxic), len(own_ordinary), 8)
-    # own stretches in front: what is common lies at the same distance from a window under both
-    return own_toxic.rjust(width, b"\0") + shared, own_ordinary.rjust(width, b"\0") + shared
+def _unique(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    s = np.sort(values)
+    return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
+
+
+def _trained(samples: list[bytes], size: int, k: int, d: int = 6) -> bytes:
+    """A dictionary of at most size bytes that zstandard trains from samples; their own last bytes where they are too few for it."""
+    if sum(map(len, samples)) < 8:
+        return b"".join(samples)
+    try:
+        return zstd.train_dictionary(size, samples, k=k, d=d).as_bytes()[-size:]
+    except zstd.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+class Telling:
+    """Byte n-grams whose document frequencies differ between the classes, for any choice of folds."""
+
+    def __init__(self, texts: list[bytes], y: np.ndarray, folds: np.ndarray):
+        self.texts, self.y, self.folds = texts, y, folds
+        self.values, self.counts = {}, {}
+        for width in GRAMS:
+            found = [_unique(_grams(t, width)) for t in texts]
+            sizes = [len(f) for f in found]
+            self.values[width], inverse = np.unique(np.concatenate(found), return_inverse=True)
+            cell = np.repeat(2 * folds + y, sizes)
+            n = len(self.values[width])
+            self.counts[width] = np.bincount(cell * n + inverse, minlength=2 * (folds.max() + 1) * n).reshape(-1, 2, n)
+
+    def stretches(self, without: int | None, z: float, times: float) -> tuple[list[bytes], list[bytes]]:
+        """Every occurrence of runs of telling n-grams in texts of the ordinary and in those of the toxic class, fold `without` left out."""
+        used = self.folds != without
+        n0, n1 = int((used & (self.y == 0)).sum()), int((used & (self.y == 1)).sum())
+        chosen: tuple[dict, dict] = ({}, {})
+        for width, counts in self.counts.items():
+            b, a = (counts[[f for f in range(len(counts)) if f != without]].sum(0)).astype(float)
+            p, q, mean = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1), (a + b + 1) / (n0 + n1 + 2)
+            gap = (p - q) / np.sqrt(mean * (1 - mean) * (1 / (n0 + 1) + 1 / (n1 + 1)))
+            chosen[1][width] = self.values[width][(gap > z) & (p > times * q) & (a > 2)]
+            chosen[0][width] = self.values[width][(gap < -z) & (q > times * p) & (b > 2)]
+        return tuple([s for i in np.flatnonzero(used & (self.y == c)) for s in self._runs(self.texts[i], chosen[c])] for c in (0, 1))
+
+    @staticmethod
+    def _runs(text: bytes, chosen: dict[int, np.ndarray]) -> list[bytes]:
+        edge = np.zeros(len(text) + 1, np.int32)
+        for width, values in chosen.items():
+            if len(values) and len(text) >= width:
+                g = _grams(text, width)
+                at = np.minimum(np.searchsorted(values, g), len(values) - 1)
+                hit = np.flatnonzero(values[at] == g)
+                np.add.at(edge, hit, 1)
+                np.add.at(edge, hit + width, -1)
+        inside = np.r_[0, (np.cumsum(edge) > 0).astype(np.int8)]
+        step = np.diff(inside)
+        return [text[i:j] for i, j in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
+
+
+def dictionaries(telling: Telling, without: int | None = None, z: float = 6.0, times: float = 4.0, own: int = 6000, common: int = 8000, most: int = 16_000_000) -> tuple[bytes, bytes]:
+    """Contents of the toxic and the ordinary dictionary, from all folds but one."""
+    used = telling.folds != without
+    of = [[w for i in np.flatnonzero(used & (telling.y == c)) for w in windows(telling.texts[i])] for c in (0, 1)]
+    shared = _trained(of[0][:: max(1, -(-WINDOW * len(of[0]) // most))], common, 48)
+    said = telling.stretches(without, z, times)
+    # a small sample may tell nothing: then all windows of the class stand in
+    toxic_own = _trained(said[1] or of[1], own, 24)
+    ordinary_own = _trained(said[0], own, 24) if said[0] else b""
+    width = max(len(toxic_own), len(ordinary_own))
+    # own parts in front: what is ordinary lies at the same distance from a window under both
+    return toxic_own.rjust(width, b"\0") + shared, ordinary_own.rjust(width, b"\0") + shared
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -165,55 +181,46 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
     return w[:-1], float(w[-1])
 
 
-def distinct(texts: list[bytes], width: int = 8, kept: int = 16) -> list[int]:
-    """Positions of the texts that share under a quarter of their least hashes with those before: copies would pass for evidence."""
-    seen: set[int] = set()
+def distinct(texts: list[bytes], width: int = 8, kept: int = 24) -> list[int]:
+    """Positions of the texts that share under half of their least hashes with any one before: copies would pass for evidence."""
+    at: dict[int, set[int]] = {}  # hash to the kept texts that it or their copies hold
     out = []
     for i, t in enumerate(texts):
         g = _grams(t, width)
-        least = np.unique((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20))[:kept].tolist() if len(g) else [hash(t)]
-        if 4 * sum(h in seen for h in least) < len(least):
+        least = _unique(g * np.uint64(0x9E3779B97F4A7C15))[:kept].tolist() if len(g) else [zlib.crc32(t)]
+        shared = Counter(j for h in least for j in at.get(h, ()))
+        like, n = shared.most_common(1)[0] if shared else (i, 0)
+        if 2 * n < len(least):
+            like = i
             out.append(i)
-        seen.update(least)
-    return out
-
-
-def _bounded(texts: list[bytes], most: int) -> list[bytes]:
-    """Whole texts while they fit in most bytes; a text over a sixteenth of that is passed over."""
-    out, size = [], 0
-    for t in texts:
-        if len(t) <= most // 16 and size + len(t) <= most:
-            out.append(t)
-            size += len(t)
+        for h in least:
+            at.setdefault(h, set()).add(like)
     return out
 
 
-def fit(texts: list[bytes], y: np.ndarray, max_bytes: int = 8_000_000) -> Model:
-    """Half of the rows train the dictionaries, the others the curve."""
+def fit(texts: list[bytes], y: np.ndarray, folds: int = 4) -> Model:
+    """Dictionaries from all rows; the curve from evidence that each fold's rows give under dictionaries of the other folds."""
+    y = np.asarray(y, int)
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
-    if not len(y) or y.min() == y.max():
-        return Model(base=base)
     alone = distinct(texts)
     texts, y = [texts[i] for i in alone], y[alone]
-    if not len(y) or y.min() == y.max():
-        return Model(base=base)
-    half = [zlib.crc32(t) >> 7 & 1 for t in texts]
-    first = [(t, k) for t, k, h in zip(texts, y, half, strict=True) if h]
-    model = Model(*dictionaries(_bounded([t for t, k in first if k], max_bytes), _bounded([t for t, k in first if not k], max_bytes)))
-    rest = [(t, k) for t, k, h in zip(texts, y, half, strict=True) if not h]
-    toxic, ordinary = _bounded([t for t, k in rest if k], max_bytes), _bounded([t for t, k in rest if not k], max_bytes)
-    if not toxic or not ordinary:
+    fold = np.array([(zlib.crc32(t) >> 7) % folds for t in texts], int)
+    if not len(y) or any(len(set(y[fold != f])) < 2 for f in range(folds)):
         return Model(base=base)
-    w, b = _logistic(np.array([model.evidence(t) for t in [*toxic, *ordinary]]), np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))])
-    model.weights, model.base = w.tolist(), b
-    return model
-
-
-def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, max_rows: int = 8000, max_bytes: int = 8_000_000) -> Model:
-    """From at most max_rows labelled rows; a text over a sixteenth of max_bytes is not learned from."""
-    rows = sample(docs, labels, "toxic", folds, held_out, max_rows).where(F.octet_length("text") <= max_bytes // 16)
-    pdf = fetch(rows.select("doc_id", "y", "text"))
-    return fit([plain(t) for t in pdf["text"]], pdf["y"].to_numpy(), max_bytes)
+    telling = Telling(texts, y, fold)
+    evidence = np.zeros((len(y), 2 * len(LEVELS)))
+    for f in range(folds):
+        model = Model(*dictionaries(telling, f))
+        for i in np.flatnonzero(fold == f):
+            evidence[i] = model.evidence(texts[i])
+    w, b = _logistic(evidence, y)
+    return Model(*dictionaries(telling), w.tolist(), b)
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, max_rows: int = 8000, max_text: int = 500_000) -> Model:
+    """From at most max_rows labelled rows, drawn by a hash; a text over max_text bytes is not learned from."""
+    pdf = fetch(sample(docs.where(F.octet_length("text") <= max_text), labels, "toxic", folds, held_out, max_rows))
+    return fit([plain(t) for t in pdf["text"]], pdf["y"].to_numpy())
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

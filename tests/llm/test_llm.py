@@ -181,6 +181,54 @@ def test_toxicity_finds_its_stretches():
     assert toxicity.fit([], np.zeros(0)).score("x") == 0.5
 
 
+def plain_toxicity(model, text):
+    """The score by its definition: each window is compressed anew under each dictionary."""
+    import math
+
+    import zstandard
+
+    data = (text or "").lower().encode()
+    how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def length(content, window):
+        words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        words.precompute_compress(compression_params=how)
+        return len(zstandard.ZstdCompressor(dict_data=words, compression_params=how).compress(window))
+
+    reach, at = dict.fromkeys(toxicity.LEVELS, 0), 0
+    while data and (at == 0 or at < len(data) - 16):
+        w = data[at : at + 60]
+        d = length(model.ordinary, w) - length(model.toxic, w)
+        for k in reach:
+            reach[k] += d >= k
+        at += 44
+    z = model.base
+    for i, n in enumerate(reach.values()):
+        z += model.weights[2 * i] * math.log(1 + n) + model.weights[2 * i + 1] * math.sqrt(1000 * n / (len(data) + 200))
+    return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+
+def test_toxicity_equals_brute_force(spark):
+    d = spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id", "text")
+    small = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = toxicity.train(small, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    rows = [(r.doc_id, r.text) for r in d.orderBy("doc_id").limit(25).collect()] + [(None, "you idiot"), (-1, None), (-2, ""), (-3, "é" * 30000), (-3, "a"), (-4, "trash " * 3000)]
+    got = sorted((str(r.doc_id), r.score) for r in toxicity.scores(docs(spark, rows), model).collect())
+    want = sorted((str(i), plain_toxicity(model, t)) for i, t in rows)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-9)
+    assert toxicity.scores(docs(spark, []), model).count() == 0
+
+
+def test_labelled_sample_is_bounded(spark):
+    from graphloom.llm.labelled import fetch, sample
+
+    d = docs(spark, [(1, "same")] * 40 + [(i, f"text {i}") for i in range(2, 30)] + [(None, "x")])
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 5000)] + [(1, 0), (None, 1), (5, None)], "doc_id long, quality int")
+    assert sample(d, labels, "quality", 5, 0, 10).count() == 10
+    everything = fetch(sample(d, labels, "quality", 5, 0, 1000))
+    assert set(everything.doc_id) == {i for i in range(1, 30) if zlib.crc32(str(i).encode()) % 5} and (everything.y == 1).all()
+
+
 def test_language_held_out(spark):
     out = language.op9_language(spark, SMALL)
     lang = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang")
