@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, embedding_dedup, imatch, language, line_dedup, packing, quality, simhash, toxicity, warc
 
@@ -386,6 +387,25 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(four, counts=True).where("n_dropped > 0").count() == 0
 
 
+def test_line_dedup_streams_in_the_order_of_its_deal(spark):
+    d = docs(spark, some(14))
+    plan = line_dedup.first_occurrences(line_dedup.hashes(d, min_chars=1))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(h" in plan and "hashpartitioning" not in plan
+    assert plan.count("Sort [h") == 1 and plan.index("Window") < plan.index("rangepartitioning")
+    marked = line_dedup.first_occurrences(line_dedup.hashes(docs(spark, [(1, "aa\nbb\naa"), (1, "aa"), (2, "aa"), (None, "aa")]), min_chars=1)).collect()
+    assert sum(r["first"] for r in marked) == 3 and len(marked) == 6
+
+
+def test_line_dedup_odd_documents(spark):
+    line = "the same long line in far too many documents"
+    rows = [(1, "\n".join([line] * 200)), (2, "\n".join([line, "own"] * 70)), (3, line), (3, line), (4, line), (5, "x " * 30000), (6, line), (7, line + "\n" + line)]
+    d = docs(spark, rows).withColumn("n_lines", F.lit("mine")).withColumn("__bits_of", F.lit(1))
+    got = sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(d, counts=True).collect())
+    want = [(i, t if i in (5, 7) else "\n".join(x for x in t.split("\n") if x != line), t.count("\n") + 1, 0 if i in (5, 7) else t.split("\n").count(line)) for i, t in rows]
+    assert got == sorted(want)
+    assert line_dedup.dedup_lines(d).columns == d.columns
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "x" * 200
     rows = [(5, "http://a/ü", big), (3, "http://b", big), (9, None, big), (4, "http://c", None), (6, "u\r\nX: y", "small"), (7, "v", "small"), (8, "w", "\r\n\r\n" + "é" * 60), (3, "http://b", big), (None, "n", big)]
