@@ -1,10 +1,10 @@
 """Operator 7: toxicity by compression distance under two zstandard dictionaries.
 
-Each class's dictionary is trained by zstandard, on the stretches that the class has significantly more
-often than the other (every occurrence of runs of byte n-grams whose document frequencies differ; all
-windows of the toxic class where nothing tells). Both end with what is trained on the windows of ordinary
-text, for toxic text is ordinary text with something added: a window without telling stretches compresses
-to the same length under either.
+The ordinary dictionary is trained by zstandard on windows of ordinary text. The toxic one is trained on
+the stretches that toxic text has significantly more often (every occurrence of runs of byte n-grams whose
+document frequencies differ; all its windows where nothing tells) and ends with the ordinary one, for toxic
+text is ordinary text with something added: a window without telling stretches compresses to the same
+length under either.
 Documents are cut into overlapping windows short enough that literals stay uncoded; a window's distance
 is its length under the ordinary dictionary less that under the toxic one. How many windows reach each
 of a few distances, and how densely, gives the score through a logistic curve. It is calibrated by
@@ -103,6 +103,14 @@ def _unique(values: np.ndarray) -> np.ndarray:
     return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
+def _held(values: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Positions in sorted values of those that are in g, sorted and distinct."""
+    if not len(values):
+        return np.zeros(0, int)
+    at = np.minimum(np.searchsorted(values, g), len(values) - 1)
+    return at[values[at] == g]
+
+
 def _trained(samples: list[bytes], size: int, k: int, d: int = 6) -> bytes:
     """A dictionary of at most size bytes that zstandard trains from samples; their own last bytes where they are too few for it."""
     if sum(map(len, samples)) < 8:
@@ -114,31 +122,31 @@ def _trained(samples: list[bytes], size: int, k: int, d: int = 6) -> bytes:
 
 
 class Telling:
-    """Byte n-grams whose document frequencies differ between the classes, for any choice of folds."""
+    """Byte n-grams that toxic texts have oftener than ordinary ones, for any choice of folds."""
 
     def __init__(self, texts: list[bytes], y: np.ndarray, folds: np.ndarray):
         self.texts, self.y, self.folds = texts, y, folds
         self.values, self.counts = {}, {}
         for width in GRAMS:
-            found = [_unique(_grams(t, width)) for t in texts]
-            sizes = [len(f) for f in found]
-            self.values[width], inverse = np.unique(np.concatenate(found), return_inverse=True)
-            cell = np.repeat(2 * folds + y, sizes)
-            n = len(self.values[width])
-            self.counts[width] = np.bincount(cell * n + inverse, minlength=2 * (folds.max() + 1) * n).reshape(-1, 2, n)
-
-    def stretches(self, without: int | None, z: float, times: float) -> tuple[list[bytes], list[bytes]]:
-        """Every occurrence of runs of telling n-grams in texts of the ordinary and in those of the toxic class, fold `without` left out."""
+            said = np.concatenate([_unique(_grams(texts[i], width)) for i in np.flatnonzero(y)])
+            values, n = np.unique(said, return_counts=True)
+            values = values[n > 2]
+            counts = np.zeros((int(folds.max()) + 1, 2, len(values)), np.int32)
+            for t, c, f in zip(texts, y, folds, strict=True):
+                counts[f, c, _held(values, _unique(_grams(t, width)))] += 1
+            self.values[width], self.counts[width] = values, counts
+
+    def stretches(self, without: int | None, z: float, times: float) -> list[bytes]:
+        """Every occurrence of runs of telling n-grams in toxic texts, fold `without` left out."""
         used = self.folds != without
         n0, n1 = int((used & (self.y == 0)).sum()), int((used & (self.y == 1)).sum())
-        chosen: tuple[dict, dict] = ({}, {})
+        chosen = {}
         for width, counts in self.counts.items():
             b, a = (counts[[f for f in range(len(counts)) if f != without]].sum(0)).astype(float)
             p, q, mean = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1), (a + b + 1) / (n0 + n1 + 2)
             gap = (p - q) / np.sqrt(mean * (1 - mean) * (1 / (n0 + 1) + 1 / (n1 + 1)))
-            chosen[1][width] = self.values[width][(gap > z) & (p > times * q) & (a > 2)]
-            chosen[0][width] = self.values[width][(gap < -z) & (q > times * p) & (b > 2)]
-        return tuple([s for i in np.flatnonzero(used & (self.y == c)) for s in self._runs(self.texts[i], chosen[c])] for c in (0, 1))
+            chosen[width] = self.values[width][(gap > z) & (p > times * q) & (a > 2)]
+        return [s for i in np.flatnonzero(used & (self.y == 1)) for s in self._runs(self.texts[i], chosen)]
 
     @staticmethod
     def _runs(text: bytes, chosen: dict[int, np.ndarray]) -> list[bytes]:
@@ -155,18 +163,15 @@ class Telling:
         return [text[i:j] for i, j in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
 
 
-def dictionaries(telling: Telling, without: int | None = None, z: float = 6.0, times: float = 4.0, own: int = 6000, common: int = 8000, most: int = 16_000_000) -> tuple[bytes, bytes]:
-    """Contents of the toxic and the ordinary dictionary, from all folds but one."""
-    used = telling.folds != without
-    of = [[w for i in np.flatnonzero(used & (telling.y == c)) for w in windows(telling.texts[i])] for c in (0, 1)]
-    shared = _trained(of[0][:: max(1, -(-WINDOW * len(of[0]) // most))], common, 48)
-    said = telling.stretches(without, z, times)
+def dictionaries(telling: Telling, without: int | None = None, z: float = 6.0, times: float = 4.0, own: int = 6000, common: int = 8000, most: int = 8_000_000) -> tuple[bytes, bytes]:
+    """Contents of the toxic and the ordinary dictionary, from all folds but one; the latter from at most `most` bytes of windows, evenly drawn."""
+    of = [[telling.texts[i] for i in np.flatnonzero((telling.folds != without) & (telling.y == c))] for c in (0, 1)]
+    every = max(1, -(-sum(map(len, of[0])) * WINDOW // (STRIDE * most)))
+    ordinary = _trained([w for t in of[0] for w in windows(t)[zlib.crc32(t) % every :: every]], common, 48)
     # a small sample may tell nothing: then all windows of the class stand in
-    toxic_own = _trained(said[1] or of[1], own, 24)
-    ordinary_own = _trained(said[0], own, 24) if said[0] else b""
-    width = max(len(toxic_own), len(ordinary_own))
-    # own parts in front: what is ordinary lies at the same distance from a window under both
-    return toxic_own.rjust(width, b"\0") + shared, ordinary_own.rjust(width, b"\0") + shared
+    toxic = _trained(telling.stretches(without, z, times) or [w for t in of[1] for w in windows(t)], own, 24)
+    # the toxic part in front: what is ordinary lies at the same distance from a window under both
+    return toxic + ordinary, b"\0" * len(toxic) + ordinary
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -183,7 +188,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndar
 
 def distinct(texts: list[bytes], width: int = 8, kept: int = 24) -> list[int]:
     """Positions of the texts that share under half of their least hashes with any one before: copies would pass for evidence."""
-    at: dict[int, set[int]] = {}  # hash to the kept texts that it or their copies hold
+    at: dict[int, list[int]] = {}  # hash to the kept texts that it or their copies hold
     out = []
     for i, t in enumerate(texts):
         g = _grams(t, width)
@@ -194,7 +199,9 @@ def distinct(texts: list[bytes], width: int = 8, kept: int = 24) -> list[int]:
             like = i
             out.append(i)
         for h in least:
-            at.setdefault(h, set()).add(like)
+            held = at.setdefault(h, [])
+            if like not in held:
+                held.append(like)
     return out
 
 
