@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,11 @@ from graphloom.graph import Graph
 from graphloom.operators import algebra, centrality, community, components, distance, dynamic, generators, hyperbolic, linkpred, matching, sparsify, stats, traversal
 from graphloom.operators import triangles as tri
 from graphloom.plans import fixtures as fx
+from graphloom.plans.fixpoint import shared_dir
 from graphloom.plans.fixtures import sql
+from graphloom.sources import readers, writers
+from graphloom.sources.readers import read_graph, read_graphs
+from graphloom.sources.writers import convert, write_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +42,11 @@ def pp(s, d):
     return fx.co_orders(s, d)
 
 
+def ppc(s, d):
+    """pp, derived once for plans that read it several times."""
+    return pp(s, d).cut()
+
+
 def pp2(s, d):
     return fx.co_orders(s, d, 2).cut()
 
@@ -98,29 +108,29 @@ query("bfs_forest")(lambda s, d: components.bfs_forest(pp2(s, d)))
 # -- triangles
 _TRI = ", tr as (select a.src, a.dst, count(*) as t from e a join bo x on x.src = a.src join bo y on y.src = a.dst and y.dst = x.dst group by 1, 2), ts as (select e.src, e.dst, e.w, coalesce(t, 0)::bigint as t, a.deg as du, b.deg as dv from e left join tr on tr.src = e.src and tr.dst = e.dst join deg a on a.id = e.src join deg b on b.id = e.dst)"
 _LCC = f"{_TRI}, nt as (select id, sum(t) / 2 as t from (select src as id, t from ts union all select dst, t from ts) group by id), lc as (select deg.id, deg, coalesce(t, 0) as t, case when deg > 1 then 2.0 * coalesce(t, 0) / (deg * (deg - 1)) else 0.0 end as lcc from deg left join nt on nt.id = deg.id)"
-query("lcc_topk", sql("pp", f"{_LCC} select id, round(lcc, 6) as lcc from lc order by round(lcc, 9) desc, id limit 20"))(lambda s, d: _round(tri.local_clustering(pp(s, d)).orderBy(F.round("lcc", 9).desc(), "id").limit(20), "lcc"))
-query("local_clustering", sql("pp", f"{_LCC} select id, round(lcc, 6) as lcc from lc"))(lambda s, d: _round(tri.local_clustering(pp(s, d)), "lcc"))
-query("global_clustering", sql("pp", f"{_LCC} select round(sum(2.0 * t) / sum(deg * (deg - 1)), 6) as closed, round(avg(lcc) filter (where deg > 1), 6) as mean_local from lc"))(lambda s, d: _round(tri.global_clustering(pp(s, d)), "closed", "mean_local"))
+query("lcc_topk", sql("pp", f"{_LCC} select id, round(lcc, 6) as lcc from lc order by round(lcc, 9) desc, id limit 20"))(lambda s, d: _round(tri.local_clustering(ppc(s, d)).orderBy(F.round("lcc", 9).desc(), "id").limit(20), "lcc"))
+query("local_clustering", sql("pp", f"{_LCC} select id, round(lcc, 6) as lcc from lc"))(lambda s, d: _round(tri.local_clustering(ppc(s, d)), "lcc"))
+query("global_clustering", sql("pp", f"{_LCC} select round(sum(2.0 * t) / sum(deg * (deg - 1)), 6) as closed, round(avg(lcc) filter (where deg > 1), 6) as mean_local from lc"))(lambda s, d: _round(tri.global_clustering(ppc(s, d)), "closed", "mean_local"))
 query("clustering_sampled")(lambda s, d: tri.sampled_clustering(pp2(s, d), 2000))
-query("triangle_edge_score", sql("pp", f"{_TRI} select src, dst, t from ts"))(lambda s, d: tri.triangle_scores(pp(s, d)))
+query("triangle_edge_score", sql("pp", f"{_TRI} select src, dst, t from ts"))(lambda s, d: tri.triangle_scores(ppc(s, d)))
 query("quadrangle_edge_score", sql("pp2", ", q as (select e.src, e.dst, count(*) as q from e join bo x on x.src = e.src and x.dst <> e.dst join bo y on y.src = e.dst and y.dst <> e.src join bo z on z.src = x.dst and z.dst = y.dst where x.dst <> y.dst group by 1, 2) select e.src, e.dst, coalesce(q, 0)::bigint as q from e left join q on q.src = e.src and q.dst = e.dst"))(lambda s, d: tri.quadrangle_scores(pp2(s, d)))
-query("edge_scan", sql("pp", f"{_TRI} select src, dst, round((t + 1) / sqrt((du + 1.0) * (dv + 1.0)), 6) as score from ts"))(lambda s, d: _round(tri.scan_similarity(pp(s, d)), "score"))
-query("edge_jaccard", sql("pp", f"{_TRI} select src, dst, round(1 - t / (du + dv - t)::double, 6) as score from ts"))(lambda s, d: _round(tri.jaccard_distance(pp(s, d)), "score"))
-query("edge_chance_corrected", sql("pp", f"{_TRI} select src, dst, round(case when t > 0 then t * ((select count(*) from nodes) - 2) / ((du - 1.0) * (dv - 1.0)) when du = 1 or dv = 1 then 1.0 else 0.0 end, 6) as score from ts"))(lambda s, d: _round(tri.chance_corrected(pp(s, d)), "score"))
-query("edge_adamic_adar", sql("pp", ", tr as (select a.src, a.dst, sum(1 / ln(deg)) as s from e a join bo x on x.src = a.src join bo y on y.src = a.dst and y.dst = x.dst join deg on deg.id = x.dst group by 1, 2) select e.src, e.dst, round(1 / s, 6) as score from e left join tr on tr.src = e.src and tr.dst = e.dst"))(lambda s, d: _round(tri.adamic_adar_distance(pp(s, d)), "score"))
+query("edge_scan", sql("pp", f"{_TRI} select src, dst, round((t + 1) / sqrt((du + 1.0) * (dv + 1.0)), 6) as score from ts"))(lambda s, d: _round(tri.scan_similarity(ppc(s, d)), "score"))
+query("edge_jaccard", sql("pp", f"{_TRI} select src, dst, round(1 - t / (du + dv - t)::double, 6) as score from ts"))(lambda s, d: _round(tri.jaccard_distance(ppc(s, d)), "score"))
+query("edge_chance_corrected", sql("pp", f"{_TRI} select src, dst, case when t > 0 then t * ((select count(*) from nodes) - 2) / ((du - 1)::double * (dv - 1)::double) when du = 1 or dv = 1 then 1.0 else 0.0 end as score from ts"))(lambda s, d: tri.chance_corrected(ppc(s, d)))
+query("edge_adamic_adar", sql("pp", ", tr as (select a.src, a.dst, sum(1 / ln(deg)) as s from e a join bo x on x.src = a.src join bo y on y.src = a.dst and y.dst = x.dst join deg on deg.id = x.dst group by 1, 2) select e.src, e.dst, round(1 / s, 6) as score from e left join tr on tr.src = e.src and tr.dst = e.dst"))(lambda s, d: _round(tri.adamic_adar_distance(ppc(s, d)), "score"))
 
 
 def _weights(g: Graph) -> DataFrame:
     return g.edges.select("src", "dst", F.col("w").alias("score"))
 
 
-query("edge_geometric_mean", sql("pp", " select e.src, e.dst, round(e.w / sqrt(a.wdeg * b.wdeg), 6) as score from e join deg a on a.id = e.src join deg b on b.id = e.dst"))(lambda s, d: _round(tri.geometric_mean(g := pp(s, d), _weights(g)), "score"))
-query("edge_normalize", sql("pp", " select src, dst, round(1 - (w - (select min(w) from e)) / ((select max(w) from e) - (select min(w) from e)), 6) as score from e"))(lambda s, d: _round(tri.normalized(_weights(pp(s, d)), invert=True), "score"))
-query("edge_linearize", sql("pp", " select src, dst, round((row_number() over (order by w, src, dst) - 1) / (count(*) over () - 1)::double, 6) as score from e"))(lambda s, d: _round(tri.linearized(_weights(pp(s, d))), "score"))
-query("edge_blend", sql("pp", " select src, dst, case when w >= 2 then 10 * w else w end as score from e"))(lambda s, d: tri.blended(w := _weights(g := pp(s, d)), w.withColumn("score", 10 * F.col("score")), g.edges.where("w >= 2")))
-query("edge_as_weight", sql("pp", f"{_TRI} select src, dst, 1.0 + 2.0 * t as w from ts"))(lambda s, d: tri.as_weight(g := pp(s, d), tri.triangle_scores(g).withColumnRenamed("t", "score"), 1.0, 2.0).edges)
+query("edge_geometric_mean", sql("pp", " select e.src, e.dst, round(e.w / sqrt(a.wdeg * b.wdeg), 6) as score from e join deg a on a.id = e.src join deg b on b.id = e.dst"))(lambda s, d: _round(tri.geometric_mean(g := ppc(s, d), _weights(g)), "score"))
+query("edge_normalize", sql("pp", " select src, dst, round(1 - (w - (select min(w) from e)) / ((select max(w) from e) - (select min(w) from e)), 6) as score from e"))(lambda s, d: _round(tri.normalized(_weights(ppc(s, d)), invert=True), "score"))
+query("edge_linearize", sql("pp", " select src, dst, round((row_number() over (order by w, src, dst) - 1) / (count(*) over () - 1)::double, 6) as score from e"))(lambda s, d: _round(tri.linearized(_weights(ppc(s, d))), "score"))
+query("edge_blend", sql("pp", " select src, dst, case when w >= 2 then 10 * w else w end as score from e"))(lambda s, d: tri.blended(w := _weights(g := ppc(s, d)), w.withColumn("score", 10 * F.col("score")), g.edges.where("w >= 2")))
+query("edge_as_weight", sql("pp", f"{_TRI} select src, dst, 1.0 + 2.0 * t as w from ts"))(lambda s, d: tri.as_weight(g := ppc(s, d), tri.triangle_scores(g).withColumnRenamed("t", "score"), 1.0, 2.0).edges)
 query("edge_modularity_scoring", sql("pp", " select e.src, e.dst, round(e.w / t - a.wdeg / (2 * t) * b.wdeg / (2 * t), 9) as score from e join deg a on a.id = e.src join deg b on b.id = e.dst, (select sum(w) as t from e)"))(
-    lambda s, d: (lambda g: _round(tri.with_degrees(g, g.edges).join(F.broadcast(g.edges.agg(F.sum("w").alias("t")))).select("src", "dst", (F.col("w") / F.col("t") - F.col("su") / (2 * F.col("t")) * F.col("sv") / (2 * F.col("t"))).alias("score")), "score", by=9))(pp(s, d))
+    lambda s, d: (lambda g: _round(tri.with_degrees(g, g.edges).join(F.broadcast(g.edges.agg(F.sum("w").alias("t")))).select("src", "dst", (F.col("w") / F.col("t") - F.col("su") / (2 * F.col("t")) * F.col("sv") / (2 * F.col("t"))).alias("score")), "score", by=9))(ppc(s, d))
 )
 query("edge_prefix_jaccard")(lambda s, d: _round(tri.prefix_jaccard(g := pp2(s, d), _weights(g)), "score"))
 
@@ -128,22 +138,22 @@ query("edge_prefix_jaccard")(lambda s, d: _round(tri.prefix_jaccard(g := pp2(s,
 _SIDE = ", si as (select src as ego, dst as alter, {v} as score from {t} union all select dst, src, {v} from {t})"
 _LR = "case when d = 1 then 1.0 else 1 - ln(r) / ln(d) end"
 _BEST = " select least(ego, alter) as src, greatest(ego, alter) as dst, round(max(v), 6) as score from rk group by 1, 2"
-query("sparsify_local_degree", sql("pp", f", rk as (select ego, alter, {_LR} as v from (select bo.src as ego, bo.dst as alter, rank() over (partition by bo.src order by deg desc) as r, count(*) over (partition by bo.src) as d from bo join deg on deg.id = bo.dst)){_BEST}"))(lambda s, d: _round(sparsify.local_degree(pp(s, d)), "score"))
-query("sparsify_local_filter", sql("pp", f"{_SIDE.format(v='w', t='e')}, rk as (select ego, alter, {_LR} as v from (select ego, alter, rank() over (partition by ego order by score desc) as r, count(*) over (partition by ego) as d from si)){_BEST}"))(lambda s, d: _round(sparsify.local_filter(g := pp(s, d), _weights(g)), "score"))
-query("sparsify_local_similarity", sql("pp", f"{_TRI}{_SIDE.format(v='t / (du + dv - t)::double', t='ts')}, rk as (select ego, alter, {_LR} as v from (select ego, alter, row_number() over (partition by ego order by score desc, alter) as r, count(*) over (partition by ego) as d from si)){_BEST}"))(lambda s, d: _round(sparsify.local_similarity(pp(s, d)), "score"))
-query("sparsify_multiscale", sql("pp", " select e.src, e.dst, round(greatest(1 - pow(1 - e.w / a.wdeg, a.deg - 1), 1 - pow(1 - e.w / b.wdeg, b.deg - 1)), 6) as score from e join deg a on a.id = e.src join deg b on b.id = e.dst"))(lambda s, d: _round(sparsify.multiscale(pp(s, d)), "score"))
+query("sparsify_local_degree", sql("pp", f", rk as (select ego, alter, {_LR} as v from (select bo.src as ego, bo.dst as alter, rank() over (partition by bo.src order by deg desc) as r, count(*) over (partition by bo.src) as d from bo join deg on deg.id = bo.dst)){_BEST}"))(lambda s, d: _round(sparsify.local_degree(ppc(s, d)), "score"))
+query("sparsify_local_filter", sql("pp", f"{_SIDE.format(v='w', t='e')}, rk as (select ego, alter, {_LR} as v from (select ego, alter, rank() over (partition by ego order by score desc) as r, count(*) over (partition by ego) as d from si)){_BEST}"))(lambda s, d: _round(sparsify.local_filter(g := ppc(s, d), _weights(g)), "score"))
+query("sparsify_local_similarity", sql("pp", f"{_TRI}{_SIDE.format(v='t / (du + dv - t)::double', t='ts')}, rk as (select ego, alter, {_LR} as v from (select ego, alter, row_number() over (partition by ego order by score desc, alter) as r, count(*) over (partition by ego) as d from si)){_BEST}"))(lambda s, d: _round(sparsify.local_similarity(ppc(s, d)), "score"))
+query("sparsify_multiscale", sql("pp", " select e.src, e.dst, round(greatest(1 - pow(1 - e.w / a.wdeg, a.deg - 1), 1 - pow(1 - e.w / b.wdeg, b.deg - 1)), 6) as score from e join deg a on a.id = e.src join deg b on b.id = e.dst"))(lambda s, d: _round(sparsify.multiscale(ppc(s, d)), "score"))
 query("sparsify_simmelian_overlap", sql("pp", f"{_TRI}{_SIDE.format(v='t', t='ts')}, tp as (select ego, alter from (select ego, alter, row_number() over (partition by ego order by score desc, alter desc) as p from si) where p <= 10) select e.src, e.dst, coalesce(n, 0)::double as score from e left join (select e.src, e.dst, count(*) as n from e join tp a on a.ego = e.src join tp b on b.ego = e.dst and b.alter = a.alter group by 1, 2) q on q.src = e.src and q.dst = e.dst"))(
-    lambda s, d: sparsify.simmelian_overlap(g := pp(s, d), tri.triangle_scores(g).withColumnRenamed("t", "score"), 10)
+    lambda s, d: sparsify.simmelian_overlap(g := ppc(s, d), tri.triangle_scores(g).withColumnRenamed("t", "score"), 10)
 )
-query("sparsify_threshold", sql("pp", f"{_TRI} select src, dst, w from ts where t >= 8"))(lambda s, d: sparsify.triangle_sparsifier(pp(s, d), 8.0).edges)
-query("sparsify_random", sql("pp", f" select src, dst, w from e where {uniform_sql('edge0', 'src', 'dst')} >= 0.5"))(lambda s, d: sparsify.random_sparsifier(pp(s, d), 0.5).edges)
-query("sparsify_to_size", sql("pp", " select src, dst, w from e order by w desc, src, dst limit (select round_even(count(*) * 0.1, 0)::bigint from e)"))(lambda s, d: sparsify.to_size(g := pp(s, d), _weights(g), 0.1).edges)
-query("sparsify_scan", sql("pp", f"{_TRI} select src, dst, w from ts where (t + 1) / sqrt((du + 1.0) * (dv + 1.0)) >= 0.1003"))(lambda s, d: sparsify.scan_sparsifier(pp(s, d), 0.1003).edges)
+query("sparsify_threshold", sql("pp", f"{_TRI} select src, dst, w from ts where t >= 8"))(lambda s, d: sparsify.triangle_sparsifier(ppc(s, d), 8.0).edges)
+query("sparsify_random", sql("pp", f" select src, dst, w from e where {uniform_sql('edge0', 'src', 'dst')} >= 0.5"))(lambda s, d: sparsify.random_sparsifier(ppc(s, d), 0.5).edges)
+query("sparsify_to_size", sql("pp", " select src, dst, w from e order by w desc, src, dst limit (select round_even(count(*) * 0.1, 0)::bigint from e)"))(lambda s, d: sparsify.to_size(g := ppc(s, d), _weights(g), 0.1).edges)
+query("sparsify_scan", sql("pp", f"{_TRI} select src, dst, w from ts where (t + 1) / sqrt((du + 1.0) * (dv + 1.0)) >= 0.1003"))(lambda s, d: sparsify.scan_sparsifier(ppc(s, d), 0.1003).edges)
 query("sparsify_simmelian")(lambda s, d: sparsify.simmelian(pp2(s, d), 0.2).edges)
 query("sparsify_quadrilateral")(lambda s, d: sparsify.quadrilateral_simmelian(pp2(s, d), 0.2).edges)
 query("sparsify_forest_fire")(lambda s, d: sparsify.forest_fire(pp2(s, d)))
 query("sparsify_random_node_edge")(lambda s, d: sparsify.random_node_edge(pp2(s, d)))
-query("sparsify_simmelian_multiscale")(lambda s, d: sparsify.simmelian_multiscale(pp(s, d), 0.8).edges)
+query("sparsify_simmelian_multiscale")(lambda s, d: sparsify.simmelian_multiscale(ppc(s, d), 0.8).edges)
 query("sparsify_degree_multiscale")(lambda s, d: sparsify.degree_multiscale(pp2(s, d), 0.5).edges)
 
 # -- centrality
@@ -166,13 +176,13 @@ def _unrolled(step: str, rounds: int, last: str) -> str:
     return "".join(f", x{i + 1} as ({step.replace('PREV', f'x{i}')})" for i in range(rounds)) + last.replace("LAST", f"x{rounds}")
 
 
-query("pagerank_10", sql("pp", ", x0 as (select id, 1.0 / (select count(*) from nodes) as s from nodes)" + _unrolled("select n.id, 0.15 / (select count(*) from nodes) + 0.85 * coalesce(sum(p.s * bo.w / g.wdeg), 0) as s from nodes n left join bo on bo.dst = n.id left join PREV p on p.id = bo.src left join deg g on g.id = bo.src group by n.id", 10, " select id, round(s / (select sum(s) from LAST), 9) as score from LAST")))(lambda s, d: _round(centrality.pagerank(pp(s, d), tol=-1.0, rounds=10), "score", by=9))
-query("eigenvector_10", sql("pp", ", x0 as (select id, 1.0::double as s from nodes)" + _unrolled("select id, s / sqrt(sum(s * s) over ()) as s from (select n.id, coalesce(sum(p.s * bo.w), 0) as s from nodes n left join bo on bo.dst = n.id left join PREV p on p.id = bo.src group by n.id)", 10, " select id, round(s, 6) as score from LAST")))(lambda s, d: _round(centrality.eigenvector(pp(s, d), tol=-1.0, rounds=10), "score"))
-query("katz_10", sql("pp", ", x0 as (select id, 1.0::double as s from nodes)" + _unrolled("select id, s / sqrt(sum(s * s) over ()) as s from (select n.id, 0.1 + 5e-4 * coalesce(sum(p.s * bo.w), 0) as s from nodes n left join bo on bo.dst = n.id left join PREV p on p.id = bo.src group by n.id)", 10, " select id, round(s, 6) as score from LAST")))(lambda s, d: _round(centrality.katz(pp(s, d), tol=-1.0, rounds=10), "score"))
-query("core_numbers")(lambda s, d: centrality.core_numbers(pp(s, d).cut()))
-query("sfigality", sql("pp", " select n.id, round(avg((b.deg > a.deg)::int), 6) as score from nodes n left join bo on bo.src = n.id left join deg a on a.id = bo.src left join deg b on b.id = bo.dst group by n.id"))(lambda s, d: _round(centrality.sfigality(pp(s, d)), "score"))
+query("pagerank_10", sql("pp", ", x0 as (select id, 1.0 / (select count(*) from nodes) as s from nodes)" + _unrolled("select n.id, 0.15 / (select count(*) from nodes) + 0.85 * coalesce(sum(p.s * bo.w / g.wdeg), 0) as s from nodes n left join bo on bo.dst = n.id left join PREV p on p.id = bo.src left join deg g on g.id = bo.src group by n.id", 10, " select id, round(s / (select sum(s) from LAST), 9) as score from LAST")))(lambda s, d: _round(centrality.pagerank(ppc(s, d), tol=-1.0, rounds=10), "score", by=9))
+query("eigenvector_10", sql("pp", ", x0 as (select id, 1.0::double as s from nodes)" + _unrolled("select id, s / sqrt(sum(s * s) over ()) as s from (select n.id, coalesce(sum(p.s * bo.w), 0) as s from nodes n left join bo on bo.dst = n.id left join PREV p on p.id = bo.src group by n.id)", 10, " select id, round(s, 6) as score from LAST")))(lambda s, d: _round(centrality.eigenvector(ppc(s, d), tol=-1.0, rounds=10), "score"))
+query("katz_10", sql("pp", ", x0 as (select id, 1.0::double as s from nodes)" + _unrolled("select id, s / sqrt(sum(s * s) over ()) as s from (select n.id, 0.1 + 5e-4 * coalesce(sum(p.s * bo.w), 0) as s from nodes n left join bo on bo.dst = n.id left join PREV p on p.id = bo.src group by n.id)", 10, " select id, round(s, 6) as score from LAST")))(lambda s, d: _round(centrality.katz(ppc(s, d), tol=-1.0, rounds=10), "score"))
+query("core_numbers")(lambda s, d: centrality.core_numbers(ppc(s, d)))
+query("sfigality", sql("pp", " select n.id, round(avg((b.deg > a.deg)::int), 6) as score from nodes n left join bo on bo.src = n.id left join deg a on a.id = bo.src left join deg b on b.id = bo.dst group by n.id"))(lambda s, d: _round(centrality.sfigality(ppc(s, d)), "score"))
 query("partition_coverage", sql("pp", " select n.id, round(sum(case when a.subset = b.subset then w else 0 end) / sum(w), 6) as score from nodes n left join bo on bo.src = n.id left join br a on a.id = bo.src left join br b on b.id = bo.dst group by n.id"))(lambda s, d: _round(centrality.partition_coverage(pp(s, d), fx.brands(s, d)), "score"))
-query("permanence", sql("pp", ", x as (select bo.src, bo.dst, a.subset as p, b.subset as q from bo join br a on a.id = bo.src join br b on b.id = bo.dst), k as (select src, p, q, count(*) as k from x group by 1, 2, 3), ba as (select src as id, sum(k) as deg, sum(case when p = q then k else 0 end) as inn, max(case when p <> q then k else 0 end) as most from k group by src), t as (select a.src as id, count(*) as t from x a join x b on a.src = b.src and a.p = a.q and b.p = b.q and a.dst < b.dst join e on e.src = a.dst and e.dst = b.dst group by 1) select ba.id, round(inn / greatest(most, 1)::double / deg - (1 - case when inn > 1 then 2.0 * coalesce(t, 0) / (inn * (inn - 1)) else 0 end), 6) as score from ba left join t on t.id = ba.id"))(lambda s, d: _round(centrality.permanence(pp(s, d), fx.brands(s, d)), "score"))
+query("permanence", sql("pp", ", x as (select bo.src, bo.dst, a.subset as p, b.subset as q from bo join br a on a.id = bo.src join br b on b.id = bo.dst), k as (select src, p, q, count(*) as k from x group by 1, 2, 3), ba as (select src as id, sum(k) as deg, sum(case when p = q then k else 0 end) as inn, max(case when p <> q then k else 0 end) as most from k group by src), t as (select a.src as id, count(*) as t from x a join x b on a.src = b.src and a.p = a.q and b.p = b.q and a.dst < b.dst join e on e.src = a.dst and e.dst = b.dst group by 1) select ba.id, round(inn / greatest(most, 1)::double / deg - (1 - case when inn > 1 then 2.0 * coalesce(t, 0) / (inn * (inn - 1)) else 0 end), 6) as score from ba left join t on t.id = ba.id"))(lambda s, d: _round(centrality.permanence(ppc(s, d), fx.brands(s, d)), "score"))
 query("kpath_centrality")(lambda s, d: centrality.kpath(pp2(s, d)))
 query("spanning_edge_centrality")(lambda s, d: centrality.spanning_edge(pp2(s, d), 4))
 query("assortativity_numeric", sql("pp", " select round(corr(a.p_size, b.p_size), 6) as assortativity from e join part a on a.p_partkey = src join part b on b.p_partkey = dst"))(lambda s, d: _round(centrality.assortativity_numeric(pp(s, d), fx.sizes(s, d).withColumnRenamed("subset", "value")), "assortativity"))
@@ -286,6 +296,51 @@ query("hyper_band_stats", f"with {_HP} select case when r < 5.5 then 0 else floo
 query("hyper_warm_edges")(lambda s, d: hyperbolic.warm_edges(_points(s, d), _R, 0.5))
 query("hyper_dynamic")(lambda s, d: hyperbolic.edge_changes(hyperbolic.edges(p := _points(s, d), _R), hyperbolic.edges(hyperbolic.moved(p, _R, _ALPHA, 1), _R)))
 
+# -- files: written to the shared folder, read back
+def _place(s) -> str:
+    return f"{shared_dir(s).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def _again(format: str, **options):
+    """Edges of the graph after a way through a file."""
+
+    def run(s, d):
+        g = pp2(s, d)
+        write_graph(g, path := _place(s), format, **options)
+        return read_graph(s, path, format).edges
+
+    return run
+
+
+_FILE = sql("pp2", " select src, dst, w from e")
+for _name, _options in (("edgelist", {"weights": True}), ("metis", {"weights": True}), ("gml", {}), ("graphml", {}), ("gexf", {})):
+    query(f"io_{_name}", _FILE)(_again(_name, **_options))
+query("io_convert", _FILE)(lambda s, d: (write_graph(pp2(s, d), a := _place(s), "gml"), convert(s, a, "gml", b := _place(s), "graphml"), read_graphs(s, {"b": b}, "graphml")["b"].edges)[-1])
+query("io_metis_nodes", "select p_partkey as id from part")(lambda s, d: (write_graph(pp2(s, d), path := _place(s), "metis"), read_graph(s, path, "metis").nodes)[1])
+query("io_graph_tool", sql("pp2", " select src, dst from e"))(lambda s, d: (write_graph(pp2(s, d), f"{(path := _place(s))}/g.gt", "gt"), read_graph(s, path, "gt").edges.select("src", "dst"))[1])
+query("io_snap_read", sql("pp2", ", l as (select src, dst, row_number() over (order by src, dst) as line from e), f as (select id, row_number() over (order by min(o)) - 1 as k from (select src as id, 2 * line as o from l union all select dst, 2 * line + 1 from l) group by id) select least(a.k, b.k) as src, greatest(a.k, b.k) as dst from e join f a on a.id = src join f b on b.id = dst"))(lambda s, d: (write_graph(pp2(s, d), path := _place(s), "edgelist"), read_graph(s, path, "snap").edges.select("src", "dst"))[1])
+query("io_snap_write", sql("pp2", " select 'p ' || (select count(*) from nodes) || ' ' || count(*) || ' u u 0' as value from e union all select 'a ' || (src + 1) || ' ' || (dst + 1) from e"))(lambda s, d: (write_graph(pp2(s, d), path := _place(s), "snap"), s.read.text(path))[1])
+query("io_dot", sql("pp2", " select '  ' || src || ' -- ' || dst || ';' as value from e union all select unnest(['graph G {', '}'])"))(lambda s, d: (write_graph(pp2(s, d), path := _place(s), "dot"), s.read.text(path))[1])
+query("io_dot_partition", sql("pp2", """ select '  "' || src || '" -- "' || dst || '";' as value from e union all select '  "' || id || '" [style' from br"""))(lambda s, d: (writers.dot_partition(pp2(s, d), fx.brands(s, d), path := _place(s)), s.read.text(path).where("value like '  %'").select(F.split("value", "=").getItem(0).alias("value")))[1])
+query("io_partition", "select p_partkey as id, p_size::bigint as subset from part")(lambda s, d: (writers.partition(fx.sizes(s, d), path := _place(s)), readers.partition(s, path))[1])
+query("io_edge_list_partition", sql("pp2", " select src as id, max(dst) as subset from e group by src"))(lambda s, d: (writers.edge_list(Graph.from_edges(pp2(s, d).edges.groupBy("src").agg(F.max("dst").alias("dst"))), path := _place(s)), readers.edge_list_partition(s, path))[1])
+query("io_cover", "select p_partkey as id, dense_rank() over (order by p_size) - 1 as subset from part")(lambda s, d: (writers.cover(fx.sizes(s, d), path := _place(s)), readers.cover(s, path))[1])
+query("io_edge_list_cover", sql("pp2", " select src as id, dst as subset from bo"))(lambda s, d: (pp2(s, d).both().groupBy("src").agg(F.concat_ws(" ", F.collect_list(F.col("dst").cast("string"))).alias("t")).select(F.concat_ws(" ", "src", "t").alias("value")).write.text(path := _place(s)), readers.edge_list_cover(s, path))[1])
+query("io_matrix_market", sql("pp2", " select src as i, src as j, sum(w) as v from bo group by 1 union all select src, dst, -w from bo"))(lambda s, d: (writers.matrix_market(algebra.laplacian(pp2(s, d)), path := _place(s)), readers.matrix_market(s, path))[1])
+query("io_konect", sql("pp2", " select src - 1 as src, dst - 1 as dst, 1.0::double as w from e"))(lambda s, d: (pp2(s, d).edges.select(F.concat_ws(" ", "src", "dst").alias("value"), F.lit(1).alias("z")).union(s.createDataFrame([("% sym unweighted", 0)], "value string, z int")).orderBy("z").select("value").write.text(path := _place(s)), read_graph(s, path, "konect").edges)[1])
+query("io_events", sql("visits", ", n as (select type, u, v, row_number() over (order by seq) + 1 as seq from ev) select seq, type, u, v from n"))(lambda s, d: (writers.events(fx.visits(s, d), path := _place(s)), readers.events(s, path).select("seq", "type", "u", "v"))[1])
+query("io_raster", "select p_size::bigint - 1 as col, sum(p_partkey % 3)::bigint as points from part group by 1 having sum(p_partkey % 3) > 0")(lambda s, d: _rastered(s, d))
+
+
+def _rastered(s, d):
+    """A raster of one row, a cell for each size, and how many points each cell got."""
+    c = fx.table(s, d, "part").groupBy("p_size").agg(F.sum(F.col("p_partkey") % 3).alias("n"))
+    width = c.agg(F.max("p_size")).first()[0]
+    row = s.range(1, width + 1).join(c, F.col("id") == F.col("p_size"), "left").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("n", F.lit(0)).cast("string").alias("n")))), lambda x: x["n"]), " ").alias("value"))
+    row.write.text(path := _place(s))
+    return readers.raster(s, path).groupBy(F.floor(F.col("x") * width).alias("col")).agg(F.count(F.lit(1)).alias("points"))
+
+
 # -- dynamic graphs
 query("dyn_event_fold", sql("visits", ", l as (select a as u, b as v, arg_max(type, seq) as type from ev group by 1, 2) select u, v, 1.0::double as w from l where type = 'EDGE_ADDITION'"))(lambda s, d: dynamic.fold_edges(fx.visits(s, d)))
 query("dyn_size_timeline", sql("visits", ", c as (select step, (type = 'EDGE_ADDITION')::int - coalesce(lag((type = 'EDGE_ADDITION')::int) over (partition by a, b order by seq), 0) as d from ev) select step, (sum(sum(d)) over (order by step))::bigint as m from c group by step"))(lambda s, d: dynamic.size_timeline(fx.visits(s, d)))
@@ -318,14 +373,22 @@ query("alg_normalized_laplacian", sql("pp2", " select id as i, id as j, 1.0 as v
 query("alg_incidence", sql("pp2", ", x as (select src, dst, w, row_number() over (order by src, dst) - 1 as j from e) select src as i, j::bigint as j, round(sqrt(w), 6) as v from x union all select dst, j, round(-sqrt(w), 6) from x"))(lambda s, d: _round(algebra.incidence(pp2(s, d)), "v"))
 query("alg_transpose_sum", sql("seq", " select i, j, sum(v) as v from (select src as i, dst as j, w as v from e union all select dst, src, w from e) group by 1, 2"))(lambda s, d: algebra.add(a := algebra.adjacency(fx.sequences(s, d)), algebra.transpose(a)))
 query("alg_is_laplacian", "select true as laplacian")(lambda s, d: algebra.is_laplacian(algebra.laplacian(pp2(s, d))))
-query("alg_conjugate_gradient")(lambda s, d: _round(algebra.conjugate_gradient(algebra.add(algebra.laplacian(g := pp2(s, d)), g.nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"))), g.nodes.select(F.col("id").alias("i"), F.lit(1.0).alias("v")), rounds=40), "v"))
+def _solved(s, d):
+    """(L + I) x = b for the b of a known solution."""
+    g = pp2(s, d)
+    m = algebra.add(algebra.laplacian(g), g.nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v")))
+    known = g.nodes.select(F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("v"))
+    return algebra.conjugate_gradient(m, algebra.matvec(m, known))
+
+
+query("alg_conjugate_gradient", "select p_partkey as i, (p_partkey % 7)::double as v from part")(lambda s, d: _round(_solved(s, d), "v", by=4))
 query("alg_pagerank_matrix", sql("pp2", " select dst as i, src as j, round(0.85 * w / wdeg, 9) as v from bo join deg on deg.id = src"))(lambda s, d: _round(algebra.pagerank_matrix(pp2(s, d)), "v", by=9))
 
 # -- profiles
 query("prof_stats", sql("pp", ", q as (select deg as score from deg) select count(*) as n, min(score)::double as lowest, max(score)::double as highest, round(avg(score), 6) as mean, quantile_cont(score, 0.25)::double as q1, quantile_cont(score, 0.5)::double as median, quantile_cont(score, 0.75)::double as q3, round(stddev_samp(score), 6) as deviation from q"))(lambda s, d: _round(stats.describe(centrality.degree(pp(s, d))), "mean", "deviation").select("n", "lowest", "highest", "mean", "q1", "median", "q3", "deviation"))
-query("prof_pearson", sql("pp", f"{_LCC} select round(corr(deg, lcc), 6) as pearson, round(covar_samp(deg, lcc), 6) as covariance from lc"))(lambda s, d: _round(stats.pearson(centrality.degree(g := pp(s, d)), tri.local_clustering(g).withColumnRenamed("lcc", "score")), "pearson", "covariance"))
-query("prof_spearman", sql("pp", ", r as (select rank() over (order by deg) + (count(*) over (partition by deg) - 1) / 2.0 as x, rank() over (order by wdeg) + (count(*) over (partition by wdeg) - 1) / 2.0 as y from deg) select round(corr(x, y), 6) as spearman from r"))(lambda s, d: _round(stats.spearman(centrality.degree(g := pp(s, d)), g.degrees().select("id", F.col("wdeg").alias("score"))), "spearman"))
+query("prof_pearson", sql("pp", f"{_LCC} select round(corr(deg, lcc), 6) as pearson, round(covar_samp(deg, lcc), 6) as covariance from lc"))(lambda s, d: _round(stats.pearson(centrality.degree(g := ppc(s, d)), tri.local_clustering(g).withColumnRenamed("lcc", "score")), "pearson", "covariance"))
+query("prof_spearman", sql("pp", ", r as (select rank() over (order by deg) + (count(*) over (partition by deg) - 1) / 2.0 as x, rank() over (order by wdeg) + (count(*) over (partition by wdeg) - 1) / 2.0 as y from deg) select round(corr(x, y), 6) as spearman from r"))(lambda s, d: _round(stats.spearman(centrality.degree(g := ppc(s, d)), g.degrees().select("id", F.col("wdeg").alias("score"))), "spearman"))
 query("prof_degree_distribution", sql("pp", " select deg::bigint as deg, count(*) as nodes from deg group by 1"))(lambda s, d: stats.degree_distribution(pp(s, d)))
-query("prof_clustering_per_degree", sql("pp", f"{_LCC} select deg::bigint as deg, round(avg(lcc), 6) as mean_lcc from lc group by 1"))(lambda s, d: _round(stats.clustering_per_degree(pp(s, d)), "mean_lcc"))
+query("prof_clustering_per_degree", sql("pp", f"{_LCC} select deg::bigint as deg, round(avg(lcc), 6) as mean_lcc from lc group by 1"))(lambda s, d: _round(stats.clustering_per_degree(ppc(s, d)), "mean_lcc"))
 query("prof_overview")(lambda s, d: stats.overview(pp2(s, d)))
 query("prof_bins", sql("pp", " select least(floor((deg - a) / (b - a)::double * 20), 19)::bigint as bin, count(*) as count from deg, (select min(deg) as a, max(deg) as b from deg) group by 1"))(lambda s, d: stats.bins(centrality.degree(pp(s, d))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,16 +58,40 @@ def visits(spark: SparkSession, d: str) -> DataFrame:
     return x.select("seq", "step", F.when(F.col("event_type") == "error", "EDGE_REMOVAL").otherwise("EDGE_ADDITION").alias("type"), "u", "v", F.lit(1.0).alias("w"))
 
 
-_OP = "op as (select distinct l_orderkey as o, l_partkey as p from lineitem), pp as (select a.p as src, b.p as dst, count(*)::double as w from op a join op b on a.o = b.o and a.p < b.p group by 1, 2)"
-_TAIL = """nodes as (select p_partkey as id from part), bo as (select src, dst, w from e union all select dst, src, w from e),
-deg as (select id, count(dst) as deg, coalesce(sum(w), 0.0) as wdeg from nodes left join bo on src = id group by id)"""
-_SEQ = "sq as (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem), e as (select src, dst, count(*)::double as w from sq where dst is not null and src <> dst group by 1, 2 having count(*) >= 2)"
-_BRAND = "br as (select p_partkey as id, min(p_partkey) over (partition by p_brand) as subset from part), sz as (select p_partkey as id, p_size::bigint as subset from part)"
-_VISITS = """vx as (select event_id as seq, (ts::date - date '1970-01-01')::bigint as step, user_id as u, lead(user_id) over (partition by ts::date order by event_id) as v, event_type from events),
-ev as (select seq, step, case when event_type = 'error' then 'EDGE_REMOVAL' else 'EDGE_ADDITION' end as type, u, v, least(u, v) as a, greatest(u, v) as b from vx where v is not null and u <> v)"""
+_OP = {
+    "op": "select distinct l_orderkey as o, l_partkey as p from lineitem",
+    "pp": "select a.p as src, b.p as dst, count(*)::double as w from op a join op b on a.o = b.o and a.p < b.p group by 1, 2",
+}
+_SQ = "select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem"
+_EDGES = {
+    "pp": _OP | {"e": "select * from pp"},
+    "pp2": _OP | {"e": "select * from pp where w >= 2"},
+    "seq": {"sq": _SQ, "e": "select src, dst, count(*)::double as w from sq where dst is not null and src <> dst group by 1, 2 having count(*) >= 2"},
+    "visits": {
+        "vx": "select event_id as seq, (ts::date - date '1970-01-01')::bigint as step, user_id as u, lead(user_id) over (partition by ts::date order by event_id) as v, event_type from events",
+        "ev": "select seq, step, case when event_type = 'error' then 'EDGE_REMOVAL' else 'EDGE_ADDITION' end as type, u, v, least(u, v) as a, greatest(u, v) as b from vx where v is not null and u <> v",
+    },
+}
+_COMMON = {
+    "nodes": "select p_partkey as id from part",
+    "bo": "select src, dst, w from e union all select dst, src, w from e",
+    "deg": "select id, count(dst) as deg, coalesce(sum(w), 0.0) as wdeg from nodes left join bo on src = id group by id",
+    "br": "select p_partkey as id, min(p_partkey) over (partition by p_brand) as subset from part",
+    "sz": "select p_partkey as id, p_size::bigint as subset from part",
+}
 
 
 def sql(graph: str, body: str, recursive: bool = False) -> str:
-    """A query over e, nodes, bo (both directions), deg, br and sz (partitions), of graph pp, pp2 (at least two orders) or seq."""
-    e = {"pp": f"{_OP}, e as (select * from pp)", "pp2": f"{_OP}, e as (select * from pp where w >= 2)", "seq": _SEQ, "visits": _VISITS}[graph]
-    return f"with {'recursive ' if recursive else ''}{e}{', ' + _TAIL if graph != 'visits' else ''}, {_BRAND}{body}"
+    """A query over e, nodes, bo (both directions), deg, br and sz (partitions), of graph pp, pp2 (at least two orders) or seq; only what it names is defined, and computed once."""
+    tables = _EDGES[graph] | (_COMMON if graph != "visits" else {})
+    used, texts = set(), [body]
+    while texts:
+        found = {t for t in tables if re.search(rf"\b{t}\b", texts[-1])} - used
+        texts.pop()
+        used |= found
+        texts += [tables[t] for t in found]
+    head = ", ".join(f"{t} as materialized ({q})" for t, q in tables.items() if t in used)
+    rest = body.lstrip()
+    if not head:
+        return f"with {'recursive ' if recursive else ''}{rest.lstrip(', ')}" if rest.startswith(",") else rest
+    return f"with {'recursive ' if recursive else ''}{head}{body}"

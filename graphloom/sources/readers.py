@@ -3,22 +3,23 @@
 from __future__ import annotations
 
 import struct
-import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph, numbered
+from graphloom.plans.fixpoint import cut
 
 UNITS = {"\t": r"\t", " ": r"\s+", ",": ",", ";": ";"}
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line): the lines of a file with 0-based numbers, counted without one task reading all."""
-    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("o"))
-    return numbered(raw, ["o"], "line").select("value", "line")
+def lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(value, line): the lines of a file, or of a folder's files by name, with 0-based numbers, counted without one task reading all."""
+    raw = spark.read.text(path, lineSep=separator) if separator else spark.read.text(path)
+    raw = raw.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("o"))
+    return numbered(raw, ["f", "b", "o"], "line").select("value", "line")
 
 
 def edge_list(spark: SparkSession, path: str, separator: str = "\t", first: int = 0, comment: str = "#", continuous: bool = True, directed: bool = False) -> Graph:
@@ -113,44 +114,46 @@ def _graph_of(rows: DataFrame, directed: bool) -> Graph:
     return Graph.from_edges(rows.where("dst is not null"), rows.select(F.explode(F.array("src", "dst")).alias("id")).where("id is not null").distinct(), directed)
 
 
-def _flag(spark: SparkSession, path: str, word: bytes) -> bool:
-    return bool(spark.read.text(path, wholetext=True).where(F.col("value").contains(word.decode())).limit(1).count())
-
-
 def _frame(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["src", "dst", "w"]).astype({"src": "Int64", "dst": "Int64", "w": "float64"})
 
 
-def graphml(spark: SparkSession, path: str) -> Graph:
-    def parse(data: bytes) -> pd.DataFrame:
-        root = ET.fromstring(data)
-        ns = root.tag[: root.tag.index("}") + 1] if root.tag.startswith("{") else ""
-        keys = {k.get("id") for k in root.iter(f"{ns}key") if k.get("attr.name") == "weight"}
-        ids: dict[str, int] = {}
-        rows: list = []
-        for n in root.iter(f"{ns}node"):
-            rows.append((ids.setdefault(n.get("id"), len(ids)), None, None))
-        for e in root.iter(f"{ns}edge"):
-            w = next((float(d.text) for d in e.iter(f"{ns}data") if d.get("key") in keys), 1.0)
-            rows.append((ids.setdefault(e.get("source"), len(ids)), ids.setdefault(e.get("target"), len(ids)), w))
-        return _frame(rows)
+def _tags(spark: SparkSession, path: str) -> DataFrame:
+    """(line, tag, value): a row for each piece of an XML file that ends in >, cut where the file is split, so that no task holds all of it."""
+    return cut(lines(spark, path, ">").select("line", F.regexp_extract("value", r"<\s*(?:\w+:)?(/?\w+)", 1).alias("tag"), "value"))
 
-    return _graph_of(_parsed(spark, path, parse, "src long, dst long, w double"), _flag(spark, path, b'edgedefault="directed"'))
 
+def _attribute(name: str) -> Column:
+    return F.nullif(F.regexp_extract("value", rf"\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
 
-def gexf(spark: SparkSession, path: str) -> Graph:
-    def parse(data: bytes) -> pd.DataFrame:
-        root = ET.fromstring(data)
-        ns = root.tag[: root.tag.index("}") + 1] if root.tag.startswith("{") else ""
-        ids: dict[str, int] = {}
-        rows: list = []
-        for n in root.iter(f"{ns}node"):
-            rows.append((ids.setdefault(n.get("id"), len(ids)), None, None))
-        for e in root.iter(f"{ns}edge"):
-            rows.append((ids.setdefault(e.get("source"), len(ids)), ids.setdefault(e.get("target"), len(ids)), float(e.get("weight", 1))))
-        return _frame(rows)
 
-    return _graph_of(_parsed(spark, path, parse, "src long, dst long, w double"), _flag(spark, path, b'defaultedgetype="directed"'))
+def _xml_graph(tags: DataFrame, weights: DataFrame | None, directed: str) -> Graph:
+    """Nodes and edges by their attributes, ids numbered by first appearance; weights (line, w) of edges, or their own attribute."""
+    nodes = tags.where("tag = 'node'").select("line", F.lit(0).alias("k"), _attribute("id").alias("name"))
+    e = tags.where("tag = 'edge'").select("line", _attribute("source").alias("a"), _attribute("target").alias("b"), F.coalesce(_attribute("weight").try_cast("double"), F.lit(1.0)).alias("w"))
+    if weights is not None:
+        e = e.drop("w").join(weights, "line", "left").fillna(1.0, ["w"])
+    said = nodes.union(e.select("line", F.lit(0), "a")).union(e.select("line", F.lit(1), "b"))
+    ids = cut(numbered(said.groupBy("name").agg(F.min(F.struct("line", "k")).alias("o")), ["o"], "id").select("name", "id"))
+    e = e.join(ids.select(F.col("name").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("name").alias("b"), F.col("id").alias("dst")), "b")
+    flag = bool(tags.where((F.col("tag") == "graph") & F.col("value").contains(directed)).limit(1).count())
+    return Graph.from_edges(e.select("src", "dst", "w"), ids.select("id"), flag)
+
+
+def graphml(spark: SparkSession, path: str) -> Graph:
+    """Weights are in the data elements whose key is declared as weight."""
+    tags = _tags(spark, path)
+    keys = tags.where((F.col("tag") == "key") & (_attribute("attr.name") == "weight")).select(_attribute("id").alias("key"))
+    data = tags.where("tag = 'data'").select("line", _attribute("key").alias("key")).join(F.broadcast(keys), "key", "left_semi").select("line", F.lit("data").alias("tag"))  # a row for each declared key
+    # among edges and their weights, a weight follows its edge; its text is the next piece
+    order = numbered(tags.where("tag in ('edge', 'node')").select("line", "tag").union(data), ["line"], "row")
+    of = order.where("tag = 'data'").select(F.col("line").alias("at"), (F.col("row") - 1).alias("row")).join(order.where("tag = 'edge'").select("line", "row"), "row")
+    text = tags.select((F.col("line") - 1).alias("at"), F.regexp_extract("value", r"^([^<]*)<", 1).try_cast("double").alias("w"))
+    return _xml_graph(tags, of.join(text, "at").select("line", "w"), 'edgedefault="directed"')
+
+
+def gexf(spark: SparkSession, path: str) -> Graph:
+    return _xml_graph(_tags(spark, path), None, 'defaultedgetype="directed"')
 
 
 def graph_tool(spark: SparkSession, path: str) -> Graph:

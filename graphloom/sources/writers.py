@@ -99,6 +99,7 @@ def graph_tool(g: Graph, path: str, big_endian: bool = False, most: int = 5_000_
     from pyarrow import fs
 
     store, place = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    store.create_dir(place.rpartition("/")[0])
     with store.open_output_stream(place) as f:
         f.write(content)
 
