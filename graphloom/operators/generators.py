@@ -163,19 +163,35 @@ def barabasi_albert(spark: SparkSession, n: int, k: int, salt: int = 0) -> Graph
 
 
 def dorogovtsev_mendes(spark: SparkSession, n: int, salt: int = 0) -> Graph:
-    """A triangle; each new node links to both ends of a drawn earlier edge. Grown in one task."""
+    """A triangle; each new node links to both ends of a drawn earlier edge.
 
-    def grow(it):
-        for pdf in it:
-            for _ in pdf["id"]:
-                rng = np.random.default_rng(salt)
-                e = [(0, 1), (0, 2), (1, 2)]
-                for u in range(3, n):
-                    a, b = e[rng.integers(len(e))]
-                    e += [(a, u), (b, u)]
-                yield pd.DataFrame(e, columns=["src", "dst"])
+    Edges 0 to 2 are the triangle; node u adds edges 2u - 3 and 2u - 2 to the first and the second end of
+    the edge that it drew. A second end is the younger node of its edge; first ends are resolved by
+    pointer jumping.
+    """
+    from graphloom.plans.fixpoint import cut
 
-    return Graph.from_edges(spark.range(1).mapInPandas(grow, "src long, dst long"), _nodes(spark, n))
+    drawn = spark.range(3, max(n, 3)).select(F.col("id").alias("u"), F.floor(uniform(f"dm{salt}", "id") * (2 * F.col("id") - 3)).alias("r"))
+    younger = F.when(F.col("r") < 3, F.greatest(F.lit(1).cast("long"), F.least(F.col("r") + 1, F.lit(2).cast("long")))).otherwise(F.floor((F.col("r") + 3) / 2))
+    second = drawn.select("u", younger.alias("end"))
+    x = cut(drawn.select((2 * F.col("u") - 3).alias("e"), "u", F.col("r").alias("to")))
+    # the triangle's first ends are known; second-end edges point no further
+    known = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "e long, end long").union(second.select((2 * F.col("u") - 2).alias("e"), "end"))
+    found = None
+    while True:
+        met = cut(x.join(known.withColumnRenamed("e", "to"), "to", "left").select("e", "u", "to", "end"))
+        done = met.where("end is not null").select("u", "end")
+        found = done if found is None else found.union(done)
+        x = met.where("end is null").select("e", "u", "to")
+        if x.isEmpty():
+            break
+        # an open edge whose target is open as well jumps to that one's target; resolved targets become known
+        known = cut(known.union(met.where("end is not null").select("e", "end")))
+        onward = x.select(F.col("e").alias("to"), F.col("to").alias("on"))
+        x = cut(x.join(onward, "to", "left").select("e", "u", F.coalesce("on", "to").alias("to")))
+    e = found.union(second).select(F.col("end").alias("src"), F.col("u").alias("dst"))
+    base = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "src long, dst long")
+    return Graph.from_edges(base.union(e), _nodes(spark, n))
 
 
 def rmat(spark: SparkSession, scale: int, factor: int, a: float, b: float, c: float, d: float, salt: int = 0) -> Graph:
@@ -191,10 +207,15 @@ def rmat(spark: SparkSession, scale: int, factor: int, a: float, b: float, c: fl
     return Graph(g.nodes, g.edges.groupBy("src", "dst").agg(F.sum("w").alias("w")))
 
 
+def powerlaw_shares(low: int, high: int, gamma: float) -> list[float]:
+    """The share of degrees up to each, from low to high."""
+    w = np.arange(low, high + 1, dtype=float) ** gamma
+    return (np.cumsum(w) / w.sum()).tolist()
+
+
 def powerlaw_degrees(spark: SparkSession, n: int, low: int, high: int, gamma: float, salt: int = 0) -> DataFrame:
     """(id, deg) with chances proportional to deg^gamma, gamma below 0."""
-    w = np.arange(low, high + 1, dtype=float) ** gamma
-    cdf = (np.cumsum(w) / w.sum()).tolist()
+    cdf = powerlaw_shares(low, high, gamma)
     return spark.range(n).select("id", (low + F.size(F.filter(F.array(*map(F.lit, cdf)), lambda c: c < uniform(f"deg{salt}", "id")))).cast("long").alias("deg"))
 
 

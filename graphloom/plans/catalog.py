@@ -392,3 +392,97 @@ query("prof_degree_distribution", sql("pp", " select deg::bigint as deg, count(*
 query("prof_clustering_per_degree", sql("pp", f"{_LCC} select deg::bigint as deg, round(avg(lcc), 6) as mean_lcc from lc group by 1"))(lambda s, d: _round(stats.clustering_per_degree(ppc(s, d)), "mean_lcc"))
 query("prof_overview")(lambda s, d: stats.overview(pp2(s, d)))
 query("prof_bins", sql("pp", " select least(floor((deg - a) / (b - a)::double * 20), 19)::bigint as bin, count(*) as count from deg, (select min(deg) as a, max(deg) as b from deg) group by 1"))(lambda s, d: stats.bins(centrality.degree(pp(s, d))))
+
+
+# -- properties that drawn results must have
+def _maximal(g: Graph, chosen: DataFrame) -> DataFrame:
+    """One row: whether chosen (src, dst) are a matching of g's edges that no edge could join."""
+    used = chosen.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    free = g.edges.where("src <> dst").join(used.withColumnRenamed("id", "src"), "src", "left_anti").join(used.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    foreign = chosen.join(g.edges, ["src", "dst"], "left_anti")
+    return matching.is_matching(chosen).join(free.agg((F.count(F.lit(1)) == 0).alias("maximal"))).join(foreign.agg((F.count(F.lit(1)) == 0).alias("edges_of_graph")))
+
+
+def _independent(g: Graph, chosen: DataFrame) -> DataFrame:
+    inside = g.subgraph(chosen.select("id")).edges.where("src <> dst").agg((F.count(F.lit(1)) == 0).alias("independent"))
+    near = g.both().join(chosen.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).union(chosen.select("id")).distinct()
+    return inside.join(g.nodes.join(near, "id", "left_anti").agg((F.count(F.lit(1)) == 0).alias("maximal")))
+
+
+def _spanning(g: Graph, forest: DataFrame) -> DataFrame:
+    """One row: the forest's edges, and the components that they leave."""
+    f = Graph(g.nodes, forest.select("src", "dst", "w")).cut()
+    return f.edges.agg(F.count(F.lit(1)).alias("edges")).join(components.component_sizes(f).agg(F.count(F.lit(1)).alias("components")))
+
+
+query("matching_local_max_check", "select true as proper, true as maximal, true as edges_of_graph")(lambda s, d: _maximal(g := pp2(s, d), matching.local_max(g)))
+query("independent_set_check", "select true as independent, true as maximal")(lambda s, d: _independent(g := pp2(s, d), matching.luby(g)))
+_FOREST = sql("pp2", f"{_CC} select count(*) - count(distinct component) as edges, count(distinct component) as components from cc", True)
+query("random_spanning_forest_check", _FOREST)(lambda s, d: _spanning(g := pp2(s, d), components.random_forest(g, 1)))
+query("max_spanning_forest_check", _FOREST)(lambda s, d: _spanning(g := pp2(s, d), components.maximum_forest(g)))
+query("gen_edge_switching_degrees", sql("pp2", " select id, deg::bigint as deg from deg"))(lambda s, d: generators.edge_switching(pp2(s, d), 2).degrees().select("id", "deg"))
+query("gen_havel_hakimi_degrees", "select i as id, case when i < 200 then 4 else 2 end::bigint as deg from range(300) t(i)")(lambda s, d: generators.havel_hakimi(s, [4] * 200 + [2] * 100).degrees().select("id", "deg"))
+
+# -- further forms of operators above
+query("bfs_sample", sql("pp2", f"{_BFS}, k as (select id from dist order by dist, id limit 200) select e.src, e.dst, e.w from e join k a on a.id = src join k b on b.id = dst", True))(lambda s, d: traversal.bfs_sample(g := pp2(s, d), _first(g).first().id, 200).edges)
+query("dyn_growth_events", sql("pp2", ", v as (select id as step, 0 as o, 'NODE_ADDITION' as type, id as u, null::bigint as v, null::double as w from nodes union all select dst, 1, 'EDGE_ADDITION', src, dst, w from e) select step * 16777216 + row_number() over (partition by step order by o, u) as seq, step, type, u, v, w from v"))(lambda s, d: dynamic.growth_events(pp2(s, d)))
+query("sparsify_simmelian_parametric", f"select src, dst from ({ORACLES['sparsify_simmelian_overlap']}) where score >= 2")(lambda s, d: sparsify.simmelian_parametric(ppc(s, d), 10, 2).edges.select("src", "dst"))
+query("sparsify_jaccard", f"select src, dst from ({ORACLES['edge_jaccard']}) where score <= 0.9500005")(lambda s, d: sparsify.jaccard_sparsifier(ppc(s, d), 0.9500005).edges.select("src", "dst"))
+query("sparsify_local_similarity_at", f"select src, dst from ({ORACLES['sparsify_local_similarity']}) where score >= 0.3000005")(lambda s, d: sparsify.local_similarity_sparsifier(ppc(s, d), 0.3000005).edges.select("src", "dst"))
+query("sparsify_local_degree_at", f"select src, dst from ({ORACLES['sparsify_local_degree']}) where score >= 0.3000005")(lambda s, d: sparsify.local_degree_sparsifier(ppc(s, d), 0.3000005).edges.select("src", "dst"))
+_SP = ", e3 as (select src, dst from e where w >= 3), b3 as (select src, dst from e3 union all select dst, src from e3), r(s, id, d) as (select id, id, 0 from nodes union select r.s, b3.dst, r.d + 1 from r join b3 on b3.src = r.id where r.d < 30), ap as materialized (select s, id, min(d) as d from r group by 1, 2)"
+_BTW = f"{_SP}, pc(s, id, d, p) as (select id, id, 0, 1.0::double from nodes union all select c.s, b3.dst, c.d + 1, sum(c.p) from pc c join b3 on b3.src = c.id join ap on ap.s = c.s and ap.id = b3.dst and ap.d = c.d + 1 group by 1, 2, 3)"
+
+
+def pp3(s, d):
+    return fx.co_orders(s, d, 3).cut()
+
+
+query("apsp", sql("pp2", f"{_SP} select s as source, id, d::double as dist from ap", True))(lambda s, d: traversal.apsp(pp3(s, d).unweighted()).select("source", "id", F.col("dist").cast("double").alias("dist")))
+query("betweenness", sql("pp2", f"{_BTW} select n.id, round(coalesce(sum(a.p * b.p / c.p), 0), 6) as score from nodes n left join (pc a join pc b on b.s = a.id and b.id <> a.id join pc c on c.s = a.s and c.id = b.id and c.d = a.d + b.d) on n.id = a.id and a.id <> a.s group by n.id", True))(lambda s, d: _round(centrality.betweenness(pp3(s, d))[0], "score"))
+query("edge_betweenness", sql("pp2", f"{_BTW}, f as (select least(x.src, x.dst) as src, greatest(x.src, x.dst) as dst, sum(a.p * b.p / c.p) as f from pc a join b3 x on x.src = a.id join pc b on b.s = x.dst join pc c on c.s = a.s and c.id = b.id and c.d = a.d + 1 + b.d group by 1, 2) select e3.src, e3.dst, round(coalesce(f, 0), 6) as score from e3 left join f on f.src = e3.src and f.dst = e3.dst", True))(lambda s, d: _round(centrality.betweenness(pp3(s, d))[1], "score"))
+
+
+# -- SQL of queries registered above without any
+def oracle(name: str, text: str) -> None:
+    ORACLES[name] = text
+
+
+_LEVELS = "select distinct w as t from e"
+_BY_LEVEL = ", th as ({levels}), r(t, id, c) as (select t, id, id from th, nodes union select r.t, bo.dst, r.c from r join bo on bo.src = r.id and bo.w {than} r.t and r.c < bo.dst), cc as (select t, id, min(c) as c from r group by 1, 2)"
+oracle("bfs_path_counts", sql("pp2", f"{_BFS}, pc(id, d, p) as (select s, 0::bigint, 1.0::double from {_SRC} union all select bo.dst, r.d + 1, sum(r.p) from pc r join bo on bo.src = r.id join dist on dist.id = bo.dst and dist.dist = r.d + 1 group by 1, 2) select id, p as paths from pc", True))
+oracle("dyn_bfs_insertions", sql("pp2", f"{_BFS} select id, dist::double as dist from dist", True))
+oracle("max_spanning_forest", sql("pp2", f"{_BY_LEVEL.format(levels=_LEVELS, than='>=')}, k as (select t, count(*) - count(distinct c) as k from cc group by t) select sum(t * (k - p))::double as weight, max(k)::bigint as edges from (select t, k, coalesce(lag(k) over (order by t desc), 0) as p from k)", True))
+oracle("union_max_forest", sql("pp2", f"{_BY_LEVEL.format(levels=_LEVELS, than='>')} select e.src, e.dst, e.w from e join cc a on a.t = e.w and a.id = e.src join cc b on b.t = e.w and b.id = e.dst where a.c <> b.c", True))
+oracle("bfs_forest", sql("pp2", f"{_CC}, q(id, d) as (select distinct component, 0 from cc union select bo.dst, q.d + 1 from q join bo on bo.src = q.id where q.d < 40), ds as (select id, min(d) as d from q group by id), tr as (select min(bo.src) as p, a.id as c from ds a join bo on bo.dst = a.id join ds b on b.id = bo.src and b.d + 1 = a.d group by a.id) select e.src, e.dst, e.w from tr join e on e.src = least(p, c) and e.dst = greatest(p, c)", True))
+oracle("core_numbers", sql("pp", ", x0 as materialized (select id, deg as s from deg)" + "".join(f", x{i + 1} as materialized (select n.id, coalesce(max(least(h.k, h.v)), 0) as s from nodes n left join (select bo.src, p.s as v, row_number() over (partition by bo.src order by p.s desc) as k from bo join x{i} p on p.id = bo.dst) h on h.src = n.id group by n.id)" for i in range(60)) + " select id, s::bigint as core from x60"))
+oracle("effective_diameter", sql("pp2", f"{_AP}, si as (select s, count(*) as n from ap group by s), top as (select max(n) as n from si), c as (select s, d, sum(count(*)) over (partition by s order by d) as r from ap join si using (s) join top using (n) group by s, d) select avg(h)::double as effective from (select s, min(d) as h from c, top where r >= ceil(0.9 * n) group by s)", True))
+oracle("approx_closeness", sql("pp2", f", pv as (select id as v from nodes order by {uniform_sql('node0', 'id')}, id limit 16), r(s, id, d) as (select v, v, 0 from pv union select r.s, bo.dst, r.d + 1 from r join bo on bo.src = r.id where r.d < 40), ap as (select s, id, min(d) as d from r group by 1, 2) select id, round(count(*) / nullif(sum(d) * (select count(*) from nodes), 0)::double, 9) as score from ap group by id", True))
+oracle("lp_same_community", sql("pp2", f"{_P2} select u, v, (a.subset = b.subset)::int::double as score from pr join br a on a.id = u join br b on b.id = v"))
+oracle("lp_roc_auc", sql("pp2", f", {_TRAIN}, xy as (select (k - tp) / neg::double as x, arg_max(tp / pos::double, i) as y from cu, to_ group by 1) select round(sum(a), 6) as auc from (select (x - lag(x) over (order by x)) * (y + lag(y) over (order by x)) / 2 as a from xy)"))
+oracle("lp_katz", sql("pp2", f"{_P2}, p as (select u, v, case when a.deg <= b.deg then u else v end as s, case when a.deg <= b.deg then v else u end as t from pr join deg a on a.id = u join deg b on b.id = v), h0 as (select distinct s, s as at_, 1 as k from p)" + "".join(f", h{i} as (select h.s, bo.dst as at_, count(*) as k from h{i - 1} h join bo on bo.src = h.at_ group by 1, 2)" for i in range(1, 5)) + " select u, v, round(" + " + ".join(f"coalesce(max(h{i}.k), 0) * {0.005**i!r}" for i in range(1, 5)) + ", 9) as score from p " + " ".join(f"left join h{i} on h{i}.s = p.s and h{i}.at_ = p.t" for i in range(1, 5)) + " group by u, v"))
+_PREFIX = ", rn as (select ego, alter, dense_rank() over (partition by ego order by score desc) - 1 as r from si), lr as (select coalesce(a.src, b.src) as src, coalesce(a.dst, b.dst) as dst, a.r as ra, b.r as rb from (select src, dst, alter, r from e join rn on ego = src and alter <> dst) a full join (select src, dst, alter, r from e join rn on ego = dst and alter <> src) b on a.src = b.src and a.dst = b.dst and a.alter = b.alter), ks as (select distinct src, dst, unnest([ra, rb]) as k from lr), jk as (select l.src, l.dst, k, count(*) filter (where ra <= k and rb <= k) / count(*) filter (where ra <= k or rb <= k)::double as j from lr l join ks on ks.src = l.src and ks.dst = l.dst and k is not null group by 1, 2, 3), pj as (select e.src, e.dst, e.w, coalesce(max(j), 0.0) as score from e left join jk on jk.src = e.src and jk.dst = e.dst group by 1, 2, 3)"
+oracle("edge_prefix_jaccard", sql("pp2", f"{_SIDE.format(v='w', t='e')}{_PREFIX} select src, dst, round(score, 6) as score from pj"))
+oracle("sparsify_simmelian", sql("pp2", f"{_TRI}{_SIDE.format(v='t', t='ts')}{_PREFIX} select src, dst, w from pj where score >= 0.2"))
+_QUAD = ", qs as (select e.src, e.dst, e.w, coalesce(q, 0)::double as q from e left join (select e.src, e.dst, count(*) as q from e join bo x on x.src = e.src and x.dst <> e.dst join bo y on y.src = e.dst and y.dst <> e.src join bo z on z.src = x.dst and z.dst = y.dst where x.dst <> y.dst group by 1, 2) k on k.src = e.src and k.dst = e.dst), qd as (select id, sum(q) as s from (select src as id, q from qs union all select dst, q from qs) group by id), qg as (select qs.src, qs.dst, case when q = 0 then 0.0 else q / sqrt(a.s * b.s) end as g from qs join qd a on a.id = qs.src join qd b on b.id = qs.dst)"
+oracle("sparsify_quadrilateral", sql("pp2", f"{_QUAD}{_SIDE.format(v='g', t='qg')}{_PREFIX} select src, dst, w from pj where score >= 0.2"))
+oracle("sparsify_random_node_edge", sql("pp2", f" select src, dst, case when {uniform_sql('kind0', 'src', 'dst')} < 0.8 then {uniform_sql('edge0', 'src', 'dst')} when {uniform_sql('end0', 'src', 'dst')} < 0.5 then {uniform_sql('node0', 'src')} else {uniform_sql('node0', 'dst')} end as score from e"))
+_DISPARITY = ", ew as ({}), es as (select id, sum(x) as s, count(*) as d from (select src as id, x from ew union all select dst, x from ew) group by id) select ew.src, ew.dst, e.w from ew join e on e.src = ew.src and e.dst = ew.dst join es a on a.id = ew.src join es b on b.id = ew.dst where greatest(1 - pow(1 - x / nullif(a.s, 0), a.d - 1), 1 - pow(1 - x / nullif(b.s, 0), b.d - 1)) >= {}"
+oracle("sparsify_simmelian_multiscale", sql("pp", _TRI + _DISPARITY.format("select src, dst, t::double as x from ts", "0.8")))
+oracle("sparsify_degree_multiscale", sql("pp2", _DISPARITY.format("select e.src, e.dst, greatest(a.deg, b.deg)::double as x from e join deg a on a.id = e.src join deg b on b.id = e.dst", "0.5")))
+_LOADS = range(4)
+oracle(
+    "algebraic_distance",
+    sql("pp2", f", x0 as materialized (select id, {', '.join(f'{uniform_sql(f"load0:{i}", "id")} as x{i}' for i in _LOADS)} from nodes)" + "".join(f", x{k + 1} as materialized (select p.id, {', '.join(f'coalesce(0.5 * any_value(p.x{i}) + 0.5 * sum(q.x{i} * w) / sum(w), any_value(p.x{i})) as x{i}' for i in _LOADS)} from x{k} p left join bo on bo.dst = p.id left join x{k} q on q.id = bo.src group by p.id)" for k in range(8)) + f", lo as (select {', '.join(f'min(x{i}) as l{i}, max(x{i}) - min(x{i}) as g{i}' for i in _LOADS)} from x8) select src, dst, round(greatest({', '.join(f'abs(a.x{i} - b.x{i}) / g{i}' for i in _LOADS)}), 6) as score from e join x8 a on a.id = src join x8 b on b.id = dst, lo"),
+)
+oracle(
+    "prof_overview",
+    sql("pp2", f"{_LCC}{_CC}, cs as (select component, count(*) as size from cc group by 1), nn as (select count(*) as n from nodes) select n, (select count(*) from e) as m, (select count(*) from e where src = dst) as loops, (select sum(w) from e) as weight, round((select count(*) from e) / (n * (n - 1) / 2.0), 6) as density, (select min(deg) from deg)::bigint as min_deg, (select max(deg) from deg)::bigint as max_deg, round((select avg(deg) from deg), 6) as mean_deg, (select count(*) from deg where deg = 0) as isolated, (select count(*) from cs) as components, (select max(size) from cs)::bigint as largest, round((select sum(2.0 * t) / sum(deg * (deg - 1)) from lc), 6) as closed, round((select avg(lcc) filter (where deg > 1) from lc), 6) as mean_local from nn", True),
+)
+QUERIES["prof_overview"] = lambda s, d: _round(stats.overview(pp2(s, d)), "density", "mean_deg", "closed", "mean_local")
+_SEIR = "select p.id, case when state = 'S' and hit then 'E' when state = 'E' and {t} + 1 - since >= 2 then 'I' when state = 'I' and {t} + 1 - since >= 7 then 'R' else state end as state, case when (state = 'S' and hit) or (state = 'E' and {t} + 1 - since >= 2) or (state = 'I' and {t} + 1 - since >= 7) then {t} + 1 else since end as since from (select x.*, c.dst is not null as hit from x{t} x left join (select distinct bo.dst from x{t} y join bo on bo.src = y.id where y.state = 'I' and {u} < 0.5) c on c.dst = x.id) p"
+oracle("dyn_seir", sql("pp2", f", x0 as materialized (select id, case when id = (select min(src) from e) then 'I' else 'S' end as state, 0 as since from nodes)" + "".join(f", x{t + 1} as materialized ({_SEIR.format(t=t, u=uniform_sql(f'seir0:{t}', 'bo.src', 'bo.dst'))})" for t in range(12)) + " select step, state, nodes from (" + " union all ".join(f"select {t} as step, state, count(*) as nodes from x{t} group by state" for t in range(13)) + ")"))
+oracle("hyper_dynamic", f"with {_HP}, mv as (select id, phi + ({uniform_sql('turn0:1', 'id')} - 0.5) * 0.1 as phi, abs((cosh({_ALPHA} * r) - 1) / {math.cosh(_ALPHA * _R) - 1!r} + ({uniform_sql('drift0:1', 'id')} - 0.5) * 0.05) as u from pt), mt as (select id, phi - floor(phi / {2 * math.pi!r}) * {2 * math.pi!r} as phi, acosh(1 + (case when u > 1 then 2 - u else u end) * {math.cosh(_ALPHA * _R) - 1!r}) / {_ALPHA} as r from mv), mc as (select id, phi, r, cosh(r) as c, sinh(r) as s, cos(phi) as px, sin(phi) as py from mt), h1 as (select least(src, dst) as u, greatest(src, dst) as v from he), h2 as (select a.id as u, b.id as v from mc a join mc b on a.id < b.id where a.c * b.c - a.s * b.s * (a.px * b.px + a.py * b.py) < {math.cosh(_R)!r}) select 'EDGE_REMOVAL' as type, u, v from h1 where not exists (select 1 from h2 where h2.u = h1.u and h2.v = h1.v) union all select 'EDGE_ADDITION', u, v from h2 where not exists (select 1 from h1 where h2.u = h1.u and h2.v = h1.v)")
+oracle("gen_barabasi_albert", f"with recursive x as materialized (select i as e, i // 3 as src, floor({uniform_sql('ba0', 'i')} * (2 * i + 1))::bigint as p from (select unnest(range({_N} * 3)) as i)), r(e, src, p) as (select * from x union all select r.e, r.src, x.p from r join x on r.p % 2 = 1 and x.e = (r.p - 1) // 2) select distinct least(src, p // 6) as src, greatest(src, p // 6) as dst, 1.0::double as w from r where p % 2 = 0 and src <> p // 6")
+oracle("gen_dorogovtsev_mendes", f"with recursive dr as materialized (select u, floor({uniform_sql('dm0', 'u')} * (2 * u - 3))::bigint as r from (select unnest(range(3, {_N})) as u)), x as materialized (select 2 * u - 3 as e, 1 as k, u, r as p from dr union all select 2 * u - 2, 2, u, r from dr), b as (select * from (values (0, 0, 1), (1, 0, 2), (2, 1, 2)) t(e, a, b)), w(u, k, p) as (select u, k, p from x union all select w.u, x.k, x.p from w join x on w.k = 1 and x.e = w.p) select b.a as src, b.b as dst, 1.0::double as w from b union all select case when w.k = 1 then b.a else coalesce(b.b, (w.p + 3) // 2) end, u, 1.0 from w left join b on b.e = w.p where w.k = 2 or b.e is not null")
+oracle("gen_powerlaw_degrees", f"select i as id, 2 + len(list_filter({generators.powerlaw_shares(2, 50, -2.5)!r}, lambda c: c < {uniform_sql('deg0', 'i')}))::bigint as deg from (select unnest(range({_N})) as i)")
