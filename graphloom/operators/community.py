@@ -51,30 +51,30 @@ def louvain(g: Graph, gamma: float = 1.0, levels: int = 8, rounds: int = 12) ->
         vol = level.degrees().select("id", "vol")
         arcs = cut(level.both().where("src <> dst"))
         x = cut(vol.select("id", F.col("id").alias("subset"), "vol"))
-        any_moved = False
+        any_moved = 0
         for i in range(rounds):
             sums = x.groupBy("subset").agg(F.sum("vol").alias("sv"))
-            aff = arcs.join(x.select(F.col("id").alias("dst"), "subset"), "dst").groupBy(F.col("src").alias("id"), "subset").agg(F.sum("w").alias("a"))
-            cand = aff.join(sums, "subset").join(x.select("id", F.col("subset").alias("own"), "vol"), "id")
+            seen = x.join(sums, "subset")
+            aff = arcs.join(seen.select(F.col("id").alias("dst"), "subset", "sv"), "dst").groupBy(F.col("src").alias("id"), "subset", "sv").agg(F.sum("w").alias("a"))
+            cand = seen.withColumnsRenamed({"subset": "own", "sv": "own_sv"}).join(aff, "id", "left")
             # the own subset without the node itself
             gain = F.col("a") / total - gamma * (F.col("sv") - F.when(F.col("subset") == F.col("own"), F.col("vol")).otherwise(0.0)) * F.col("vol") / (2 * total * total)
-            best = cand.select("id", "subset", "own", gain.alias("g")).groupBy("id").agg(F.max_by(F.struct("subset", "g"), F.struct("g", -F.col("subset"))).alias("b"), F.max(F.when(F.col("subset") == F.col("own"), F.col("g"))).alias("stay"))
-            stay = F.coalesce("stay", -gamma * (F.col("sv") - F.col("vol")) * F.col("vol") / (2 * total * total))
-            moves = (F.col("b.subset") != F.col("subset")) & (F.col("b.g") > stay + 1e-12) & (uniform(f"louvain{at}:{i}", "id") < 0.5)
-            new = cut(x.join(sums, "subset").join(best, "id", "left").select("id", F.when(moves, F.col("b.subset")).otherwise(F.col("subset")).alias("subset"), "vol", F.coalesce(moves, F.lit(False)).alias("moved")))
+            best = cand.withColumn("g", gain).groupBy("id", "own", "own_sv", "vol").agg(F.max_by("subset", F.struct("g", -F.col("subset"))).alias("b"), F.max("g").alias("g"), F.max(F.when(F.col("subset") == F.col("own"), F.col("g"))).alias("stay"))
+            stay = F.coalesce("stay", -gamma * (F.col("own_sv") - F.col("vol")) * F.col("vol") / (2 * total * total))
+            wants = F.coalesce((F.col("b") != F.col("own")) & (F.col("g") > stay + 1e-12), F.lit(False))
+            moves = wants & (uniform(f"louvain{at}:{i}", "id") < 0.5)
+            new = cut(best.select("id", F.when(moves, F.col("b")).otherwise(F.col("own")).alias("subset"), "vol", moves.alias("moved"), wants.alias("wants")))
             x = new.select("id", "subset", "vol")
-            if new.where("moved").limit(1).count() == 0 and i % 2:
+            wanting, moved = new.agg(F.count_if("wants"), F.count_if("moved")).first()
+            any_moved += moved
+            if not wanting:
                 break
-            any_moved = any_moved or new.where("moved").limit(1).count() > 0
         if not any_moved:
             break
         named = x.groupBy("subset").agg(F.min("id").alias("name"))
         parts = cut(x.join(named, "subset").select("id", F.col("name").alias("subset")))
         members = cut(members.join(parts.select(F.col("id").alias("subset"), F.col("subset").alias("s")), "subset").select("id", F.col("s").alias("subset")))
-        before = level.nodes.count()
         level = level.contract(parts).cut()
-        if level.nodes.count() >= before:
-            break
     return members
 
 
