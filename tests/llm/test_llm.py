@@ -555,7 +555,7 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     empty = d.limit(0)
     spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    sets = [plain_shingles(t) for _, t in rows]
+    sets = [plain_shingles(r[1]) for r in rows]
     alike = [(a, b) for a in range(len(rows)) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
     # models of one class keep all; line dedup keeps every document; one document of each group stays
     want = {"quality": len(rows), "toxicity": len(rows), "line_dedup": len(rows), "simhash": len(set(connect(len(rows), alike)))}
@@ -564,6 +564,6 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         if name in want:
             assert len(out) == want[name], name
         else:
-            assert sorted({str(r.doc_id) for r in out}) == sorted({str(i) for i, _ in rows})
+            assert sorted({str(r.doc_id) for r in out}) == sorted({str(r[0]) for r in rows})
             assert sum(r.start == 0 for r in out) == len(rows)
         assert stage(spark, empty, str(tmp_path)).count() == 0
