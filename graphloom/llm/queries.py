@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, embedding_dedup, imatch, language, line_dedup, packing, quality, simhash, toxicity, warc
+from graphloom.llm import bpe, embedding_dedup, imatch, language, line_dedup, packing, periodic, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_language": language.op9_language,
     "op10_warc": warc.op10_warc,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
 }
 
 ORACLES = {
