@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, embedding_dedup, imatch, language, line_dedup, packing, periodic, quality, simhash, toxicity, warc
+from graphloom.llm import bpe, curriculum, embedding_dedup, imatch, language, line_dedup, packing, periodic, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language": language.op9_language,
     "op10_warc": warc.op10_warc,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_curriculum": curriculum.op12_curriculum,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_imatch": imatch.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op12_curriculum": curriculum.ORACLE,
 }

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from graphloom.llm import periodic
+from graphloom.llm import curriculum, periodic
 from tests.llm.test_llm import docs, some
 
 SMALL = "/root/testdata/sf0.01"
@@ -90,3 +90,76 @@ def test_periodic_runs_over_whole_table(spark):
     for r in texts:
         if len(r.text) < 4000:
             assert got[r.doc_id] == plain_document(r.doc_id, r.text)
+
+
+# -- 12
+def plain_targets(sizes, weights=(3, 1, 2)):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    capped = set()
+    while True:
+        rest = 1.5 * sum(sizes.values()) - 2 * sum(sizes[s] for s in capped)
+        free = sum(w[s] for s in names if s not in capped)
+        above = {s for s in names if s not in capped and w[s] * rest / free > 2 * sizes[s]}
+        if not above:
+            return {s: 2.0 * sizes[s] if s in capped else w[s] * rest / free for s in names}
+        capped |= above
+
+
+def sourced(spark, rows):
+    return spark.createDataFrame([(i, t, s, "clash", 7) for i, t, s in rows], "doc_id long, text string, source string, words string, size long")
+
+
+def mixed_rows(seed=5):
+    rng = random.Random(seed)
+    rows = [(i, t, rng.choice(["a", "b", "B", "é", None, "hot", "hot", "hot"])) for i, t in some(seed, 300)]
+    return rows + [(9000, "one two", "tiny"), (9001, "", "void"), (9000, "one two", "tiny"), (None, None, None), (None, "x y z", None), (None, "x y z", None)]
+
+
+def test_mixture_equals_brute_force(spark):
+    rows = mixed_rows()
+    got = curriculum.mixture(sourced(spark, rows)).collect()
+    again = curriculum.mixture(sourced(spark, rows[::-1]).repartition(5), buckets=3).collect()
+    strip = lambda rs: Counter((r.doc_id, r.source, r.size, r.source_size, r.target, r.taken, tuple(map(tuple, r.pieces))) for r in rs)
+    assert strip(got) == strip(again) and len(got) == len(rows)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    totals = Counter()
+    for _, t, s in rows:
+        totals[s] += size(t)
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((i, s, size(t)) for i, t, s in rows)
+    want, taken = plain_targets(totals), Counter()
+    for r in got:
+        assert r.source_size == totals[r.source] and r.target == pytest.approx(want[r.source])
+        assert r.taken == sum(p.words for p in r.pieces) <= 2 * r.size
+        taken[r.source] += r.taken
+    assert all(taken[s] == int(want[s] + 1e-9) for s in want)
+    turn = {s: i % 3 for i, s in enumerate([*sorted((s for s in totals if s is not None), key=str.encode), None])}
+    for s in totals:  # a stream: epochs one after another, positions by the inverse of the schedule's integral
+        knots = curriculum.SCHEDULES[turn[s]]
+        grid = np.linspace(0, 1, 200_001)
+        rate = np.interp(grid, [t for t, _ in knots], [w for _, w in knots])
+        upto = np.r_[0, np.cumsum((rate[1:] + rate[:-1]) / 2)]
+        done = 0
+        for p in sorted((p for r in got if r.source == s for p in r.pieces), key=lambda p: (p.epoch, p.position)):
+            assert abs(np.interp((done + p.words / 2) / want[s], upto / upto[-1], grid) - p.position) < 1e-4
+            done += p.words
+    assert curriculum.mixture(sourced(spark, [])).count() == 0
+
+
+def test_training_order_brings_texts(spark):
+    rows = mixed_rows(6)
+    df = sourced(spark, rows)
+    got = curriculum.training_order(df, share=1.2).collect()
+    assert got == sorted(got, key=lambda r: r.position)
+    mixed = curriculum.mixture(df, share=1.2).collect()
+    assert sum(r.words for r in got) == sum(r.taken for r in mixed)
+    assert Counter((r.doc_id, r.source, p.epoch, p.words) for r in mixed for p in r.pieces) == Counter((r.doc_id, r.source, r.epoch, r.words) for r in got)
+    assert all(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) == r.words and r["size"] == 7 for r in got)
+
+
+def test_schedules_of_one_segment_and_bad_ones():
+    assert curriculum.areas(((0.0, 4.0), (1.0, 2.0))) == [0.0, 3.0]
+    with pytest.raises(ValueError):
+        curriculum.areas(((0.0, 0.0), (1.0, 0.0)))
+    with pytest.raises(ValueError):
+        curriculum.areas(((0.0, 1.0), (0.5, 1.0)))
