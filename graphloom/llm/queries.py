@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import bpe, curriculum, embedding_dedup, imatch, language, line_dedup, packing, periodic, quality, simhash, toxicity, warc
+from graphloom.llm import bpe, curriculum, embedding_dedup, hard_negatives, imatch, language, line_dedup, packing, periodic, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_periodic_runs": periodic.op11_periodic_runs,
     "op12_curriculum": curriculum.op12_curriculum,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_warc": warc.ORACLE,
     "op12_curriculum": curriculum.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }

@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from graphloom.llm import curriculum, periodic
+from graphloom.llm import curriculum, hard_negatives, periodic
 from tests.llm.test_llm import docs, some
 
 SMALL = "/root/testdata/sf0.01"
@@ -163,3 +164,57 @@ def test_schedules_of_one_segment_and_bad_ones():
         curriculum.areas(((0.0, 0.0), (1.0, 0.0)))
     with pytest.raises(ValueError):
         curriculum.areas(((0.0, 1.0), (0.5, 1.0)))
+
+
+# -- 13
+VECTORS = "id long, label int, x array<double>, cell string, rank int"
+
+
+def plain_negatives(rows, chosen):
+    first = {}
+    for i, label, x in rows:
+        if i is not None and label is not None and x is not None and all(c is not None and np.isfinite(c) for c in x):
+            first[i] = min(first.get(i, (label, x)), (label, x))
+    lengths = Counter(len(x) for _, x in first.values())
+    d = min((-n, d) for d, n in lengths.items())[1] if lengths else 0
+    first = {i: r for i, r in first.items() if len(r[1]) == d}
+    out = []
+    dot = lambda a, b: int(sum(p * q for p, q in zip(a, b)))
+    for a in filter(chosen, first):
+        scores = sorted((-dot(first[a][1], x), i, label == first[a][0]) for i, (label, x) in first.items() if i != a)
+        for neg, p, _ in [s for s in scores if s[2]][:5]:
+            fit = [(i, -n) for n, i, same in scores if not same and 30 * -neg <= 100 * -n <= 90 * -neg][:10]
+            out += [(a, p, k + 1, i, -neg, n) for k, (i, n) in enumerate(fit)]
+    return out
+
+
+def vectors(seed, n=600, d=8, labels=4):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, d)) * 60
+    rows = [(i, int(rng.integers(labels)), np.floor(centres[rng.integers(6)] + rng.normal(size=d) * 25).tolist()) for i in range(n)]
+    rows += [(n + i, int(rng.integers(labels)), rows[3][2]) for i in range(200)]  # copies
+    rows += [(5, 3, rows[5][2]), (5, 0, rows[6][2]), (5000, None, rows[1][2]), (5001, 1, None), (5002, 1, [None] * d), (5003, 1, [float("nan")] * d), (5004, 1, [float("inf")] * d), (None, 2, rows[2][2]), (5005, 1, [1.0]), (5010, 77, rows[4][2]), (5020, 1, [0.0] * d)]
+    return rows
+
+
+@pytest.mark.parametrize(("pivots", "block_bytes"), [(16, 32 << 20), (3, 64 * 8 * 12)])
+def test_hard_negatives_equal_brute_force(spark, pivots, block_bytes):
+    rows = vectors(pivots)
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], VECTORS)
+    got = hard_negatives.mine(df, F.col("id") % 10 == 0, pivots=pivots, block_bytes=block_bytes).collect()
+    assert Counter(map(tuple, got)) == Counter(plain_negatives(rows, lambda i: i % 10 == 0))
+
+
+def test_hard_negatives_of_odd_tables(spark):
+    one = lambda rows: hard_negatives.mine(spark.createDataFrame([(*r, "", 0) for r in rows], VECTORS), F.col("id") % 10 == 0).collect()
+    assert one([]) == [] and one([(0, 1, [1.0, 2.0])]) == [] and one([(0, 1, None)]) == []
+    assert sorted(tuple(r) for r in one([(0, 1, [10.0]), (1, 1, [10.0]), (2, 2, [5.0]), (3, 2, [5.0]), (4, 2, [10.0])])) == [(0, 1, 1, 2, 100, 50), (0, 1, 2, 3, 100, 50)]
+
+
+def test_brackets_hold():
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(400, 12)) * 40, rng.normal(size=(30, 12)) * 40
+    p = hard_negatives.Pivots(x[:200], (x**2).sum(1).max(), 8)
+    a, b, square = p.distances(q, anchors=True)[:, None], p.distances(x)[None], (q**2).sum(1)[:, None]
+    best, worst = p.scores(np.abs(a - b).max(2), square) + p.slack(square), p.scores((a + b).min(2), square) - p.slack(square)
+    assert ((worst <= q @ x.T) & (q @ x.T <= best)).all()
