@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from graphloom.functions.hashrand import uniform
 from graphloom.graph import Graph
 from graphloom.plans import fixpoint
-from graphloom.plans.fixpoint import cut
+from graphloom.plans.fixpoint import Rounds, cut
 
 # -- detection
 
@@ -36,45 +36,74 @@ def degree_ordered_propagation(g: Graph, rounds: int = 30) -> DataFrame:
     return label_propagation(g.unweighted(), rounds, 0.0, weighted=False)
 
 
-def louvain(g: Graph, gamma: float = 1.0, levels: int = 8, rounds: int = 12) -> DataFrame:
-    """(id, subset): moves by modularity gain, then contraction, until no level gains.
+def louvain(g: Graph, gamma: float = 1.0, least: float = 0.002, history: list | None = None) -> DataFrame:
+    """(id, subset): moves by modularity gain, then contraction, until a level no longer raises modularity.
 
-    All nodes choose at once, so a move is made only by nodes that a draw lets move in the round and only
-    with a gain; subsets are named by their smallest node.
+    All nodes choose at once, and a draw lets half of those that want to move do so. A level ends when no more than a share
+    `least` of its nodes want to, or when twice in a row a round raised modularity by less than `least` times the greatest
+    possible; it hands on the best partition that it saw. So modularity never falls from level to level (history
+    receives its values) and the number of rounds is bounded by its rise, not by a parameter. Subsets are named by their smallest node.
+
+    Each round is one plan: the arcs, their ends' subsets, and the subsets' volumes. Only sums come to the driver.
     """
     total = g.edges.agg(F.sum("w")).first()[0] or 0.0
-    level = Graph(g.nodes, g.edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))).cut()
-    members = cut(g.nodes.select("id", F.col("id").alias("subset")))
     if not total:
-        return members
-    for at in range(levels):
-        vol = level.degrees().select("id", "vol")
-        arcs = cut(level.both().where("src <> dst"))
-        x = cut(vol.select("id", F.col("id").alias("subset"), "vol"))
-        any_moved = 0
-        for i in range(rounds):
+        return g.nodes.select("id", F.col("id").alias("subset"))
+    loop = Rounds(g.nodes.sparkSession, "louvain")
+    edges = loop.put("edges", g.edges.groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    nodes = g.nodes
+    members = loop.put("members", g.nodes.select("id", F.col("id").alias("subset")))
+    best_q, at = None, 0
+    while True:
+        level = Graph(nodes, edges)
+        inner = edges.where("src = dst").select(F.col("src").alias("id"), F.col("w").alias("loop"))
+        vol = level.degrees().select("id", "vol").join(inner, "id", "left").select("id", "vol", F.coalesce("loop", F.lit(0.0)).alias("loop"))
+        arcs = loop.put("arcs", level.both().where("src <> dst"))
+        x, x_at = loop.put("x0", vol.select("id", F.col("id").alias("subset"), "vol", "loop")), "x0"
+        start_q, x_q, x_best, best_at, tired, i = None, None, x, x_at, 0, 0
+        while True:
             sums = x.groupBy("subset").agg(F.sum("vol").alias("sv"))
             seen = x.join(sums, "subset")
-            aff = arcs.join(seen.select(F.col("id").alias("dst"), "subset", "sv"), "dst").groupBy(F.col("src").alias("id"), "subset", "sv").agg(F.sum("w").alias("a"))
+            aff = arcs.join(seen.select(F.col("id").alias("dst"), "subset", "sv"), "dst").groupBy(F.col("src").alias("id"), "subset").agg(F.sum("w").alias("a"), F.first("sv").alias("sv"))
             cand = seen.withColumnsRenamed({"subset": "own", "sv": "own_sv"}).join(aff, "id", "left")
             # the own subset without the node itself
-            gain = F.col("a") / total - gamma * (F.col("sv") - F.when(F.col("subset") == F.col("own"), F.col("vol")).otherwise(0.0)) * F.col("vol") / (2 * total * total)
-            best = cand.withColumn("g", gain).groupBy("id", "own", "own_sv", "vol").agg(F.max_by("subset", F.struct("g", -F.col("subset"))).alias("b"), F.max("g").alias("g"), F.max(F.when(F.col("subset") == F.col("own"), F.col("g"))).alias("stay"))
+            mine = F.col("subset") == F.col("own")
+            gain = F.col("a") / total - gamma * (F.col("sv") - F.when(mine, F.col("vol")).otherwise(0.0)) * F.col("vol") / (2 * total * total)
+            choice = cand.withColumn("g", gain).groupBy("id", "own", "own_sv", "vol", "loop").agg(F.max_by("subset", F.struct("g", -F.col("subset"))).alias("b"), F.max("g").alias("g"), F.max(F.when(mine, F.col("g"))).alias("stay"), F.coalesce(F.sum(F.when(mine, F.col("a"))), F.lit(0.0)).alias("held"))
             stay = F.coalesce("stay", -gamma * (F.col("own_sv") - F.col("vol")) * F.col("vol") / (2 * total * total))
             wants = F.coalesce((F.col("b") != F.col("own")) & (F.col("g") > stay + 1e-12), F.lit(False))
             moves = wants & (uniform(f"louvain{at}:{i}", "id") < 0.5)
-            new = cut(best.select("id", F.when(moves, F.col("b")).otherwise(F.col("own")).alias("subset"), "vol", moves.alias("moved"), wants.alias("wants")))
-            x = new.select("id", "subset", "vol")
-            wanting, moved = new.agg(F.count_if("wants"), F.count_if("moved")).first()
-            any_moved += moved
-            if not wanting:
+            # a node's share of the modularity of the partition that the round began with
+            part = (F.col("held") / 2 + F.col("loop")) / total - gamma * F.col("vol") * F.col("own_sv") / (4 * total * total)
+            new = loop.put(f"x{i + 1}", choice.select("id", F.when(moves, F.col("b")).otherwise(F.col("own")).alias("subset"), "vol", "loop", wants.alias("wants"), part.alias("part")))
+            n, wanting, q = new.agg(F.count(F.lit(1)), F.count_if("wants"), F.sum("part")).first()
+            if start_q is None:
+                start_q = q
+            tired = 0 if x_q is None or q > x_q + least else tired + 1
+            if x_q is None or q > x_q:
+                x_q, x_best, best_at = q, x, x_at
+            if not wanting or tired == 2 or (i and wanting <= least * n):
                 break
-        if not any_moved:
+            if x_at != best_at:
+                loop.drop(x_at)
+            x, x_at, i = new.select("id", "subset", "vol", "loop"), f"x{i + 1}", i + 1
+        best_q = start_q if best_q is None else best_q
+        if history is not None and not history:
+            history.append(start_q)
+        if x_q <= best_q + 1e-9:
             break
-        named = x.groupBy("subset").agg(F.min("id").alias("name"))
-        parts = cut(x.join(named, "subset").select("id", F.col("name").alias("subset")))
-        members = cut(members.join(parts.select(F.col("id").alias("subset"), F.col("subset").alias("s")), "subset").select("id", F.col("s").alias("subset")))
-        level = level.contract(parts).cut()
+        best_q = x_q
+        if history is not None:
+            history.append(best_q)
+        named = x_best.groupBy("subset").agg(F.min("id").alias("name"))
+        parts = loop.put("parts", x_best.join(named, "subset").select("id", F.col("name").alias("subset")))
+        members = loop.put("members", members.join(parts.select(F.col("id").alias("subset"), F.col("subset").alias("s")), "subset").select("id", F.col("s").alias("subset")))
+        edges = loop.put("edges", level.contract(parts).edges)
+        loop.drop(*[name for name in loop.versions if name.startswith("x")])
+        nodes = loop.put("nodes", parts.select(F.col("subset").alias("id")).distinct())
+        at += 1
+    members = cut(members)
+    loop.close()
     return members
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -36,6 +37,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Rounds:
+    """Tables of a loop in the shared folder. A name holds its latest version and the one before, which the latest was made from; older ones are deleted.
+
+    Unlike a checkpoint a table's size is known to the planner, so joins with it are broadcast while it is small and shuffled when
+    it is not. What outlives the loop is cut() before close().
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.versions: dict[str, int] = {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        at = self.versions[name] = self.versions.get(name, -1) + 1
+        path = f"{self.folder}/{name}/{at}"
+        df.write.parquet(path)
+        if at >= 2:
+            remove(self.spark, f"{self.folder}/{name}/{at - 2}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self.versions.pop(name, None)
+            remove(self.spark, f"{self.folder}/{name}")
+
+    def close(self) -> None:
+        remove(self.spark, self.folder)
+
+
 def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame, DataFrame], bool], rounds: int = 100) -> DataFrame:
     """Apply step until changed(old, new) is false; each round's state is cut."""
     for _ in range(rounds):
