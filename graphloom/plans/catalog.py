@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,24 +15,11 @@ from graphloom.operators import triangles as tri
 from graphloom.plans import fixtures as fx
 from graphloom.plans.fixpoint import shared_dir
 from graphloom.plans.fixtures import sql
+from graphloom.plans.registry import ORACLES, QUERIES, query
 from graphloom.sources import readers, writers
 from graphloom.sources.readers import read_graph, read_graphs
 from graphloom.sources.writers import convert, write_graph
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLES[name] = oracle
-        return f
-
-    return add
-
-
 def _round(df: DataFrame, *cols: str, by: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, by) for c in cols})
 
@@ -193,7 +179,7 @@ query("approx_neighborhood_function")(lambda s, d: distance.approx_neighborhood_
 # -- communities
 query("label_propagation")(lambda s, d: community.label_propagation(pp2(s, d)))
 query("degree_ordered_propagation")(lambda s, d: community.degree_ordered_propagation(pp2(s, d), 10))
-query("louvain")(lambda s, d: community.louvain(pp2(s, d), levels=4, rounds=8))
+query("louvain")(lambda s, d: community.louvain(pp2(s, d)))
 query("agglomerative")(lambda s, d: community.agglomerate(pp2(s, d), rounds=4))
 _LAB = ", la as (select e.src, e.dst, e.w, a.subset as p, b.subset as q from e join br a on a.id = e.src join br b on b.id = e.dst)"
 _SUB = f"{_LAB}, su as (select subset, count(*) as size from br group by 1), ed as (select p as s, q as o, w from la union all select q, p, w from la), st as (select su.subset, size, coalesce(sum(case when s = o then w else 0 end), 0) / 2 as inn, coalesce(sum((s = o)::int), 0) / 2 as ie, coalesce(sum(case when s <> o then w else 0 end), 0) as cut, coalesce(sum(w), 0) as vol from su left join ed on ed.s = su.subset group by 1, 2)"
@@ -486,3 +472,5 @@ oracle("hyper_dynamic", f"with {_HP}, mv as (select id, phi + ({uniform_sql('tur
 oracle("gen_barabasi_albert", f"with recursive x as materialized (select i as e, i // 3 as src, floor({uniform_sql('ba0', 'i')} * (2 * i + 1))::bigint as p from (select unnest(range({_N} * 3)) as i)), r(e, src, p) as (select * from x union all select r.e, r.src, x.p from r join x on r.p % 2 = 1 and x.e = (r.p - 1) // 2) select distinct least(src, p // 6) as src, greatest(src, p // 6) as dst, 1.0::double as w from r where p % 2 = 0 and src <> p // 6")
 oracle("gen_dorogovtsev_mendes", f"with recursive dr as materialized (select u, floor({uniform_sql('dm0', 'u')} * (2 * u - 3))::bigint as r from (select unnest(range(3, {_N})) as u)), x as materialized (select 2 * u - 3 as e, 1 as k, u, r as p from dr union all select 2 * u - 2, 2, u, r from dr), b as (select * from (values (0, 0, 1), (1, 0, 2), (2, 1, 2)) t(e, a, b)), w(u, k, p) as (select u, k, p from x union all select w.u, x.k, x.p from w join x on w.k = 1 and x.e = w.p) select b.a as src, b.b as dst, 1.0::double as w from b union all select case when w.k = 1 then b.a else coalesce(b.b, (w.p + 3) // 2) end, u, 1.0 from w left join b on b.e = w.p where w.k = 2 or b.e is not null")
 oracle("gen_powerlaw_degrees", f"select i as id, 2 + len(list_filter({generators.powerlaw_shares(2, 50, -2.5)!r}, lambda c: c < {uniform_sql('deg0', 'i')}))::bigint as deg from (select unnest(range({_N})) as i)")
+
+from graphloom.plans import more  # noqa: E402, F401 - registers its queries

@@ -26,6 +26,15 @@ def co_orders(spark: SparkSession, d: str, least: int = 1) -> Graph:
     return Graph.from_edges(e.where(F.col("w") >= least), parts(spark, d))
 
 
+def suppliers(spark: SparkSession, d: str, over: float = 1.2) -> Graph:
+    """Suppliers linked by the number of orders that both deliver to, where it exceeds the mean of all linked pairs by a factor."""
+    os = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
+    e = os.join(os.withColumnRenamed("s", "t"), "o").where("s < t").groupBy(F.col("s").alias("src"), F.col("t").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    mean = e.agg(F.avg("w").alias("mean"))
+    e = e.join(F.broadcast(mean)).where(F.col("w") > F.lit(over) * F.col("mean")).drop("mean")  # one row
+    return Graph.from_edges(e, table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")))
+
+
 def part_suppliers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).distinct()
 
@@ -66,6 +75,12 @@ _SQ = "select l_partkey as src, lead(l_partkey) over (partition by l_orderkey or
 _EDGES = {
     "pp": _OP | {"e": "select * from pp"},
     "pp2": _OP | {"e": "select * from pp where w >= 2"},
+    "ss": {
+        "os": "select distinct l_orderkey as o, l_suppkey as s from lineitem",
+        "sp": "select a.s as src, b.s as dst, count(*)::double as w from os a join os b on a.o = b.o and a.s < b.s group by 1, 2",
+        "e": "select src, dst, w from sp where w > 1.2 * (select avg(w) from sp)",
+        "nodes": "select s_suppkey as id from supplier",
+    },
     "seq": {"sq": _SQ, "e": "select src, dst, count(*)::double as w from sq where dst is not null and src <> dst group by 1, 2 having count(*) >= 2"},
     "visits": {
         "vx": "select event_id as seq, (ts::date - date '1970-01-01')::bigint as step, user_id as u, lead(user_id) over (partition by ts::date order by event_id) as v, event_type from events",
@@ -82,8 +97,8 @@ _COMMON = {
 
 
 def sql(graph: str, body: str, recursive: bool = False) -> str:
-    """A query over e, nodes, bo (both directions), deg, br and sz (partitions), of graph pp, pp2 (at least two orders) or seq; only what it names is defined, and computed once."""
-    tables = _EDGES[graph] | (_COMMON if graph != "visits" else {})
+    """A query over e, nodes, bo (both directions), deg, br and sz (partitions), of graph pp, pp2 (at least two orders), ss (suppliers) or seq; only what it names is defined, and computed once."""
+    tables = _EDGES[graph] | ({t: q for t, q in _COMMON.items() if t not in _EDGES[graph]} if graph != "visits" else {})
     used, texts = set(), [body]
     while texts:
         found = {t for t in tables if re.search(rf"\b{t}\b", texts[-1])} - used
