@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform
 from graphloom.graph import Graph
+from graphloom.operators.rooted import path_minima
 from graphloom.plans import fixpoint
 from graphloom.plans.fixpoint import cut
 
 
 #: Edges that one task joins by union-find; more go by rounds of joins.
 SMALL = 500_000
-#: Distinct weights that union_maximum_forest takes.
-LEVELS = 4096
 
 
 def connected_components(g: Graph) -> DataFrame:
@@ -92,33 +91,15 @@ def maximum_forest(g: Graph, jitter: int | None = None) -> DataFrame:
 
 
 def union_maximum_forest(g: Graph) -> DataFrame:
-    """Edges that some maximum-weight forest has: those whose ends no heavier edges connect, a weight class at a time inside the forest.
+    """Edges that some maximum-weight forest has: those whose ends no heavier edges connect. Weights may be any numbers.
 
     An edge belongs iff it is as heavy as the lightest edge on its path in one maximum forest.
     """
     forest = cut(maximum_forest(g))
-    low = _path_minimum(g, forest)
+    low = path_minima(forest, g.edges.where("src <> dst"))
     return g.edges.where("src <> dst").join(low, ["src", "dst"]).where("w >= low").select("src", "dst", "w")
 
 
-def _path_minimum(g: Graph, forest: DataFrame) -> DataFrame:
-    """(src, dst, low): for each edge of g, the lightest forest edge between its ends."""
-    weights = [r.w for r in forest.select("w").distinct().orderBy(F.desc("w")).limit(LEVELS + 1).collect()]  # distinct weights, not edges
-    if len(weights) > LEVELS:
-        raise ValueError(f"over {LEVELS} distinct weights; round them first")
-    found = None
-    open_edges = cut(g.edges.where("src <> dst").select("src", "dst").distinct())
-    for w in weights:
-        if open_edges.isEmpty():
-            break
-        comp = fixpoint.components(forest.where(F.col("w") >= w), small=SMALL)
-        met = open_edges.join(comp.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(comp.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").where("a = b").select("src", "dst", F.lit(w).alias("low"))
-        met = cut(met)
-        found = met if found is None else found.union(met)
-        open_edges = cut(open_edges.join(met, ["src", "dst"], "left_anti"))
-    return found if found is not None else open_edges.withColumn("low", F.lit(0.0))
-
-
 def random_forest(g: Graph, salt: int = 0) -> DataFrame:
     """A spanning forest drawn by random edge weights."""
     e = g.edges.select("src", "dst", uniform(f"tree{salt}", "src", "dst").alias("w"))

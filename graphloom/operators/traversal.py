@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.plans.fixpoint import cut
+from graphloom.plans.fixpoint import Rounds, cut
 
 
 def bfs(g: Graph, sources: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -38,6 +38,64 @@ def dijkstra(g: Graph, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
     raise RuntimeError("distances still fall; is a weight negative?")
 
 
+class NearestNodes:
+    """Nodes of one set of sources in the order of their distance, released on demand by buckets of width `delta`.
+
+    A bucket is settled by relaxing its light arcs (no heavier than delta) until nothing in it changes; heavy arcs are
+    relaxed once, when it is done, as they lead to later buckets only. Arcs of nodes in later buckets are not read until their
+    bucket's turn. Weights are not negative; without delta the mean weight is taken.
+    """
+
+    def __init__(self, g: Graph, sources: DataFrame, delta: float | None = None):
+        self.loop = Rounds(g.nodes.sparkSession, "nearest")
+        self.arcs = self.loop.put("arcs", g.both().where("src <> dst").groupBy(F.col("src").alias("id"), "dst").agg(F.min("w").alias("w")))
+        mean, least = self.arcs.agg(F.avg("w"), F.min("w")).first()
+        if least is not None and least < 0:
+            raise ValueError("weights are not negative")
+        self.delta = delta or mean or 1.0
+        self.tent = self.loop.put("tent", sources.select("id", F.lit(0.0).alias("dist"), F.lit(False).alias("done")).distinct())
+        self.settled = 0
+
+    def next_bucket(self) -> DataFrame | None:
+        """(id, dist) of the nearest bucket not yet released, settled; none when all reachable nodes are out."""
+        low = self.tent.where("not done").agg(F.min("dist")).first()[0]
+        if low is None:
+            return None
+        end = (low // self.delta + 1) * self.delta
+        inside = (F.col("dist") < end) & ~F.col("done")
+        active = self.tent.where(inside).select("id", "dist")
+        while True:
+            moved = self._relax(active, self.arcs.where(F.col("w") <= self.delta))
+            active = moved.where(F.col("fell") & (F.col("dist") < end)).select("id", "dist")
+            if active.isEmpty():
+                break
+        bucket = self.tent.where(inside).select("id", "dist")
+        self._relax(bucket, self.arcs.where(F.col("w") > self.delta))
+        bucket = cut(self.tent.where(inside).select("id", "dist"))
+        self.settled += bucket.count()
+        self.tent = self.loop.put("tent", self.tent.select("id", "dist", (F.col("done") | (F.col("dist") < end)).alias("done")))
+        return bucket
+
+    def _relax(self, active: DataFrame, arcs: DataFrame) -> DataFrame:
+        found = active.join(arcs, "id").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("dist") + F.col("w")).alias("n"))
+        both = self.tent.join(found, "id", "full")
+        new = self.loop.put("tent", both.select("id", F.least("dist", "n").alias("dist"), F.coalesce("done", F.lit(False)).alias("done"), F.coalesce(F.col("n") < F.col("dist"), F.col("dist").isNull()).alias("fell")))
+        self.tent = new.drop("fell")
+        return new
+
+    def close(self) -> None:
+        self.loop.close()
+
+
+def nearest(g: Graph, sources: DataFrame, k: int, delta: float | None = None) -> DataFrame:
+    """(id, dist): the first k nodes by (distance, id); buckets beyond them are never opened."""
+    search, found = NearestNodes(g, sources, delta), None
+    while search.settled < k and (bucket := search.next_bucket()) is not None:
+        found = bucket if found is None else found.union(bucket)
+    search.close()
+    return (found if found is not None else sources.select("id", F.lit(0.0).alias("dist")).where("false")).orderBy("dist", "id").limit(k)
+
+
 def predecessors(g: Graph, dist: DataFrame) -> DataFrame:
     """(source, id, pred): every neighbour that is last on some shortest path of dist."""
     a = dist.select("source", F.col("id").alias("src"), F.col("dist").alias("d"))

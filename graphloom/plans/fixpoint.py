@@ -30,18 +30,21 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Run df once and keep its rows in the shared folder; later plans start from those files."""
+    """Run df once and keep its rows as a table in the shared folder; later plans start from those files.
+
+    A table's size is what its files hold. A checkpoint keeps the size that the planner had guessed, and where a loop joins
+    a state with itself such guesses square from round to round, until planning a round takes minutes.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+    path = f"{shared_dir(spark).rstrip('/')}/graphloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 class Rounds:
     """Tables of a loop in the shared folder. A name holds its latest version and the one before, which the latest was made from; older ones are deleted.
 
-    Unlike a checkpoint a table's size is known to the planner, so joins with it are broadcast while it is small and shuffled when
-    it is not. What outlives the loop is cut() before close().
+    What outlives the loop is cut() before close().
     """
 
     def __init__(self, spark: SparkSession, name: str):

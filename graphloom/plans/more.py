@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform, uniform_sql
 from graphloom.graph import Graph
-from graphloom.operators import centrality, community, sampled
+from graphloom.operators import centrality, community, components, rooted, sampled, traversal
 from graphloom.plans import fixtures as fx
 from graphloom.plans.fixtures import sql
 from graphloom.plans.registry import query
@@ -61,3 +61,42 @@ def _louvain_check(g: Graph) -> DataFrame:
 
 
 query("louvain_check", sql("pp2", ", r(id, c) as (select id, id from nodes union select bo.dst, r.c from r join bo on bo.src = r.id and r.c < bo.dst), cc as (select id, min(c) as c from r group by id), tot as (select sum(w) as t from e) select round((select sum(w) from e) / t - sum(v * v) / (4 * t * t), 6) as components, true as as_good_as_labels, true as better_than_components, true as rising from (select c, sum(wdeg) as v from cc join deg using (id) group by c), tot group by t", True))(lambda s, d: _louvain_check(fx.co_orders(s, d, 2).cut()))
+
+
+# -- trees and distances
+_REAL = f"round(w + {uniform_sql('real', 'src', 'dst')}, 6)"
+
+
+def _real(g: Graph) -> Graph:
+    """Weights that hardly ever repeat."""
+    return Graph(g.nodes, g.edges.select("src", "dst", F.round(F.col("w") + uniform("real", "src", "dst"), 6).alias("w"))).cut()
+
+
+query("union_max_forest_real", sql("ss", f", q as materialized (select src, dst, {_REAL} as w from e), bq as (select src, dst, w from q union all select dst, src, w from q), th as (select distinct w as t from q), r(t, id, c) as (select t, id, id from th, nodes union select r.t, bq.dst, r.c from r join bq on bq.src = r.id and bq.w > r.t and r.c < bq.dst), cc as (select t, id, min(c) as c from r group by 1, 2) select q.src, q.dst, q.w from q join cc a on a.t = q.w and a.id = q.src join cc b on b.t = q.w and b.id = q.dst where a.c <> b.c", True))(lambda s, d: components.union_maximum_forest(_real(ss(s, d))))
+query("forest_parents_check", sql("pp2", ", r(id, c) as (select id, id from nodes union select bo.dst, r.c from r join bo on bo.src = r.id and r.c < bo.dst), cc as (select id, min(c) as c from r group by id) select count(*) - count(distinct c) as parents, true as upward from cc", True))(lambda s, d: _parents(fx.co_orders(s, d, 2).cut()))
+query("forest_path_minima", sql("ss", f", q as materialized (select src, dst, {_REAL} as w from e), bq as (select src, dst, w from q union all select dst, src, w from q), th as (select distinct w as t from q), r(t, id, c) as (select t, id, id from th, nodes union select r.t, bq.dst, r.c from r join bq on bq.src = r.id and bq.w >= r.t and r.c < bq.dst), cc as (select t, id, min(c) as c from r group by 1, 2) select p.id as src, n.id as dst, max(a.t) as low from nodes p join nodes n on n.id = p.id + 7 join cc a on a.id = p.id join cc b on b.id = n.id and b.t = a.t and b.c = a.c group by 1, 2", True))(lambda s, d: _minima(_real(ss(s, d))))
+
+
+def _parents(g: Graph) -> DataFrame:
+    """One row: the number of nodes that have a parent, and whether each edge of the forest leads to exactly one parent."""
+    forest = components.maximum_forest(g)
+    up = rooted.rooted(forest)
+    edges = up.select(F.least("id", "parent").alias("src"), F.greatest("id", "parent").alias("dst")).distinct()
+    same = forest.select("src", "dst").exceptAll(edges).isEmpty() and edges.exceptAll(forest.select("src", "dst")).isEmpty()
+    return up.agg(F.count(F.lit(1)).alias("parents"), (F.lit(same) & (F.count(F.lit(1)) == F.count_distinct("id"))).alias("upward"))
+
+
+def _minima(g: Graph) -> DataFrame:
+    """The narrowest edge between each node and the one seven ids further: the weight at which they connect."""
+    pairs = g.nodes.select(F.col("id").alias("src"), (F.col("id") + 7).alias("dst"))
+    return rooted.path_minima(components.maximum_forest(g), pairs)
+
+
+_NEAR = ", q as (select src, dst, 1 / w as w from bo), r(id, dist) as (select min(id), 0e0 from nodes union select q.dst, r.dist + q.w from r join q on q.src = r.id where r.dist + q.w < 0.25)"
+
+
+def _inverse(g: Graph) -> Graph:
+    return Graph(g.nodes, g.edges.select("src", "dst", (1 / F.col("w")).alias("w"))).cut()
+
+
+query("dijkstra_nearest", sql("ss", f"{_NEAR} select id, round(min(dist), 9) as dist from r group by id order by min(dist), id limit 30", True))(lambda s, d: (lambda g: traversal.nearest(g, g.nodes.agg(F.min("id").alias("id")), 30).select("id", F.round("dist", 9).alias("dist")))(_inverse(ss(s, d))))
