@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import curriculum, hard_negatives, periodic
+from graphloom.llm import curriculum, hard_negatives, jaccard, periodic
 from tests.llm.test_llm import docs, some
 
 SMALL = "/root/testdata/sf0.01"
@@ -218,3 +218,25 @@ def test_brackets_hold():
     a, b, square = p.distances(q, anchors=True)[:, None], p.distances(x)[None], (q**2).sum(1)[:, None]
     best, worst = p.scores(np.abs(a - b).max(2), square) + p.slack(square), p.scores((a + b).min(2), square) - p.slack(square)
     assert ((worst <= q @ x.T) & (q @ x.T <= best)).all()
+
+
+# -- near-dedup of pages that share a template
+def test_template_pages_form_few_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    shared = " ".join(f"t{i}" for i in range(200))
+    rows = [(i, shared + " " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(40))) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " and more") for i in range(5)]
+    written, keep = [], jaccard.Scratch.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard.Scratch, "keep", counted)
+    found = jaccard.groups(docs(spark, rows)).collect()
+    assert max(written) < 60 * len(rows)  # all pairs would be 46,360 rows in one table; shingles are 49 a page
+    members = defaultdict(set)
+    for r in found:
+        members[r.component].add(r.doc_id)
+    assert sorted(sorted(m) for m in members.values() if len(m) > 1) == [[i, 1000 + i] for i in range(5)]
