@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform, uniform_sql
 from graphloom.graph import Graph
-from graphloom.operators import centrality, community, components, rooted, sampled, traversal
+from graphloom.operators import algebra, centrality, community, components, rooted, sampled, spectral, traversal
 from graphloom.plans import fixtures as fx
+from graphloom.plans.fixpoint import cut
 from graphloom.plans.fixtures import sql
 from graphloom.plans.registry import query
 
@@ -100,3 +101,39 @@ def _inverse(g: Graph) -> Graph:
 
 
 query("dijkstra_nearest", sql("ss", f"{_NEAR} select id, round(min(dist), 9) as dist from r group by id order by min(dist), id limit 30", True))(lambda s, d: (lambda g: traversal.nearest(g, g.nodes.agg(F.min("id").alias("id")), 30).select("id", F.round("dist", 9).alias("dist")))(_inverse(ss(s, d))))
+
+
+# -- spectra
+_POWER = ", x0 as materialized (select id, 1e0 as v from nodes)" + "".join(f", y{i} as materialized (select n.id, coalesce(sum(bo.w * x.v), 0e0) as v from nodes n left join bo on bo.src = n.id left join x{i} x on x.id = bo.dst group by n.id), x{i + 1} as materialized (select id, v / (select sqrt(sum(v * v)) from y{i}) as v from y{i})" for i in range(40))
+
+
+def _spectrum(g: Graph) -> DataFrame:
+    """One row: the greatest eigenvalue, whether the first three are eigenpairs, and whether their vectors are orthonormal."""
+    m = cut(algebra.adjacency(g))
+    values, x = spectral.eigenvectors(m, 3, tol=1e-10)
+    off = x.agg(*[F.abs(F.sum(F.col("x")[a] * F.col("x")[b]) - (1.0 if a == b else 0.0)).alias(f"g{a}{b}") for a in range(3) for b in range(a + 1)])
+    unit = off.select((F.greatest(*off.columns) < 1e-6).alias("orthonormal"))
+    return spectral.residuals(m, values, x).agg(F.round(F.max("value"), 4).alias("top"), (F.max("residual") < 1e-6).alias("exact")).join(unit)
+
+
+query("spectrum", sql("ss", f"{_POWER} select round(sum(x.v * y.v), 4) as top, true as exact, true as orthonormal from x40 x join (select n.id, coalesce(sum(bo.w * x.v), 0e0) as v from nodes n left join bo on bo.src = n.id left join x40 x on x.id = bo.dst group by n.id) y using (id)"))(lambda s, d: _spectrum(ss(s, d)))
+
+
+def _parted(g: Graph) -> DataFrame:
+    """(subset, size, better): sizes of the parts, and whether they cut less weight than parts of consecutive ids."""
+    found = cut(spectral.spectral_partition(g, 4))
+    cuts = [community.edge_cut(g, p).first()[0] for p in (found, community.balanced(g, 4))]
+    return found.groupBy("subset").agg(F.count(F.lit(1)).alias("size")).withColumn("better", F.lit(cuts[0] < cuts[1]))
+
+
+query("spectral_partition", sql("ss", " select subset, count(*) as size, true as better from (select floor((row_number() over (order by id) - 1) * 4 / (select count(*) from nodes))::bigint as subset from nodes) group by 1"))(lambda s, d: _parted(ss(s, d)))
+
+
+def _proper(g: Graph, colors: DataFrame) -> DataFrame:
+    """One row: coloured nodes, and edges whose ends have one colour."""
+    a, b = (colors.select(F.col("id").alias(c), F.col("color").alias(f"c{c}")) for c in ("src", "dst"))
+    bad = g.without_loops().edges.join(a, "src").join(b, "dst").where("csrc = cdst").agg(F.count(F.lit(1)).alias("bad"))
+    return colors.agg(F.count_distinct("id").alias("nodes")).join(bad)
+
+
+query("spectral_coloring_check", sql("pp2", " select count(*) as nodes, 0::bigint as bad from nodes"))(lambda s, d: _proper(g := fx.co_orders(s, d, 2).cut(), spectral.spectral_coloring(g)))
