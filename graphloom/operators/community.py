@@ -31,9 +31,36 @@ def label_propagation(g: Graph, rounds: int = 50, theta: float = 1e-5, weighted:
     return x
 
 
-def degree_ordered_propagation(g: Graph, rounds: int = 30) -> DataFrame:
-    """Label propagation on counts of neighbours, where a round moves the nodes of one degree class modulo the rounds' turn."""
-    return label_propagation(g.unweighted(), rounds, 0.0, weighted=False)
+def degree_ordered_propagation(g: Graph, least: float = 1e-5) -> DataFrame:
+    """(id, subset): label propagation where nodes move one after another by rising degree.
+
+    Nodes of one degree class (powers of two) and one colour of a proper colouring don't see each other, so they move in one plan, and the
+    classes go in order: each node takes the commonest label around it, as the nodes before it have left it; the smallest of
+    equals, its own first. Since a move makes more edges agree, it ends by itself: when at most a share `least` of the nodes moved.
+    """
+    from graphloom.operators.coloring import greedy_coloring
+
+    loop = Rounds(g.nodes.sparkSession, "ordered")
+    arcs = loop.put("arcs", g.without_loops().both().select("src", "dst").distinct())
+    deg = arcs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg"))
+    order = deg.join(greedy_coloring(g), "id").select("id", F.floor(F.log2("deg")).cast("int").alias("class"), "color")
+    x = loop.put("x", g.nodes.select("id", F.col("id").alias("subset")).join(order, "id", "left"))
+    turns = [(r["class"], r.color) for r in x.where("class is not null").select("class", "color").distinct().orderBy("class", "color").collect()]  # classes times colours
+    n = g.nodes.count()
+    while True:
+        moved = 0
+        for c, k in turns:
+            mine = x.where((F.col("class") == c) & (F.col("color") == k)).select(F.col("id").alias("src"), F.col("subset").alias("own"))
+            heard = mine.join(arcs, "src").join(x.select(F.col("id").alias("dst"), "subset"), "dst").groupBy("src", "own", "subset").agg(F.count(F.lit(1)).alias("s"))
+            best = heard.groupBy(F.col("src").alias("id")).agg(F.max_by("subset", F.struct("s", (F.col("subset") == F.col("own")).cast("int"), -F.col("subset"))).alias("b"))
+            new = loop.put("x", x.join(best, "id", "left").select("id", F.coalesce("b", "subset").alias("subset"), "class", "color", (F.col("b") != F.col("subset")).alias("moved")))
+            moved += new.where("moved").count()
+            x = new.drop("moved")
+        if moved <= least * n:
+            break
+    out = cut(x.select("id", "subset"))
+    loop.close()
+    return out
 
 
 def louvain(g: Graph, gamma: float = 1.0, least: float = 0.002, history: list | None = None) -> DataFrame:

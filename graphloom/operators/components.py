@@ -9,7 +9,7 @@ from graphloom.functions.hashrand import uniform
 from graphloom.graph import Graph
 from graphloom.operators.rooted import path_minima
 from graphloom.plans import fixpoint
-from graphloom.plans.fixpoint import cut
+from graphloom.plans.fixpoint import Rounds, cut
 
 
 #: Edges that one task joins by union-find; more go by rounds of joins.
@@ -107,6 +107,48 @@ def random_forest(g: Graph, salt: int = 0) -> DataFrame:
     return f.select("src", "dst").join(g.edges, ["src", "dst"])
 
 
+def uniform_forest(g: Graph, salt: int = 0) -> DataFrame:
+    """(src, dst, w): a spanning forest drawn uniformly among all (with weights, in proportion to the product of a forest's weights).
+
+    Each component's least node is its root. Every other node points at a neighbour by a draw; nodes on cycles of these
+    pointers draw again, all cycles at once, until none is left. In whatever order cycles go, what remains is a uniform tree. Where
+    a node's pointers lead to in 2^k steps comes by doubling: with 2^k past the number of open nodes, it is the root or a place on a
+    cycle, and all places of a cycle are found so. Nodes that lead to a root are done and leave.
+    """
+    loop = Rounds(g.nodes.sparkSession, "uniform")
+    e = g.without_loops().edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    arcs = loop.put("arcs", e.union(e.select("dst", "src", "w")))
+    roots = fixpoint.components(e).where("id = component").select("id")
+    open_ = loop.put("open", arcs.select(F.col("src").alias("id")).distinct().join(roots, "id", "left_anti").select("id", F.lit(0).alias("turn")))
+    arrows, done = loop.put("arrows", _arrows(open_, arcs, salt)), None
+    while not open_.isEmpty():
+        n = open_.count()
+        far = arrows.select("id", "to")
+        for _ in range(max(1, n.bit_length())):
+            ahead = far.select(F.col("id").alias("to"), F.col("to").alias("next"))
+            far = loop.put("far", far.join(ahead, "to", "left").select("id", F.coalesce("next", "to").alias("to")))
+        # nodes that are not open lead on to a root
+        stuck = loop.put("stuck", far.join(open_.select(F.col("id").alias("to")), "to", "left_semi"))
+        ended = loop.put("ended", arrows.join(stuck.select("id"), "id", "left_anti").select("id", "to"))
+        done = loop.put("done", ended if done is None else done.union(ended))
+        cycle = stuck.select(F.col("to").alias("id")).distinct().withColumn("again", F.lit(1))
+        open_ = loop.put("open", open_.join(stuck.select("id"), "id", "left_semi").join(cycle, "id", "left").select("id", (F.col("turn") + F.coalesce("again", F.lit(0))).alias("turn"), F.col("again").isNotNull().alias("again")))
+        fresh = _arrows(open_.where("again").select("id", "turn"), arcs, salt)
+        arrows = loop.put("arrows", arrows.select("id", "to").join(open_.where("not again").select("id"), "id", "left_semi").union(fresh.select("id", "to")))
+        open_ = open_.select("id", "turn")
+    out = g.edges.where("false").select("src", "dst", "w") if done is None else done.select(F.least("id", "to").alias("src"), F.greatest("id", "to").alias("dst")).join(e, ["src", "dst"])
+    out = cut(out.select("src", "dst", "w"))
+    loop.close()
+    return out
+
+
+def _arrows(nodes: DataFrame, arcs: DataFrame, salt: int) -> DataFrame:
+    """(id, to): a neighbour of each node, drawn by weight with the node's turn."""
+    options = nodes.join(arcs.withColumnRenamed("src", "id"), "id")
+    key = F.log(F.greatest(uniform(f"arrow{salt}", "id", "dst", "turn"), F.lit(1e-12))) / F.col("w")
+    return options.groupBy("id").agg(F.max_by("dst", F.struct(key.alias("k"), "dst")).alias("to"))
+
+
 def bfs_forest(g: Graph) -> DataFrame:
     """A breadth-first forest from each component's smallest id."""
     from graphloom.operators.traversal import bfs_tree

@@ -88,99 +88,6 @@ def _adjacency(pdf: pd.DataFrame) -> dict[int, dict[int, float]]:
     return adj
 
 
-def max_clique(g: Graph) -> DataFrame:
-    """(id): a largest clique; branch and bound in the order of degeneracy with greedy colours as the bound."""
-
-    def run(pdf):
-        adj = {u: set(v) for u, v in _adjacency(pdf).items()}
-        best: list[int] = []
-
-        def grow(clique: list[int], cand: set[int]) -> None:
-            nonlocal best
-            colors: list[tuple[int, int]] = []
-            left, color = sorted(cand), 0
-            while left:
-                color += 1
-                free, rest = set(left), []
-                for v in left:
-                    if v in free:
-                        colors.append((color, v))
-                        free -= adj[v]
-                        free.discard(v)
-                    else:
-                        rest.append(v)
-                left = [v for v in left if v in set(rest)]
-            for color, v in reversed(colors):
-                if len(clique) + color <= len(best):
-                    return
-                if len(clique) + 1 > len(best):
-                    best = [*clique, v]
-                grow([*clique, v], cand & adj[v])
-                cand = cand - {v}
-
-        heap = [(len(v), u) for u, v in adj.items()]
-        heapq.heapify(heap)
-        deg, done, order = {u: len(v) for u, v in adj.items()}, set(), []
-        while heap:
-            k, u = heapq.heappop(heap)
-            if u in done or k != deg[u]:
-                continue
-            done.add(u)
-            order.append(u)
-            for v in adj[u] - done:
-                deg[v] -= 1
-                heapq.heappush(heap, (deg[v], v))
-        place = {u: i for i, u in enumerate(order)}
-        for u in reversed(order):
-            grow([u], {v for v in adj[u] if place[v] > place[u]})
-        return pd.DataFrame({"id": sorted(best)})
-
-    return kernel(g, run, "id long")
-
-
-def max_flow(g: Graph, source: int, sink: int) -> DataFrame:
-    """(src, dst, flow, source_side): shortest augmenting paths over undirected capacities; the flow is signed by direction."""
-
-    def run(pdf):
-        cap = defaultdict(lambda: defaultdict(float))
-        for s, d, w in zip(pdf["src"], pdf["dst"], pdf["w"], strict=True):
-            cap[s][d] += w
-            cap[d][s] += w
-        room = {u: dict(v) for u, v in cap.items()}
-
-        def search():
-            came, queue = {source: source}, deque([source])
-            while queue:
-                u = queue.popleft()
-                for v, r in room.get(u, {}).items():
-                    if r > 1e-12 and v not in came:
-                        came[v] = u
-                        if v == sink:
-                            return came
-                        queue.append(v)
-            return came
-
-        while sink in (came := search()):
-            path, v = [], sink
-            while v != source:
-                path.append((came[v], v))
-                v = came[v]
-            least = min(room[a][b] for a, b in path)
-            for a, b in path:
-                room[a][b] -= least
-                room[b][a] += least
-        rows = [(s, d, w - min(w, room[s][d]) if room[s][d] <= w else -(w - room[d][s])) for s, d, w in zip(pdf["src"], pdf["dst"], pdf["w"], strict=True)]
-        return pd.DataFrame([(s, d, f, s in came) for s, d, f in rows], columns=["src", "dst", "flow", "source_side"])
-
-    return kernel(g, run, "src long, dst long, flow double, source_side boolean")
-
-
-def max_flow_value(g: Graph, source: int, sink: int) -> DataFrame:
-    f = max_flow(g, source, sink)
-    into = F.when(F.col("dst") == sink, F.col("flow")).when(F.col("src") == sink, -F.col("flow")).otherwise(0.0)
-    return f.agg(F.sum(into).alias("value"))
-
-
 def path_growing(g: Graph) -> DataFrame:
     """(src, dst): the better of two alternating matchings along greedily grown heaviest paths."""
 
@@ -207,50 +114,3 @@ def path_growing(g: Graph) -> DataFrame:
         return pd.DataFrame(out, columns=["src", "dst"]).astype("int64")
 
     return kernel(g, run, "src long, dst long")
-
-
-def cut_clustering(g: Graph, alpha: float) -> DataFrame:
-    """(id, subset): communities of the min-cut tree with a sink tied to every node by alpha."""
-
-    def run(pdf):
-        adj = _adjacency(pdf)
-        sink = -1
-        label: dict[int, int] = {}
-
-        def side(s):
-            room = {u: dict(v) for u, v in adj.items()}
-            room[sink] = {}
-            for u in adj:
-                room[u][sink] = alpha
-                room[sink][u] = 0.0
-            while True:
-                came, queue = {s: s}, deque([s])
-                while queue and sink not in came:
-                    u = queue.popleft()
-                    for v, r in room[u].items():
-                        if r > 1e-12 and v not in came:
-                            came[v] = u
-                            queue.append(v)
-                if sink not in came:
-                    return set(came)
-                path, v = [], sink
-                while v != s:
-                    path.append((came[v], v))
-                    v = came[v]
-                least = min(room[a][b] for a, b in path)
-                for a, b in path:
-                    room[a][b] -= least
-                    room[b][a] = room[b].get(a, 0.0) + least
-
-        for u in sorted(adj, key=lambda x: (-sum(adj[x].values()), x)):
-            if u not in label:
-                members = side(u)
-                for v in members:
-                    label[v] = u
-        names: dict[int, int] = {}
-        for v in sorted(label):
-            names.setdefault(label[v], v)
-        return pd.DataFrame([(v, names[k]) for v, k in sorted(label.items())], columns=["id", "subset"])
-
-    found = kernel(g, run, "id long, subset long")
-    return g.nodes.join(found, "id", "left").select("id", F.coalesce("subset", "id").alias("subset"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform_sql
 from graphloom.graph import Graph
-from graphloom.operators import algebra, centrality, community, components, distance, dynamic, generators, hyperbolic, linkpred, matching, sparsify, stats, traversal
+from graphloom.operators import algebra, centrality, cliques, community, components, distance, dynamic, flows, generators, hyperbolic, linkpred, matching, sparsify, stats, traversal
 from graphloom.operators import triangles as tri
 from graphloom.plans import fixtures as fx
 from graphloom.plans.fixpoint import shared_dir
@@ -178,7 +178,7 @@ query("approx_neighborhood_function")(lambda s, d: distance.approx_neighborhood_
 
 # -- communities
 query("label_propagation")(lambda s, d: community.label_propagation(pp2(s, d)))
-query("degree_ordered_propagation")(lambda s, d: community.degree_ordered_propagation(pp2(s, d), 10))
+query("degree_ordered_propagation")(lambda s, d: community.degree_ordered_propagation(pp2(s, d)))
 query("louvain")(lambda s, d: community.louvain(pp2(s, d)))
 query("agglomerative")(lambda s, d: community.agglomerate(pp2(s, d), rounds=4))
 _LAB = ", la as (select e.src, e.dst, e.w, a.subset as p, b.subset as q from e join br a on a.id = e.src join br b on b.id = e.dst)"
@@ -238,9 +238,9 @@ query("matching_local_max")(lambda s, d: matching.local_max(pp2(s, d)))
 query("matching_path_growing")(lambda s, d: matching.path_growing(pp2(s, d)))
 query("matching_coarsening")(lambda s, d: matching.matching_coarsening(g := pp2(s, d), matching.local_max(g)).edges)
 query("independent_set")(lambda s, d: matching.luby(pp2(s, d)))
-query("max_clique")(lambda s, d: matching.max_clique(pp2(s, d)).agg(F.count(F.lit(1)).alias("size")))
-query("max_flow")(lambda s, d: (lambda g, t: matching.max_flow_value(g, t[0], t[1]))(g := pp2(s, d), g.edges.agg(F.min("src"), F.max("dst")).first()))
-query("cut_clustering")(lambda s, d: matching.cut_clustering(pp2(s, d), 2.0))
+query("max_clique")(lambda s, d: cliques.max_clique(pp2(s, d)).agg(F.count(F.lit(1)).alias("size")))
+query("max_flow")(lambda s, d: (lambda g, t: flows.max_flow_value(g, t[0], t[1]))(g := pp2(s, d), g.edges.agg(F.min("src"), F.max("dst")).first()))
+query("cut_clustering")(lambda s, d: flows.cut_clustering(pp2(s, d), 2.0))
 
 # -- generators
 _N = "(select count(*) from part)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform, uniform_sql
 from graphloom.graph import Graph
-from graphloom.operators import algebra, centrality, community, components, rooted, sampled, spectral, traversal
+from graphloom.operators import algebra, centrality, cliques, coloring, community, components, flows, multigrid, rooted, sampled, spectral, traversal
 from graphloom.plans import fixtures as fx
 from graphloom.plans.fixpoint import cut
 from graphloom.plans.fixtures import sql
@@ -110,7 +110,7 @@ _POWER = ", x0 as materialized (select id, 1e0 as v from nodes)" + "".join(f", y
 def _spectrum(g: Graph) -> DataFrame:
     """One row: the greatest eigenvalue, whether the first three are eigenpairs, and whether their vectors are orthonormal."""
     m = cut(algebra.adjacency(g))
-    values, x = spectral.eigenvectors(m, 3, tol=1e-10)
+    values, x = spectral.eigenvectors(m, 3, tol=1e-9)
     off = x.agg(*[F.abs(F.sum(F.col("x")[a] * F.col("x")[b]) - (1.0 if a == b else 0.0)).alias(f"g{a}{b}") for a in range(3) for b in range(a + 1)])
     unit = off.select((F.greatest(*off.columns) < 1e-6).alias("orthonormal"))
     return spectral.residuals(m, values, x).agg(F.round(F.max("value"), 4).alias("top"), (F.max("residual") < 1e-6).alias("exact")).join(unit)
@@ -137,3 +137,70 @@ def _proper(g: Graph, colors: DataFrame) -> DataFrame:
 
 
 query("spectral_coloring_check", sql("pp2", " select count(*) as nodes, 0::bigint as bad from nodes"))(lambda s, d: _proper(g := fx.co_orders(s, d, 2).cut(), spectral.spectral_coloring(g)))
+
+
+# -- solvers
+def _multilevel(g: Graph) -> DataFrame:
+    m = algebra.add(algebra.laplacian(g), g.nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v")))
+    known = g.nodes.select(F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("v"))
+    return multigrid.solve(m, algebra.matvec(m, known)).select("i", F.round("v", 4).alias("v"))
+
+
+query("alg_multilevel", "select p_partkey as i, (p_partkey % 7)::double as v from part")(lambda s, d: _multilevel(fx.co_orders(s, d, 2).cut()))
+
+
+def _swept(g: Graph) -> DataFrame:
+    """(i, v) after two sweeps over L + I in the order of suppliers' classes modulo their own colours."""
+    m = algebra.add(algebra.laplacian(g), g.nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v")))
+    rhs = g.nodes.select(F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("v"))
+    x = coloring.gauss_seidel(m, rhs, g.nodes.select(F.col("id").alias("i"), F.lit(0.0).alias("v")), 60)
+    gap = algebra.axpy(rhs, algebra.matvec(m, x), -1.0)
+    return gap.agg((F.max(F.abs("v")) < 1e-6).alias("solved"))
+
+
+query("coloring_check", sql("pp2", " select count(*) as nodes, 0::bigint as bad from nodes"))(lambda s, d: _proper(g := fx.co_orders(s, d, 2).cut(), coloring.greedy_coloring(g)))
+
+
+# -- flows, cliques and trees
+def _flow_check(g: Graph) -> DataFrame:
+    """One row: the flow's value, whether it keeps to capacities and is conserved, and the weight of the cut."""
+    s, t = g.edges.agg(F.min("src"), F.max("dst")).first()
+    f = cut(flows.max_flow(g, s, t))
+    net = f.select(F.col("src").alias("id"), (-F.col("flow")).alias("x")).union(f.select("dst", "flow")).groupBy("id").agg(F.sum("x").alias("x"))
+    kept = net.where(~F.col("id").isin(s, t)).agg((F.coalesce(F.max(F.abs("x")), F.lit(0.0)) < 1e-5).alias("conserved"))
+    room = f.join(g.edges, ["src", "dst"]).agg((F.max(F.abs("flow") - F.col("w")) < 1e-6).alias("fits"))
+    side = flows_side(g, f, s)
+    weight = g.edges.join(side.withColumnRenamed("id", "src").withColumn("a", F.lit(1)), "src", "left").join(side.withColumnRenamed("id", "dst").withColumn("b", F.lit(1)), "dst", "left").where("a is null and b is not null or a is not null and b is null").agg(F.round(F.sum("w"), 4).alias("cut"))
+    return net.where(F.col("id") == t).agg(F.round(F.sum("x"), 4).alias("value")).join(weight).join(kept).join(room)
+
+
+def flows_side(g: Graph, f: DataFrame, source: int) -> DataFrame:
+    """(id): nodes that the source still reaches over arcs with room left."""
+    room = f.join(g.edges, ["src", "dst"])
+    arcs = room.where("flow < w - 1e-6").select("src", "dst").union(room.where("flow > -w + 1e-6").select("dst", "src"))
+    one = g.nodes.where(F.col("id") == source)
+    return traversal.bfs(Graph.from_edges(arcs, g.nodes, directed=True), one).select("id")
+
+
+query("max_flow_check", sql("ss", ", t as (select min(src) as s, max(dst) as t from e), v as (select least((select wdeg from deg, t where id = t.s), (select wdeg from deg, t where id = t.t)) as v) select v as value, v as cut, true as conserved, true as fits from v"))(lambda s, d: _flow_check(ss(s, d)))
+
+
+def _clique_check(g: Graph) -> DataFrame:
+    """One row: the size of the clique, and whether all its pairs are linked."""
+    found = cut(cliques.max_clique(g))
+    n = found.count()
+    inner = g.without_loops().edges.join(found.withColumnRenamed("id", "src"), "src", "left_semi").join(found.withColumnRenamed("id", "dst"), "dst", "left_semi").count()
+    return found.agg(F.count(F.lit(1)).alias("size"), F.lit(inner == n * (n - 1) // 2).alias("clique"))
+
+
+query("max_clique_check", sql("ss", ", k(n, last, members) as (select 1, id, [id] from nodes union all select k.n + 1, bo.dst, list_append(k.members, bo.dst) from k join bo on bo.src = k.last and bo.dst > k.last where not exists (select 1 from (select unnest(k.members) as m) x where not exists (select 1 from bo y where y.src = x.m and y.dst = bo.dst))) select max(n)::bigint as size, true as clique from k", True))(lambda s, d: _clique_check(ss(s, d)))
+
+
+def _spans(g: Graph, forest: DataFrame) -> DataFrame:
+    """One row: edges of the forest, and the components that it leaves, all nodes counted."""
+    left = components.connected_components(Graph(g.nodes, forest)).agg(F.count_distinct("component").alias("trees"))
+    return forest.join(g.edges.select("src", "dst"), ["src", "dst"], "left_semi").agg(F.count(F.lit(1)).alias("edges")).join(left)
+
+
+query("uniform_forest_check", sql("ss", ", r(id, c) as (select id, id from nodes union select bo.dst, r.c from r join bo on bo.src = r.id and r.c < bo.dst), cc as (select id, min(c) as c from r group by id) select count(*) - count(distinct c) as edges, count(distinct c) as trees from cc", True))(lambda s, d: _spans(g := ss(s, d), components.uniform_forest(g.unweighted().cut())))
+query("gauss_seidel_check", "select true as solved")(lambda s, d: _swept(fx.co_orders(s, d, 3).cut()))

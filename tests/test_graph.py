@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.operators import algebra, centrality, community, components, distance, dynamic, generators, hyperbolic, linkpred, matching, sparsify, traversal
+from graphloom.operators import algebra, centrality, cliques, community, components, distance, dynamic, flows, generators, hyperbolic, linkpred, matching, sparsify, traversal
 from graphloom.operators import triangles as tri
 from graphloom.sources import readers, writers
 
@@ -111,13 +111,13 @@ def test_link_prediction(spark, f6, f6_train):
 
 def test_flow_components_cliques(spark):
     g = make(spark, "0-1 0-2 0-3 1-2 1-4 2-3 2-4 3-4 3-5 4-6 5-6")
-    f = matching.max_flow(g, 0, 6).collect()
-    assert matching.max_flow_value(g, 0, 6).first()[0] == 2
+    f = flows.max_flow(g, 0, 6).collect()
+    assert flows.max_flow_value(g, 0, 6).first()[0] == 2
     assert {(r.src, r.dst): abs(r.flow) for r in f if r.dst == 6} == {(4, 6): 1, (5, 6): 1}
     c = components.connected_components(make(spark, "0-1 1-2 2-4 4-8 8-16 16-19 3-5 5-6 6-7 7-9 10-11 10-18 10-12 18-17 13-14", 20))
     got = {r.id: r.component for r in c.collect()}
     assert len(set(got.values())) == 5 and got[0] == got[19] and got[3] == got[7]
-    clique = matching.max_clique(make(spark, "0-1 0-2 1-2 2-3 3-4 3-5 3-6 4-5 4-6 5-6"))
+    clique = cliques.max_clique(make(spark, "0-1 0-2 1-2 2-3 3-4 3-5 3-6 4-5 4-6 5-6"))
     assert sorted(r.id for r in clique.collect()) == [3, 4, 5, 6]
 
 
@@ -179,7 +179,7 @@ def test_communities(spark):
     for part in (community.louvain(g), community.label_propagation(g)):
         got = {r.id: r.subset for r in part.collect()}
         assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(5, 10)}) == 1
-    cut_ = {r.id: r.subset for r in matching.cut_clustering(g, 0.5).collect()}
+    cut_ = {r.id: r.subset for r in flows.cut_clustering(g, 0.5).collect()}
     assert cut_[0] == cut_[3]
     whole = make(spark, " ".join(f"{a}-{b}" for a in range(12) for b in range(a)))
     k = community.balanced(whole, 3)
