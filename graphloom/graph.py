@@ -159,3 +159,14 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     before = sizes.select("__p", (F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__p").orderBy(*keys)) - 1
     return dealt.withColumn("__own", own).join(F.broadcast(before), "__p").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__p", "__own", "__before")
+
+
+def cumulated(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """df with the sum of value up to and with each row in the order of keys: ranges are summed on their own and moved by the sums of those before."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(n, *keys).withColumn("__p", F.spark_partition_id()))
+    # a row for each partition
+    sums = dealt.groupBy("__p").agg(F.sum(value).alias("__s"))
+    before = sums.select("__p", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.sum(value).over(Window.partitionBy("__p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("__own", own).join(F.broadcast(before), "__p").withColumn(name, F.col("__own") + F.col("__before")).drop("__p", "__own", "__before")

@@ -14,7 +14,7 @@ from graphloom.plans.fixpoint import Rounds, cut
 # -- detection
 
 
-def label_propagation(g: Graph, rounds: int = 50, theta: float = 1e-5, weighted: bool = True) -> DataFrame:
+def label_propagation(g: Graph, rounds: int = 200, theta: float = 1e-5, weighted: bool = True) -> DataFrame:
     """(id, subset): every node takes the heaviest label around it, the smallest of equals; half of the nodes, by a draw, move in a round."""
     arcs = cut(g.both().where("src <> dst").select("src", "dst", F.col("w") if weighted else F.lit(1.0).alias("w")))
     x = cut(g.nodes.select("id", F.col("id").alias("subset")))
@@ -27,8 +27,8 @@ def label_propagation(g: Graph, rounds: int = 50, theta: float = 1e-5, weighted:
         new = cut(x.join(best, "id", "left").join(own, ["id", "subset"], "left").select("id", F.when(moves, F.col("b")).otherwise(F.col("subset")).alias("subset"), F.coalesce(moves, F.lit(False)).alias("moved"), F.coalesce((F.col("b") != F.col("subset")) & (F.col("top") > F.coalesce("own", F.lit(0.0))), F.lit(False)).alias("wants")))
         x = new.select("id", "subset")
         if new.where("wants").limit(int(least) + 1).count() <= least:
-            break
-    return x
+            return x
+    raise RuntimeError(f"labels still move after {rounds} rounds")
 
 
 def degree_ordered_propagation(g: Graph, least: float = 1e-5) -> DataFrame:
@@ -134,14 +134,14 @@ def louvain(g: Graph, gamma: float = 1.0, least: float = 0.002, history: list |
     return members
 
 
-def agglomerate(g: Graph, least: float = 5e-3, rounds: int = 40) -> DataFrame:
+def agglomerate(g: Graph, least: float = 5e-3) -> DataFrame:
     """Communities by repeated contraction of a matching on the edges whose merger gains modularity most."""
     from graphloom.operators.matching import local_max
 
     total = g.edges.agg(F.sum("w")).first()[0] or 0.0
     level = Graph(g.nodes, g.edges.groupBy("src", "dst").agg(F.sum("w").alias("w"))).cut()
     members = cut(g.nodes.select("id", F.col("id").alias("subset")))
-    for _ in range(rounds):
+    while True:
         n = level.nodes.count()
         v = level.degrees().select("id", "vol")
         s = level.without_loops().edges.join(v.select(F.col("id").alias("src"), F.col("vol").alias("a")), "src").join(v.select(F.col("id").alias("dst"), F.col("vol").alias("b")), "dst")
@@ -201,8 +201,8 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def merge_subsets(parts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Subsets that pairs (a, b) connect become one, named by the least of them (union-find)."""
-    c = fixpoint.components(pairs, "a", "b", small=500_000)
+    """Subsets that pairs (a, b) connect become one, named by the least of them."""
+    c = fixpoint.components(pairs, "a", "b")
     return parts.join(c.select(F.col("id").alias("subset"), "component"), "subset", "left").select("id", F.coalesce("component", "subset").alias("subset"))
 
 
@@ -342,6 +342,32 @@ def adjusted_rand_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     return _pairs(a, b).select(F.when(top == expected, 0.0).otherwise(1 - (F.col("s11") - expected) / (top - expected)).alias("distance"))
 
 
+def sampled_node_rand(g: Graph, a: DataFrame, b: DataFrame, samples: int, salt: int = 0) -> DataFrame:
+    """One row: the Rand distance over drawn pairs of nodes instead of all."""
+    from graphloom.operators.sampled import draw_pairs
+
+    return _agreement(draw_pairs(g, samples, salt), a, b)
+
+
+def sampled_graph_rand(g: Graph, a: DataFrame, b: DataFrame, samples: int, salt: int = 0) -> DataFrame:
+    """One row: the Rand distance over drawn edges: a node that has any, then one of its neighbours, all equally likely."""
+    from graphloom.graph import numbered
+
+    arcs = cut(g.without_loops().both().select("src", "dst").distinct())
+    ids = cut(numbered(arcs.select(F.col("src").alias("u")).distinct(), ["u"], "at"))
+    draws = g.nodes.sparkSession.range(samples).select(F.col("id").alias("sample"), F.floor(uniform(f"edge-node{salt}", "id") * ids.count()).cast("long").alias("at"))
+    drawn = draws.join(ids, "at").join(arcs.withColumnsRenamed({"src": "u", "dst": "v"}), "u")
+    return _agreement(drawn.groupBy("sample", "u").agg(F.min_by("v", F.struct(uniform(f"edge-end{salt}", "sample", "v").alias("k"), "v")).alias("v")), a, b)
+
+
+def _agreement(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    both = a.select("id", "subset").join(b.select("id", F.col("subset").alias("other")), "id")
+    for c in ("u", "v"):
+        pairs = pairs.join(both.select(F.col("id").alias(c), F.col("subset").alias(f"a{c}"), F.col("other").alias(f"b{c}")), c)
+    agree = (F.col("au") == F.col("av")) == (F.col("bu") == F.col("bv"))
+    return pairs.agg((1 - F.count_if(agree) / F.count(F.lit(1))).alias("distance"))
+
+
 def graph_rand_distance(g: Graph, a: DataFrame, b: DataFrame, ratio: float = 1.0, salt: int = 0) -> DataFrame:
     """Share of adjacent pairs that the partitions treat differently; of a drawn share of the edges if ratio is below 1."""
     edges = g.edges.where("src <> dst").where(uniform(f"pair{salt}", "src", "dst") < ratio) if ratio < 1 else g.edges.where("src <> dst")
@@ -370,7 +396,7 @@ def equal_on_edges(g: Graph, a: DataFrame, b: DataFrame) -> DataFrame:
 # -- communities of seeds
 
 
-def push_pagerank(g: Graph, seeds: DataFrame, alpha: float = 0.1, eps: float = 1e-4, rounds: int = 200) -> DataFrame:
+def push_pagerank(g: Graph, seeds: DataFrame, alpha: float = 0.1, eps: float = 1e-4, rounds: int = 10_000) -> DataFrame:
     """(seed, id, pr): approximate personalised PageRank; all nodes whose residue is at least eps per degree push in a round."""
     d = g.degrees().select("id", "deg")
     arcs = cut(g.both().where("src <> dst").select("src", "dst"))
@@ -379,11 +405,11 @@ def push_pagerank(g: Graph, seeds: DataFrame, alpha: float = 0.1, eps: float = 1
         y = x.join(d, "id").withColumn("push", (F.col("deg") > 0) & (F.col("r") >= eps * F.col("deg")))
         y = cut(y)
         if y.where("push").limit(1).count() == 0:
-            break
+            return x.where("pr > 0").select("seed", "id", "pr")
         sent = y.where("push").select("seed", F.col("id").alias("src"), ((1 - alpha) / 2 * F.col("r") / F.col("deg")).alias("m")).join(arcs, "src").groupBy("seed", F.col("dst").alias("id")).agg(F.sum("m").alias("m"))
         kept = y.select("seed", "id", F.when(F.col("push"), F.col("pr") + alpha * F.col("r")).otherwise(F.col("pr")).alias("pr"), F.when(F.col("push"), (1 - alpha) / 2 * F.col("r")).otherwise(F.col("r")).alias("r"))
         x = cut(kept.join(sent, ["seed", "id"], "full").select("seed", "id", F.coalesce("pr", F.lit(0.0)).alias("pr"), (F.coalesce("r", F.lit(0.0)) + F.coalesce("m", F.lit(0.0))).alias("r")))
-    return x.where("pr > 0").select("seed", "id", "pr")
+    raise RuntimeError(f"residues are still pushed after {rounds} rounds")
 
 
 def sweep(g: Graph, pr: DataFrame) -> DataFrame:
@@ -406,13 +432,13 @@ def pagerank_nibble(g: Graph, seeds: DataFrame, alpha: float = 0.1, eps: float =
     return sweep(g, push_pagerank(g, seeds, alpha, eps))
 
 
-def greedy_expansion(g: Graph, seeds: DataFrame, rounds: int = 60) -> DataFrame:
+def greedy_expansion(g: Graph, seeds: DataFrame) -> DataFrame:
     """(seed, id): each seed's set takes, a round at a time, the neighbour that raises inner over outer links most, while any does not lower it."""
     arcs = cut(g.both().where("src <> dst").select("src", "dst"))
     d = cut(g.degrees().select("id", "deg"))
     sets = cut(seeds.select(F.col("id").alias("seed"), "id"))
     live = sets.select("seed").distinct()
-    for _ in range(rounds):
+    while True:
         m = sets.join(live, "seed", "left_semi")
         out = m.select("seed", F.col("id").alias("src")).join(arcs, "src")
         tag = out.join(m.select("seed", F.col("id").alias("dst"), F.lit(1).alias("in")), ["seed", "dst"], "left")
@@ -422,6 +448,5 @@ def greedy_expansion(g: Graph, seeds: DataFrame, rounds: int = 60) -> DataFrame:
         best = cand.select("seed", "id", F.coalesce(new, F.lit(1e18)).alias("q"), F.when(F.col("ext") > 0, F.col("int") / F.col("ext")).otherwise(0.0).alias("was")).groupBy("seed").agg(F.max_by(F.struct("id", "q", "was"), F.struct("q", -F.col("id"))).alias("b"))
         take = cut(best.where("b.q >= b.was").select("seed", F.col("b.id").alias("id")))
         if take.isEmpty():
-            break
+            return sets
         sets, live = cut(sets.union(take)), take.select("seed")
-    return sets

@@ -12,13 +12,9 @@ from graphloom.plans import fixpoint
 from graphloom.plans.fixpoint import Rounds, cut
 
 
-#: Edges that one task joins by union-find; more go by rounds of joins.
-SMALL = 500_000
-
-
 def connected_components(g: Graph) -> DataFrame:
     """(id, component): the smallest id of the node's component; direction is ignored."""
-    found = fixpoint.components(g.edges, small=SMALL)
+    found = fixpoint.components(g.edges)
     return g.nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
@@ -85,7 +81,7 @@ def maximum_forest(g: Graph, jitter: int | None = None) -> DataFrame:
         ends = live.select(F.col("a").alias("c"), "src", "dst", "w", "rank").union(live.select("b", "src", "dst", "w", "rank"))
         picked = cut(ends.groupBy("c").agg(F.max_by(F.struct("src", "dst", "w"), "rank").alias("e")).select("e.*").distinct())
         chosen = picked if chosen is None else cut(chosen.union(picked))
-        comp = fixpoint.components(chosen, small=SMALL)
+        comp = fixpoint.components(chosen)
         live = cut(edges.join(comp.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(comp.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").where("a <> b").select("src", "dst", "w", "rank", "a", "b"))
     return chosen if chosen is not None else g.edges.where("false")
 
@@ -100,6 +96,12 @@ def union_maximum_forest(g: Graph) -> DataFrame:
     return g.edges.where("src <> dst").join(low, ["src", "dst"]).where("w >= low").select("src", "dst", "w")
 
 
+def pseudo_random_forest(g: Graph, salt: int = 0, jitter: float = 1e-6) -> DataFrame:
+    """A maximum-weight spanning forest after each weight has moved by up to jitter, so that ties are drawn and near ties may be."""
+    e = g.edges.select("src", "dst", (F.col("w") + jitter * (1 - 2 * uniform(f"jitter{salt}", "src", "dst"))).alias("w"))
+    return maximum_forest(Graph(g.nodes, e, g.directed)).select("src", "dst").join(g.edges, ["src", "dst"])
+
+
 def random_forest(g: Graph, salt: int = 0) -> DataFrame:
     """A spanning forest drawn by random edge weights."""
     e = g.edges.select("src", "dst", uniform(f"tree{salt}", "src", "dst").alias("w"))

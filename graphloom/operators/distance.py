@@ -71,6 +71,8 @@ def approx_neighborhood_function(g: Graph, masks: int = 32, extra: int = 7, roun
             break
         found.append((h, now))
         before = now
+    else:
+        raise RuntimeError(f"sets still grow after {rounds} rounds")
     return g.nodes.sparkSession.createDataFrame(found, "h int, pairs double")
 
 

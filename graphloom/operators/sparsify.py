@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.hashrand import uniform
-from graphloom.graph import Graph
+from graphloom.graph import Graph, numbered
+from graphloom.plans.fixpoint import cut
 from graphloom.operators import triangles as tri
 
 
@@ -89,27 +92,30 @@ def random_node_edge(g: Graph, ratio: float = 0.8, salt: int = 0) -> DataFrame:
     return g.edges.select("src", "dst", F.when(uniform(f"kind{salt}", "src", "dst") < ratio, uniform(f"edge{salt}", "src", "dst")).otherwise(uniform(f"node{salt}", end)).alias("score"))
 
 
-def forest_fire(g: Graph, p: float = 0.4, fires: int = 200, rounds: int = 12, salt: int = 0) -> DataFrame:
-    """Share of fires that burn each edge, scaled to a largest of 1. Fires start at drawn nodes and spread over each arc with chance p."""
-    from graphloom.plans.fixpoint import cut
-
+def forest_fire(g: Graph, p: float = 0.4, burnt_ratio: float = 5.0, fires: int = 256, salt: int = 0) -> DataFrame:
+    """How often each edge burns, scaled to a largest of 1. Fires start at drawn nodes and spread over each arc with chance p until they die, `fires` of them side by side, wave after wave until burnt_ratio times m edges have burnt."""
     arcs = cut(g.both().where("src <> dst").select("src", "dst"))
-    n = g.nodes.count()
-    starts = g.nodes.where(uniform(f"start{salt}", "id") * n < 4 * fires).select("id").orderBy(uniform(f"pick{salt}", "id"), "id").limit(fires)
-    front = cut(starts.select(F.col("id").alias("fire"), "id"))
-    burnt, hits = front, None
-    for _ in range(rounds):
-        lit = front.join(arcs.withColumnRenamed("src", "id"), "id").where(uniform(f"burn{salt}", "fire", "id", "dst") < p).select("fire", F.col("id").alias("src"), "dst")
-        lit = cut(lit)
-        hits = lit if hits is None else hits.union(lit)
-        front = cut(lit.select("fire", F.col("dst").alias("id")).distinct().join(burnt, ["fire", "id"], "left_anti"))
-        if front.isEmpty():
-            break
-        burnt = burnt.union(front)
-    n = hits.select("fire", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().groupBy("src", "dst").count()
-    top = n.agg(F.max("count").alias("top"))
-    share = n.join(F.broadcast(top)).select("src", "dst", (F.col("count") / F.col("top")).alias("score"))  # one row
-    return g.edges.select("src", "dst").join(share, ["src", "dst"], "left").select("src", "dst", F.coalesce("score", F.lit(0.0)).alias("score"))
+    m = arcs.count() / 2
+    zero = g.edges.select("src", "dst", F.lit(0.0).alias("score"))
+    if not m or p <= 0:
+        return zero
+    places, wave, total, hits = cut(numbered(arcs.select(F.col("src").alias("id")).distinct(), ["id"], "at")), 0, 0, None
+    n = places.count()
+    while total < burnt_ratio * m:
+        draws = g.nodes.sparkSession.range(fires).select((F.col("id") + wave * fires).alias("fire")).withColumn("at", F.floor(uniform(f"start{salt}", "fire") * n).cast("long"))
+        front = cut(draws.join(places, "at").select("fire", "id"))
+        burnt, edges = front, None
+        while not front.isEmpty():
+            lit = cut(front.join(arcs.withColumnRenamed("src", "id"), "id").where(uniform(f"burn{salt}", "fire", "id", "dst") < p).select("fire", F.col("id").alias("src"), "dst"))
+            edges = lit if edges is None else edges.union(lit)
+            front = cut(lit.select("fire", F.col("dst").alias("id")).distinct().join(burnt, ["fire", "id"], "left_anti"))
+            burnt = cut(burnt.union(front))
+        ends = edges.select("fire", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("count"))
+        hits = cut(ends if hits is None else hits.union(ends).groupBy("src", "dst").agg(F.sum("count").alias("count")))
+        total, wave = hits.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0], wave + 1
+    top = hits.agg(F.max("count").alias("top"))
+    share = hits.join(F.broadcast(top)).select("src", "dst", (F.col("count") / F.col("top")).alias("score"))  # one row
+    return zero.select("src", "dst").join(share, ["src", "dst"], "left").select("src", "dst", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def _t(g: Graph) -> DataFrame:
@@ -165,3 +171,17 @@ def triangle_sparsifier(g: Graph, at: float) -> Graph:
 
 def random_sparsifier(g: Graph, ratio: float, salt: int = 0) -> Graph:
     return threshold(g, random_score(g, salt), ratio)
+
+
+def parameter_for(g: Graph, scores: DataFrame, ratio: float, above: bool = True) -> DataFrame:
+    """One row: the threshold that keeps at least a share ratio of the edges and as few as possible, and how many it keeps.
+
+    The threshold is a score itself, found by its exact rank: sizes fall with the threshold, so no search by trial is
+    needed, and equal scores stay together. An edge without a score is never kept.
+    """
+    s = g.edges.select("src", "dst").join(scores, ["src", "dst"]).where("score is not null").select((F.col("score") * (-1 if above else 1)).alias("k"))
+    m = g.edges.count()
+    wanted = max(1, math.ceil(ratio * m - 1e-9))
+    place = numbered(s, ["k"], "at").where(F.col("at") == wanted - 1).select("k")
+    kept = s.join(F.broadcast(place.withColumnRenamed("k", "t"))).where("k <= t")  # one row
+    return kept.agg((F.first("t") * (-1 if above else 1)).alias("parameter"), F.count(F.lit(1)).alias("edges"))

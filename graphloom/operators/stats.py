@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from graphloom.graph import Graph
+from graphloom.graph import Graph, cumulated
 
 
 def describe(scores: DataFrame) -> DataFrame:
@@ -34,9 +33,9 @@ def pearson(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def mean_ranks(scores: DataFrame) -> DataFrame:
     """(id, rank) ascending, equal values share their mean rank; ranks come from counts per value."""
-    c = scores.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    return scores.join(c.select("score", (F.sum("c").over(w) - (F.col("c") - 1) / 2).alias("rank")), "score").select("id", "rank")
+    held = scores.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
+    place = cumulated(held, ["score"], "c", "upto").select("score", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
+    return scores.join(place, "score").select("id", "rank")
 
 
 def spearman(a: DataFrame, b: DataFrame) -> DataFrame:

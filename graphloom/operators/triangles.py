@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.hashrand import uniform
-from graphloom.graph import Graph
+from graphloom.graph import Graph, cumulated, numbered
+from graphloom.plans.fixpoint import cut
 
 
 def oriented(g: Graph) -> DataFrame:
@@ -47,11 +48,29 @@ def global_clustering(g: Graph) -> DataFrame:
 
 
 def sampled_clustering(g: Graph, k: int, salt: int = 0) -> DataFrame:
-    """One row: the closed share of k wedges drawn with nodes weighted by their pairs (all wedges where there are fewer)."""
-    o = g.both().where("src <> dst").select("src", "dst")
-    wedge = o.join(o.withColumnRenamed("dst", "far"), "src").where("dst < far").orderBy(uniform(f"wedge{salt}", "src", "dst", "far"), "src", "dst", "far").limit(k)
-    e = g.edges.select(F.col("src").alias("dst"), F.col("dst").alias("far"), F.lit(1).alias("hit"))
-    return wedge.join(e, ["dst", "far"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("closed"))
+    """One row: the closed share of k drawn wedges, all equally likely.
+
+    A centre is drawn by its number of wedges: the draw falls into the running sum over nodes, found by its range first and then
+    inside it. Two different neighbours follow by draws of their own, so only the arcs of drawn centres are read.
+    """
+    arcs = cut(g.both().where("src <> dst").select("src", "dst").distinct())
+    deg = arcs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("d")).where("d > 1")
+    upto = cut(cumulated(deg.select("id", "d", (F.col("d") * (F.col("d") - 1)).alias("pairs")), ["id"], "pairs", "upto"))
+    total = upto.agg(F.max("upto")).first()[0]
+    if not total:
+        return g.nodes.agg(F.lit(None).cast("double").alias("closed"))
+    # ranges of equal width: a node belongs to all that its stretch touches, but long stretches to few nodes
+    width = max(1, -(-total // (4 * k)))
+    places = upto.select("id", "d", "pairs", (F.col("upto") - F.col("pairs")).alias("low"), "upto").withColumn("bin", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(upto - 1) div {width}"))))
+    draws = g.nodes.sparkSession.range(k).select(F.col("id").alias("draw"), F.floor(uniform(f"wedge{salt}", "id") * total).cast("long").alias("at")).withColumn("bin", F.expr(f"at div {width}"))
+    # (draw, centre, the places of two different neighbours in the order of ids)
+    drawn = draws.join(places, "bin").where("at >= low and at < upto").select("draw", "id", ((F.col("at") - F.col("low")) % F.col("d")).alias("a"), F.expr("(at - low) div d").alias("b"))
+    drawn = cut(drawn.withColumn("b", F.col("b") + (F.col("b") >= F.col("a")).cast("long")))
+    near = cut(numbered(arcs.join(drawn.select(F.col("id").alias("src")).distinct(), "src", "left_semi"), ["src", "dst"], "n"))
+    near = near.join(near.groupBy("src").agg(F.min("n").alias("first")), "src").select(F.col("src").alias("id"), "dst", (F.col("n") - F.col("first")).alias("r"))
+    x, y = near.select("id", F.col("r").alias("a"), F.col("dst").alias("u")), near.select("id", F.col("r").alias("b"), F.col("dst").alias("v"))
+    wedge = drawn.join(x, ["id", "a"]).join(y, ["id", "b"]).select("draw", F.col("u").alias("src"), F.col("v").alias("dst"))
+    return wedge.join(arcs.withColumn("hit", F.lit(1)), ["src", "dst"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("closed"))
 
 
 def triangle_scores(g: Graph) -> DataFrame:
@@ -167,3 +186,20 @@ def prefix_jaccard(g: Graph, scores: DataFrame) -> DataFrame:
     at = sums.select("src", "dst", (F.sum("shared").over(w) / (F.sum("side").over(w) - F.sum("shared").over(w))).alias("j"))
     best = at.groupBy("src", "dst").agg(F.max("j").alias("j"))
     return e.join(best, ["src", "dst"], "left").select("src", "dst", F.coalesce("j", F.lit(0.0)).alias("score"))
+
+
+def constant(g: Graph, score: float = 1.0) -> DataFrame:
+    return g.edges.select("src", "dst", F.lit(float(score)).alias("score"))
+
+
+def same_subset(g: Graph, parts: DataFrame) -> DataFrame:
+    """(src, dst, score): 1 where a partition has both ends in one subset, else 0."""
+    a, b = (parts.select(F.col("id").alias(c), F.col("subset").alias(f"s_{c}")) for c in ("src", "dst"))
+    return g.edges.join(a, "src").join(b, "dst").select("src", "dst", (F.col("s_src") == F.col("s_dst")).cast("double").alias("score"))
+
+
+def modularity_partition(g: Graph) -> DataFrame:
+    """(src, dst, score): 1 inside the communities that Louvain finds, else 0."""
+    from graphloom.operators.community import louvain
+
+    return same_subset(g, louvain(g))

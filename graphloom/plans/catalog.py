@@ -97,7 +97,7 @@ _LCC = f"{_TRI}, nt as (select id, sum(t) / 2 as t from (select src as id, t fro
 query("lcc_topk", sql("pp", f"{_LCC} select id, round(lcc, 6) as lcc from lc order by round(lcc, 9) desc, id limit 20"))(lambda s, d: _round(tri.local_clustering(ppc(s, d)).orderBy(F.round("lcc", 9).desc(), "id").limit(20), "lcc"))
 query("local_clustering", sql("pp", f"{_LCC} select id, round(lcc, 6) as lcc from lc"))(lambda s, d: _round(tri.local_clustering(ppc(s, d)), "lcc"))
 query("global_clustering", sql("pp", f"{_LCC} select round(sum(2.0 * t) / sum(deg * (deg - 1)), 6) as closed, round(avg(lcc) filter (where deg > 1), 6) as mean_local from lc"))(lambda s, d: _round(tri.global_clustering(ppc(s, d)), "closed", "mean_local"))
-query("clustering_sampled")(lambda s, d: tri.sampled_clustering(pp2(s, d), 2000))
+query("clustering_sampled", sql("pp2", f", dw as (select id, deg as d, deg * (deg - 1) as pairs from deg where deg > 1), up as (select *, (sum(pairs) over (order by id))::bigint as upto from dw), dr as (select range as draw, floor({uniform_sql('wedge0', 'range')} * t)::bigint as place from range(2000), (select max(upto) as t from up)), ce as (select draw, id, (place - upto + pairs) % d as a, (place - upto + pairs) // d as b from dr join up on place >= upto - pairs and place < upto), nb as (select src, dst, row_number() over (partition by src order by dst) - 1 as r from bo) select avg((exists (select 1 from bo where bo.src = x.dst and bo.dst = y.dst))::int) as closed from ce join nb x on x.src = id and x.r = a join nb y on y.src = id and y.r = b + (b >= a)::bigint"))(lambda s, d: tri.sampled_clustering(pp2(s, d), 2000))
 query("triangle_edge_score", sql("pp", f"{_TRI} select src, dst, t from ts"))(lambda s, d: tri.triangle_scores(ppc(s, d)))
 query("quadrangle_edge_score", sql("pp2", ", q as (select e.src, e.dst, count(*) as q from e join bo x on x.src = e.src and x.dst <> e.dst join bo y on y.src = e.dst and y.dst <> e.src join bo z on z.src = x.dst and z.dst = y.dst where x.dst <> y.dst group by 1, 2) select e.src, e.dst, coalesce(q, 0)::bigint as q from e left join q on q.src = e.src and q.dst = e.dst"))(lambda s, d: tri.quadrangle_scores(pp2(s, d)))
 query("edge_scan", sql("pp", f"{_TRI} select src, dst, round((t + 1) / sqrt((du + 1.0) * (dv + 1.0)), 6) as score from ts"))(lambda s, d: _round(tri.scan_similarity(ppc(s, d)), "score"))
@@ -180,7 +180,7 @@ query("approx_neighborhood_function")(lambda s, d: distance.approx_neighborhood_
 query("label_propagation")(lambda s, d: community.label_propagation(pp2(s, d)))
 query("degree_ordered_propagation")(lambda s, d: community.degree_ordered_propagation(pp2(s, d)))
 query("louvain")(lambda s, d: community.louvain(pp2(s, d)))
-query("agglomerative")(lambda s, d: community.agglomerate(pp2(s, d), rounds=4))
+query("agglomerative")(lambda s, d: community.agglomerate(pp2(s, d)))
 _LAB = ", la as (select e.src, e.dst, e.w, a.subset as p, b.subset as q from e join br a on a.id = e.src join br b on b.id = e.dst)"
 _SUB = f"{_LAB}, su as (select subset, count(*) as size from br group by 1), ed as (select p as s, q as o, w from la union all select q, p, w from la), st as (select su.subset, size, coalesce(sum(case when s = o then w else 0 end), 0) / 2 as inn, coalesce(sum((s = o)::int), 0) / 2 as ie, coalesce(sum(case when s <> o then w else 0 end), 0) as cut, coalesce(sum(w), 0) as vol from su left join ed on ed.s = su.subset group by 1, 2)"
 query("q_modularity", sql("pp", f"{_SUB} select round((select sum(w) filter (where p = q) / sum(w) from la) - sum(vol * vol) / (4 * (select sum(w) from e) * (select sum(w) from e)), 9) as modularity from st"))(lambda s, d: _round(community.modularity(pp(s, d), fx.brands(s, d)), "modularity", by=9))
@@ -208,7 +208,7 @@ query("partition_canonical", sql("pp2", " select id, min(id) over (partition by
 query("partition_random", sql("pp2", f" select id, floor({uniform_sql('part2', 'id')} * 7)::bigint as subset from nodes"))(lambda s, d: community.random_partition(pp2(s, d), 7, 2))
 query("partition_balanced", sql("pp2", " select id, floor((row_number() over (order by id) - 1) * 7 / count(*) over ()::double)::bigint as subset from nodes"))(lambda s, d: community.balanced(pp2(s, d), 7))
 query("pagerank_nibble")(lambda s, d: community.pagerank_nibble(g := pp2(s, d), _first(g)))
-query("greedy_expansion")(lambda s, d: community.greedy_expansion(g := pp2(s, d), _first(g), 8))
+query("greedy_expansion")(lambda s, d: community.greedy_expansion(g := pp2(s, d), _first(g)))
 
 # -- link prediction
 _P2 = ", p2 as (select distinct a.dst as u, b.dst as v from bo a join bo b on a.src = b.src and a.dst < b.dst), pr as (select p2.u, p2.v from p2 left join e on e.src = p2.u and e.dst = p2.v where e.src is null), cn as (select pr.u, pr.v, count(*) as c, sum(1 / ln(g.deg)) as aa, sum(1.0 / g.deg) as ra from pr join bo a on a.src = pr.u join bo b on b.src = pr.v and b.dst = a.dst join deg g on g.id = a.dst group by 1, 2), f as (select cn.*, a.deg as du, b.deg as dv from cn join deg a on a.id = u join deg b on b.id = v)"
@@ -333,7 +333,7 @@ query("dyn_size_timeline", sql("visits", ", c as (select step, (type = 'EDGE_ADD
 query("dyn_difference", sql("pp2", " select 'EDGE_REMOVAL' as type, src as u, dst as v, null::double as w from e where w < 3"))(lambda s, d: dynamic.difference(pp2(s, d), fx.co_orders(s, d, 3)))
 query("dyn_path_events", f"select step * 3 + o as seq, step, type, case when type = 'NODE_ADDITION' then step when type = 'EDGE_ADDITION' then step - 1 end as u, case when type = 'EDGE_ADDITION' then step end as v, 1.0::double as w from (select unnest(range({_N})) as step), (values (0, 'NODE_ADDITION'), (1, 'EDGE_ADDITION'), (2, 'TIME_STEP')) t(o, type) where step > 0 or o <> 1")(lambda s, d: dynamic.path_events(s, _n(s, d)))
 query("dyn_seir")(lambda s, d: dynamic.seir(g := pp2(s, d), _first(g), 12))
-query("dyn_state_stream")(lambda s, d: _stream_fold(s, d))
+query("dyn_state_stream", "select user_id as u, event_id as v, event_type <> 'error' as \"on\" from events")(lambda s, d: _stream_fold(s, d))
 query("stream_daily_counts", "select time_bucket(interval '1 day', ts) as opened, event_type, count(*) as events, round(sum(value), 4) as total from events group by 1, 2")(lambda s, d: _stream_daily(s, d))
 
 

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,45 +77,27 @@ def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed:
     raise RuntimeError(f"no fixpoint within {rounds} rounds")
 
 
-def _union_find(batches):
-    """Components of all edges (a, b) of a task."""
-    up: dict[int, int] = {}
-
-    def top(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for pdf in batches:
-        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
-            x, y = top(up.setdefault(a, a) if a not in up else a), top(up.setdefault(b, b) if b not in up else b)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-    ids = list(up)
-    yield pd.DataFrame({"id": ids, "component": [top(x) for x in ids]}).astype("int64")
-
-
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", small: int = 0) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(id, component): each node that has an edge with the smallest id that it reaches.
 
-    Min-label hooking with pointer jumping, so the number of rounds grows with the logarithm of
-    the longest path. Self loops are allowed; edges with a null end are ignored. Up to `small` edges
-    are joined by one task's union-find instead, which saves the rounds' jobs.
+    Each round every node, and the node that names its component, takes the least name next to any node of the component; then names are
+    followed one step. Because whole components hook onto others at once, the number of rounds grows with the logarithm of the
+    longest path, whatever the order of ids. Self loops are allowed; edges with a null end are ignored.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    if small:
-        e = cut(e)
-        if e.limit(small + 1).count() <= small:
-            return cut(e.coalesce(1).mapInPandas(_union_find, "id long, component long"))
     both = cut(e.union(e.select("b", "a")).distinct())
-    state = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
+    loop = Rounds(edges.sparkSession, "components")
+    state = loop.put("state", both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")))
     while True:
         near = both.join(state.select(F.col("id").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("id")).agg(F.min("c").alias("c"))
-        hooked = cut(state.join(near, "id").select("id", F.least("component", "c").alias("component"), F.col("component").alias("was")))
+        seen = loop.put("seen", state.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "c").alias("m")))
+        hook = seen.groupBy(F.col("was").alias("id")).agg(F.min("m").alias("h"))
+        hooked = loop.put("hooked", seen.join(hook, "id", "left").select("id", F.least("m", "h").alias("component"), "was"))
         up = hooked.select(F.col("id").alias("component"), F.col("component").alias("top"))
-        new = cut(hooked.join(up, "component").select("id", F.col("top").alias("component"), (F.col("top") != F.col("was")).alias("moved")))
+        new = loop.put("state", hooked.join(up, "component").select("id", F.col("top").alias("component"), (F.col("top") != F.col("was")).alias("moved")))
         moving = new.where("moved").limit(1).count()
         state = new.select("id", "component")
         if not moving:
-            return state
+            out = cut(state)
+            loop.close()
+            return out

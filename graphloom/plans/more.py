@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform, uniform_sql
 from graphloom.graph import Graph
-from graphloom.operators import algebra, centrality, cliques, coloring, community, components, flows, multigrid, rooted, sampled, spectral, traversal
+from graphloom.operators import algebra, centrality, cliques, coloring, community, components, distance, flows, layout, linkpred, multigrid, rooted, sampled, sparsify, spectral, traversal, triangles
 from graphloom.plans import fixtures as fx
 from graphloom.plans.fixpoint import cut
 from graphloom.plans.fixtures import sql
@@ -204,3 +204,107 @@ def _spans(g: Graph, forest: DataFrame) -> DataFrame:
 
 query("uniform_forest_check", sql("ss", ", r(id, c) as (select id, id from nodes union select bo.dst, r.c from r join bo on bo.src = r.id and r.c < bo.dst), cc as (select id, min(c) as c from r group by id) select count(*) - count(distinct c) as edges, count(distinct c) as trees from cc", True))(lambda s, d: _spans(g := ss(s, d), components.uniform_forest(g.unweighted().cut())))
 query("gauss_seidel_check", "select true as solved")(lambda s, d: _swept(fx.co_orders(s, d, 3).cut()))
+
+
+# -- changes of a graph, one by one
+def pp2(s, d) -> Graph:
+    return fx.co_orders(s, d, 2).cut()
+
+
+def _small(s, d) -> DataFrame:
+    return fx.table(s, d, "part").where("p_size <= 10").select(F.col("p_partkey").alias("id"))
+
+
+query("graph_remove_nodes", sql("pp2", " select e.src, e.dst, e.w from e join part a on a.p_partkey = src join part b on b.p_partkey = dst where a.p_size > 10 and b.p_size > 10"))(lambda s, d: pp2(s, d).remove_nodes(_small(s, d)).edges)
+query("graph_append", sql("pp2", ", top as (select max(id) + 1 as t from nodes) select src, dst, w from e union all select src + t, dst + t, w from e, top"))(lambda s, d: (lambda g: g.append(g).edges)(pp2(s, d)))
+query("graph_random_nodes", sql("pp2", f" select id from nodes order by {uniform_sql('node0', 'id')}, id limit 20"))(lambda s, d: pp2(s, d).random_nodes(20))
+query("graph_without_loops", sql("pp2", " select least(a.subset, b.subset) as src, greatest(a.subset, b.subset) as dst, sum(w) as w from e join br a on a.id = e.src join br b on b.id = e.dst where a.subset <> b.subset group by 1, 2"))(lambda s, d: pp2(s, d).contract(fx.brands(s, d)).without_loops().edges)
+query("graph_unweighted", sql("pp2", " select src, dst, 1.0::double as w from e"))(lambda s, d: pp2(s, d).unweighted().edges)
+
+
+def _swapped(g: Graph) -> Graph:
+    e = g.index_edges()
+    a = e.where("eid % 2 = 0").select((F.col("eid") + 1).alias("eid"), F.col("src").alias("s1"), F.col("dst").alias("t1"))
+    b = e.where("eid % 2 = 1").select("eid", F.col("src").alias("s2"), F.col("dst").alias("t2"))
+    return g.swap_edges(a.join(b, "eid").drop("eid"))
+
+
+query("graph_swap_edges", sql("pp2", ", x as (select src, dst, w, row_number() over (order by src, dst) - 1 as eid from e), p as (select a.src as s1, a.dst as t1, b.src as s2, b.dst as t2 from x a join x b on b.eid = a.eid + 1 and a.eid % 2 = 0) select src, dst, w from x where eid = (select max(eid) from x) and eid % 2 = 0 union all select least(s1, t2), greatest(s1, t2), 1.0::double from p union all select least(s2, t1), greatest(s2, t1), 1.0::double from p"))(lambda s, d: _swapped(pp2(s, d)).edges)
+query("graph_multi_edges", sql("pp2", " select src, dst, 2::bigint as count from e where w >= 3"))(lambda s, d: Graph((g := pp2(s, d)).nodes, g.edges.union(g.edges.where("w >= 3"))).has_multi_edges())
+
+
+# -- measures
+def _overlapping(s, d) -> DataFrame:
+    """(id, subset): each part in the subset of its brand and in that of its size."""
+    return fx.brands(s, d).union(fx.sizes(s, d).select("id", -F.col("subset")))
+
+
+query("q_cover_hub_dominance", sql("pp2", ", cv as (select id, subset from br union all select id, -subset from sz), su as (select subset, count(*) as size from cv group by 1), la as (select a.subset, e.src, e.dst from e join cv a on a.id = e.src join cv b on b.id = e.dst and b.subset = a.subset where e.src <> e.dst), h as (select subset, max(k) as k from (select subset, id, count(*) as k from (select subset, src as id from la union all select subset, dst from la) group by 1, 2) group by 1) select su.subset, size, round(case when size > 1 then coalesce(k, 0) / (size - 1)::double else 1.0 end, 6) as value from su left join h using (subset)"))(lambda s, d: community.cover_hub_dominance(pp2(s, d), _overlapping(s, d)).select("subset", "size", F.round("value", 6).alias("value")))
+_AGREE = "select 1 - count(*) filter (where (a.subset = b.subset) = (c.subset = f.subset)) / count(*)::double as distance from {pairs} join br a on a.id = u join br b on b.id = v join sz c on c.id = u join sz f on f.id = v"
+_DRAWS = "nn as (select id, row_number() over (order by id) - 1 as at, count(*) over () as n from {of}), "
+query("cmp_sampled_node_rand", sql("pp2", f", {_DRAWS.format(of='nodes')} dr as (select range as sample, floor({uniform_sql('from0', 'range')} * n)::bigint as a, floor({uniform_sql('to0', 'range')} * (n - 1))::bigint as b from range(3000), (select max(n) as n from nn)), ps as (select x.id as u, y.id as v from dr join nn x on x.at = a join nn y on y.at = b + (b >= a)::bigint) {_AGREE.format(pairs='ps')}"))(lambda s, d: community.sampled_node_rand(pp2(s, d), fx.brands(s, d), fx.sizes(s, d), 3000))
+query("cmp_sampled_graph_rand", sql("pp2", f", {_DRAWS.format(of='(select distinct src as id from bo)')} dr as (select range as sample, floor({uniform_sql('edge-node0', 'range')} * n)::bigint as at from range(1000), (select max(n) as n from nn)), ps as (select sample, id as u, arg_min(dst, {uniform_sql('edge-end0', 'sample', 'dst')}) as v from dr join nn on nn.at = dr.at join bo on bo.src = id group by 1, 2) {_AGREE.format(pairs='ps')}"))(lambda s, d: community.sampled_graph_rand(pp2(s, d), fx.brands(s, d), fx.sizes(s, d), 1000))
+query("cmp_dynamic_nmi", sql("pp2", ", ol as (select id, subset from br where id in (select id from sz where subset <= 25)), bt as (select ol.subset as a, sz.subset as b from ol join sz using (id)), u as (select count(*)::double as n from bt), h as (select (select -sum(k / n * log2(k / n)) from (select count(*) as k from bt group by a), u) as a, (select -sum(k / n * log2(k / n)) from (select count(*) as k from bt group by b), u) as b, (select -sum(k / n * log2(k / n)) from (select count(*) as k from bt group by a, b), u) as ab) select round(1 - 2 * (a + b - ab) / (a + b), 6) as distance from h"))(lambda s, d: community.nmi_distance(fx.brands(s, d).join(fx.sizes(s, d).where("subset <= 25").select("id"), "id", "left_semi"), fx.sizes(s, d)).select(F.round("distance", 6).alias("distance")))
+query("edge_constant", sql("pp2", " select src, dst, 1.0::double as score from e"))(lambda s, d: triangles.constant(pp2(s, d)))
+query("edge_same_subset", sql("pp2", " select src, dst, (a.subset = b.subset)::int::double as score from e join br a on a.id = src join br b on b.id = dst"))(lambda s, d: triangles.same_subset(pp2(s, d), fx.brands(s, d)))
+query("sparsify_parameter", sql("pp2", " select w as parameter, (select count(*) from e x where x.w >= y.w) as edges from e y order by w desc limit 1 offset (select ceil(0.3 * count(*) - 1e-9)::bigint - 1 from e)"))(lambda s, d: (lambda g: sparsify.parameter_for(g, g.edges.select("src", "dst", F.col("w").alias("score")), 0.3))(pp2(s, d)))
+query("rank_errors", sql("pp2", ", r as (select id, rank() over (order by deg desc) + (count(*) over (partition by deg) - 1) / 2.0 as x, rank() over (order by wdeg desc) + (count(*) over (partition by wdeg) - 1) / 2.0 as y from deg) select id, round(y / x, 6)::double as error from r"))(lambda s, d: (lambda g: centrality.rank_errors(centrality.degree(g), g.degrees().select("id", F.col("wdeg").alias("score"))).select("id", F.round("error", 6).alias("error")))(pp2(s, d)))
+
+
+def _unlinked(g: Graph) -> DataFrame:
+    """One row: drawn links, and how many of them are edges or loops or repeat."""
+    p = cut(linkpred.random_links(g, 50))
+    known = p.join(g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), ["u", "v"], "left_semi").count() + p.where("u >= v").count()
+    return p.agg(F.count(F.lit(1)).alias("links"), (F.count(F.lit(1)) - F.count_distinct("u", "v") + known).cast("long").alias("bad"))
+
+
+query("lp_random_links_check", "select 50::bigint as links, 0::bigint as bad")(lambda s, d: _unlinked(pp2(s, d)))
+query("resistance_sum", sql("ss", ", r(id, c) as (select id, id from nodes union select bo.dst, r.c from r join bo on bo.src = r.id and r.c < bo.dst), cc as (select id, min(c) as c from r group by id) select (count(*) - count(distinct c))::double as total from cc", True))(lambda s, d: (lambda g: algebra.effective_resistance(g, g.edges.select("src", "dst")).join(g.edges, ["src", "dst"]).agg(F.round(F.sum(F.col("r") * F.col("w")), 4).alias("total")))(ss(s, d)))
+query("commute_time_sum", sql("ss", ", r(id, c) as (select id, id from nodes union select bo.dst, r.c from r join bo on bo.src = r.id and r.c < bo.dst), cc as (select id, min(c) as c from r group by id) select (count(*) - count(distinct c)) * (select 2 * sum(w) from e)::double as total from cc", True))(lambda s, d: (lambda g: distance.commute_time(g, g.edges.select("src", "dst")).join(g.edges, ["src", "dst"]).agg(F.round(F.sum(F.col("score") * F.col("score") * F.col("w")), 2).alias("total")))(ss(s, d)))
+query("alg_power_vector", sql("ss", f"{_POWER} select id as i, round(abs(v), 5) as v from x40"))(lambda s, d: algebra.power_eigenvector(algebra.adjacency(ss(s, d))).select("i", F.round(F.abs("v"), 5).alias("v")))
+
+
+def _plain_gradient(g: Graph) -> DataFrame:
+    m = algebra.add(algebra.laplacian(g), g.nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v")))
+    known = g.nodes.select(F.col("id").alias("i"), (F.col("id") % 7).cast("double").alias("v"))
+    return algebra.conjugate_gradient(m, algebra.matvec(m, known), jacobi=False).select("i", F.round("v", 4).alias("v"))
+
+
+query("alg_conjugate_gradient_plain", "select s_suppkey as i, (s_suppkey % 7)::double as v from supplier")(lambda s, d: _plain_gradient(ss(s, d)))
+
+
+# -- layouts
+def _forces(g: Graph) -> DataFrame:
+    """(id, close): whether the repulsion by cells is within a twentieth of the greatest one that all pairs give."""
+    pos = cut(layout.scattered(g))
+    got = layout.repulsion(pos, occupancy=2)
+    o = pos.select(F.col("id").alias("o"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.lit(1).alias("one"))
+    d2 = F.pow(F.col("x") - F.col("ox"), F.lit(2)) + F.pow(F.col("y") - F.col("oy"), F.lit(2))
+    want = pos.withColumn("one", F.lit(1)).join(o, "one").where("id <> o").groupBy("id").agg(F.sum((F.col("x") - F.col("ox")) / d2).alias("wx"), F.sum((F.col("y") - F.col("oy")) / d2).alias("wy"))
+    gap = F.sqrt(F.pow(F.col("fx") - F.col("wx"), F.lit(2)) + F.pow(F.col("fy") - F.col("wy"), F.lit(2)))
+    both = cut(got.join(want, "id"))
+    top = both.agg(F.max(F.sqrt(F.pow("wx", F.lit(2)) + F.pow("wy", F.lit(2)))).alias("top"))
+    return both.join(F.broadcast(top)).select("id", (gap <= 0.05 * F.col("top")).alias("close"))  # one row
+
+
+def _stress_falls(g: Graph) -> DataFrame:
+    levels: list[float] = []
+    pos = layout.maxent_stress(g, 3, history=levels)
+    start = layout.stress(g, layout.scattered(g)).first()[0]
+    return pos.agg(F.count_distinct("id").alias("nodes"), F.lit(all(a >= b for a, b in zip([start, *levels], levels))).alias("falling"))
+
+
+query("layout_forces", sql("ss", " select id, true as close from nodes"))(lambda s, d: _forces(ss(s, d)))
+query("layout_maxent_check", sql("ss", " select count(*) as nodes, true as falling from nodes"))(lambda s, d: _stress_falls(ss(s, d)))
+query("layout_springs_check", sql("ss", " select count(*) as nodes, true as shorter from nodes"))(lambda s, d: (lambda g: layout.fruchterman_reingold(g, 8).agg(F.count_distinct("id").alias("nodes")).join(layout.stress(g, layout.fruchterman_reingold(g, 8)).join(layout.stress(g, layout.scattered(g)).withColumnRenamed("stress", "was")).select((F.col("stress") < F.col("was")).alias("shorter"))))(ss(s, d)))
+
+
+def _late_oracles() -> None:
+    """Queries whose SQL is that of a registered one."""
+    from graphloom.plans.registry import ORACLES
+
+    query("pseudo_random_forest", ORACLES["max_spanning_forest"])(lambda s, d: components.pseudo_random_forest(pp2(s, d)).agg(F.sum("w").alias("weight"), F.count(F.lit(1)).alias("edges")))
+    query("lp_algebraic", f"select src as u, dst as v, score from ({ORACLES['algebraic_distance']})")(lambda s, d: (lambda g: linkpred.algebraic_index(g, g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), systems=4, rounds=8).select("u", "v", F.round("score", 6).alias("score")))(pp2(s, d)))
+
+
+_late_oracles()

@@ -42,21 +42,20 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{top}/out")
 
 
-def fold_stream(stream: DataFrame) -> DataFrame:
-    """(u, v, on): the last state of every edge in a stream of (seq, u, v, on), kept as a table that each batch renews."""
+def fold_stream(stream: DataFrame, place: str | None = None) -> DataFrame:
+    """(u, v, on): the last state of every edge in a stream of (seq, u, v, on).
+
+    Spark keeps each edge's last state in its state store, beside the offsets that have been read, and each batch writes only the edges that it
+    changed, into a folder of the batch's number: a batch that runs again writes the same rows there. Given a place of its own, a later call goes
+    on where the last one stopped.
+    """
     spark = stream.sparkSession
-    top = f"{shared_dir(spark).rstrip('/')}/fold-{uuid.uuid4().hex}"
-    state = {"at": None}
-
-    def renew(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("u", "v").agg(F.max("seq").alias("seq"), F.max_by("on", "seq").alias("on"))
-        if state["at"]:
-            old = batch.sparkSession.read.parquet(state["at"])
-            new = old.unionByName(new).groupBy("u", "v").agg(F.max("seq").alias("seq2"), F.max_by("on", "seq").alias("on")).withColumnRenamed("seq2", "seq")
-        new.select("u", "v", "seq", "on").write.mode("overwrite").parquet(f"{top}/{number}")
-        state["at"] = f"{top}/{number}"
-
-    stream.writeStream.foreachBatch(renew).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
-    if state["at"] is None:
-        return spark.createDataFrame([], "u long, v long, on boolean")
-    return spark.read.parquet(state["at"]).select("u", "v", "on")
+    top = place or f"{shared_dir(spark).rstrip('/')}/fold-{uuid.uuid4().hex}"
+    last = stream.groupBy("u", "v").agg(F.max("seq").alias("seq"), F.max_by("on", "seq").alias("on"))
+
+    def changed(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{top}/changes/{number}")
+
+    last.writeStream.outputMode("update").foreachBatch(changed).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    spark.createDataFrame([], last.schema).write.mode("ignore").parquet(f"{top}/changes/none")
+    return spark.read.schema(last.schema).option("recursiveFileLookup", "true").parquet(f"{top}/changes").groupBy("u", "v").agg(F.max_by("on", "seq").alias("on"))
