@@ -321,7 +321,7 @@ query("io_raster", "select p_size::bigint - 1 as col, sum(p_partkey % 3)::bigint
 def _rastered(s, d):
     """A raster of one row, a cell for each size, and how many points each cell got."""
     c = fx.table(s, d, "part").groupBy("p_size").agg(F.sum(F.col("p_partkey") % 3).alias("n"))
-    width = c.agg(F.max("p_size")).first()[0]
+    width = c.agg(F.max("p_size")).first()[0] or 1  # no parts: one empty cell
     row = s.range(1, width + 1).join(c, F.col("id") == F.col("p_size"), "left").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("n", F.lit(0)).cast("string").alias("n")))), lambda x: x["n"]), " ").alias("value"))
     row.write.text(path := _place(s))
     return readers.raster(s, path).groupBy(F.floor(F.col("x") * width).alias("col")).agg(F.count(F.lit(1)).alias("points"))
@@ -410,7 +410,7 @@ query("gen_edge_switching_degrees", sql("pp2", " select id, deg::bigint as deg f
 query("gen_havel_hakimi_degrees", "select i as id, case when i < 200 then 4 else 2 end::bigint as deg from range(300) t(i)")(lambda s, d: generators.havel_hakimi(s, [4] * 200 + [2] * 100).degrees().select("id", "deg"))
 
 # -- further forms of operators above
-query("bfs_sample", sql("pp2", f"{_BFS}, k as (select id from dist order by dist, id limit 200) select e.src, e.dst, e.w from e join k a on a.id = src join k b on b.id = dst", True))(lambda s, d: traversal.bfs_sample(g := pp2(s, d), _first(g).first().id, 200).edges)
+query("bfs_sample", sql("pp2", f"{_BFS}, k as (select id from dist order by dist, id limit 200) select e.src, e.dst, e.w from e join k a on a.id = src join k b on b.id = dst", True))(lambda s, d: (lambda g: traversal.bfs_sample(g, g.edges.agg(F.coalesce(F.min("src"), F.lit(-1))).first()[0], 200).edges)(pp2(s, d)))
 query("dyn_growth_events", sql("pp2", ", v as (select id as step, 0 as o, 'NODE_ADDITION' as type, id as u, null::bigint as v, null::double as w from nodes union all select dst, 1, 'EDGE_ADDITION', src, dst, w from e) select step * 16777216 + row_number() over (partition by step order by o, u) as seq, step, type, u, v, w from v"))(lambda s, d: dynamic.growth_events(pp2(s, d)))
 query("sparsify_simmelian_parametric", f"select src, dst from ({ORACLES['sparsify_simmelian_overlap']}) where score >= 2")(lambda s, d: sparsify.simmelian_parametric(ppc(s, d), 10, 2).edges.select("src", "dst"))
 query("sparsify_jaccard", f"select src, dst from ({ORACLES['edge_jaccard']}) where score <= 0.9500005")(lambda s, d: sparsify.jaccard_sparsifier(ppc(s, d), 0.9500005).edges.select("src", "dst"))

@@ -88,14 +88,15 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
 
 
 def gml(spark: SparkSession, path: str) -> Graph:
-    """`node [ id .. ]` and `edge [ source .. target .. ]` blocks."""
-    text = spark.read.text(path, wholetext=True)
-    directed = bool(text.where(F.col("value").rlike(r"(?m)^\s*directed\s+1")).limit(1).count())
-    nodes = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"node\s*\[[^\]]*?\bid\s+(-?\d+)"), 1)).alias("id")).select(F.col("id").cast("long").alias("id"))
-    blocks = text.select(F.explode(F.regexp_extract_all("value", F.lit(r"(edge\s*\[[^\]]*\])"), 1)).alias("b"))
-    w = F.regexp_extract("b", r"\b(?:weight|value)\s+([-+.\deE]+)", 1)
-    e = blocks.select(F.regexp_extract("b", r"source\s+(-?\d+)", 1).cast("long").alias("src"), F.regexp_extract("b", r"target\s+(-?\d+)", 1).cast("long").alias("dst"), F.when(w == "", 1.0).otherwise(F.expr("try_cast(regexp_extract(b, '\\\\b(?:weight|value)\\\\s+([-+.\\\\deE]+)', 1) as double)")).alias("w"))
-    return Graph.from_edges(e, nodes, directed)
+    """`node [ id .. ]` and `edge [ source .. target .. ]` blocks. Files are cut at closing brackets, so a large one is many tasks' work."""
+    pieces = spark.read.option("lineSep", "]").text(path)
+    directed = bool(pieces.where(F.col("value").rlike(r"\bdirected\s+1\b")).limit(1).count())
+    block = pieces.select(F.regexp_extract("value", r"(?s).*\b(node|edge)\s*\[", 1).alias("kind"), F.regexp_extract("value", r"(?s).*\b(?:node|edge)\s*\[(.*)", 1).alias("b"))
+    number = lambda key: F.expr(f"try_cast(regexp_extract(b, '\\\\b{key}\\\\s+(-?[0-9]+)', 1) as bigint)")
+    nodes = block.where("kind = 'node'").select(number("id").alias("id")).where("id is not null")
+    w = F.expr("try_cast(regexp_extract(b, '\\\\b(?:weight|value)\\\\s+([-+.0-9eE]+)', 1) as double)")
+    e = block.where("kind = 'edge'").select(number("source").alias("src"), number("target").alias("dst"), F.coalesce(w, F.lit(1.0)).alias("w"))
+    return Graph.from_edges(e.where("src is not null and dst is not null"), nodes, directed)
 
 
 def _parsed(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
