@@ -240,7 +240,7 @@ query("matching_coarsening")(lambda s, d: matching.matching_coarsening(g := pp2(
 query("independent_set")(lambda s, d: matching.luby(pp2(s, d)))
 query("max_clique")(lambda s, d: cliques.max_clique(pp2(s, d)).agg(F.count(F.lit(1)).alias("size")))
 query("max_flow")(lambda s, d: (lambda g, t: flows.max_flow_value(g, t[0], t[1]))(g := pp2(s, d), g.edges.agg(F.min("src"), F.max("dst")).first()))
-query("cut_clustering")(lambda s, d: flows.cut_clustering(pp2(s, d), 2.0))
+query("cut_clustering")(lambda s, d: flows.cut_clustering(fx.suppliers(s, d).cut(), 60.0, 128))
 
 # -- generators
 _N = "(select count(*) from part)"
