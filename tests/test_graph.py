@@ -189,7 +189,7 @@ def test_communities(spark):
     assert community.nmi_distance(k, k).first()[0] == pytest.approx(0) and community.rand_distance(k, k).first()[0] == 0
     seed = spark.createDataFrame([(0,)], "id long")
     assert {r.id for r in community.pagerank_nibble(g, seed, eps=1e-3).collect()} == set(range(5))
-    assert set(range(5)) <= {r.id for r in community.greedy_expansion(g, seed, 8).collect()}
+    assert set(range(5)) <= {r.id for r in community.greedy_expansion(g, seed).collect()}
 
 
 def test_laplacian_and_solvers(spark):
