@@ -78,11 +78,13 @@ def maximum_forest(g: Graph, jitter: int | None = None) -> DataFrame:
     live = edges.select("src", "dst", "w", "rank", F.col("src").alias("a"), F.col("dst").alias("b"))
     chosen = None
     while not live.isEmpty():
-        ends = live.select(F.col("a").alias("c"), "src", "dst", "w", "rank").union(live.select("b", "src", "dst", "w", "rank"))
-        picked = cut(ends.groupBy("c").agg(F.max_by(F.struct("src", "dst", "w"), "rank").alias("e")).select("e.*").distinct())
-        chosen = picked if chosen is None else cut(chosen.union(picked))
-        comp = fixpoint.components(chosen)
-        live = cut(edges.join(comp.select(F.col("id").alias("src"), F.col("component").alias("a")), "src").join(comp.select(F.col("id").alias("dst"), F.col("component").alias("b")), "dst").where("a <> b").select("src", "dst", "w", "rank", "a", "b"))
+        ends = live.select(F.col("a").alias("c"), "src", "dst", "w", "rank", "a", "b").union(live.select("b", "src", "dst", "w", "rank", "a", "b"))
+        picked = cut(ends.groupBy("c").agg(F.max_by(F.struct("src", "dst", "w", "a", "b"), "rank").alias("e")).select("e.*").distinct())
+        chosen = picked.select("src", "dst", "w") if chosen is None else chosen.union(picked.select("src", "dst", "w"))
+        # only what is left of the graph is joined: each tree that still has edges out picked one
+        comp = fixpoint.components(picked, "a", "b")
+        live = live.join(comp.select(F.col("id").alias("a"), F.col("component").alias("na")), "a").join(comp.select(F.col("id").alias("b"), F.col("component").alias("nb")), "b")
+        live = cut(live.where("na <> nb").select("src", "dst", "w", "rank", F.col("na").alias("a"), F.col("nb").alias("b")))
     return chosen if chosen is not None else g.edges.where("false")
 
 
