@@ -305,13 +305,19 @@ def lfr(spark: SparkSession, n: int, low: int, high: int, gamma: float, smallest
     return Graph.from_edges(Graph.from_edges(e_in.union(e_out)).edges.select("src", "dst").distinct(), deg.select("id")), label
 
 
-def pub_web(spark: SparkSession, n: int, centers: int, radius: float, most: int, salt: int = 0) -> tuple[Graph, DataFrame]:
-    """Points around centres on the unit torus; two are linked when each is among the other's most nearest within radius. Weight is 0.01 over the squared distance."""
-    c = F.floor(uniform(f"c{salt}", "id") * centers)
-    spread = F.sqrt(-2 * F.log(F.greatest(uniform(f"g{salt}", "id"), F.lit(1e-12)))) * radius
-    turn = uniform(f"t{salt}", "id") * 2 * math.pi
+def scattered_points(ids: DataFrame, centers: int, spread: float, salt: int = 0) -> DataFrame:
+    """(id, x, y): each id a point of the unit torus, evenly over angle and distance within spread of a drawn centre or, as one more choice, anywhere."""
+    c = F.floor(uniform(f"c{salt}", "id") * (centers + 1))
+    turn, far = uniform(f"t{salt}", "id") * 2 * math.pi, uniform(f"g{salt}", "id") * spread
     frac = lambda x: x - F.floor(x)
-    pts = spark.range(n).select("id", frac(uniform(f"cx{salt}", c) + spread * F.cos(turn)).alias("x"), frac(uniform(f"cy{salt}", c) + spread * F.sin(turn)).alias("y"))
+    near = c < centers
+    x = F.when(near, frac(uniform(f"cx{salt}", c) + far * F.cos(turn))).otherwise(uniform(f"x{salt}", "id"))
+    y = F.when(near, frac(uniform(f"cy{salt}", c) + far * F.sin(turn))).otherwise(uniform(f"y{salt}", "id"))
+    return ids.select("id", x.alias("x"), y.alias("y"))
+
+
+def near_links(pts: DataFrame, radius: float, most: int) -> DataFrame:
+    """(src, dst, w): points (id, x, y) of the unit torus of which each is among the other's most nearest within radius. Weight is 0.01 over the squared distance."""
     k = max(1, int(1 / radius))
     cell = pts.select("id", "x", "y", F.floor(F.col("x") * k).alias("cx"), F.floor(F.col("y") * k).alias("cy"))
     around = F.array(*[F.struct(F.pmod(F.col("cx") + i, F.lit(k)).alias("cx"), F.pmod(F.col("cy") + j, F.lit(k)).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -322,4 +328,14 @@ def pub_web(spark: SparkSession, n: int, centers: int, radius: float, most: int,
     w = Window.partitionBy("a").orderBy("d2", "b")
     top = near.select("a", "b", d2.alias("d2")).where(F.col("d2") <= radius * radius).select("a", "b", "d2", F.row_number().over(w).alias("r")).where(F.col("r") <= most)
     mutual = top.where("a < b").join(top.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
-    return Graph.from_edges(mutual.select(F.col("a").alias("src"), F.col("b").alias("dst"), (0.01 / F.greatest("d2", F.lit(1e-12))).alias("w")), pts.select("id")), pts
+    return mutual.select(F.col("a").alias("src"), F.col("b").alias("dst"), (0.01 / F.greatest("d2", F.lit(1e-12))).alias("w"))
+
+
+def pub_web(spark: SparkSession, n: int, centers: int, radius: float, most: int, salt: int = 0) -> tuple[Graph, DataFrame]:
+    """Points around centres on the unit torus; two are linked when each is among the other's most nearest within radius. Weight is 0.01 over the squared distance."""
+    c = F.floor(uniform(f"c{salt}", "id") * centers)
+    spread = F.sqrt(-2 * F.log(F.greatest(uniform(f"g{salt}", "id"), F.lit(1e-12)))) * radius
+    turn = uniform(f"t{salt}", "id") * 2 * math.pi
+    frac = lambda x: x - F.floor(x)
+    pts = spark.range(n).select("id", frac(uniform(f"cx{salt}", c) + spread * F.cos(turn)).alias("x"), frac(uniform(f"cy{salt}", c) + spread * F.sin(turn)).alias("y"))
+    return Graph.from_edges(near_links(pts, radius, most), pts.select("id")), pts

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform, uniform_sql
-from graphloom.graph import Graph
-from graphloom.operators import algebra, centrality, cliques, coloring, community, components, distance, flows, layout, linkpred, multigrid, rooted, sampled, sparsify, spectral, traversal, triangles
+from graphloom.graph import Graph, numbered
+from graphloom.operators import algebra, centrality, cliques, coloring, community, components, distance, dynamic, flows, growth, layout, linkpred, multigrid, rooted, sampled, sparsify, spectral, traversal, triangles
 from graphloom.plans import fixtures as fx
 from graphloom.plans.fixpoint import cut
 from graphloom.plans.fixtures import sql
@@ -299,6 +299,61 @@ query("layout_maxent_check", sql("ss", " select count(*) as nodes, true as falli
 query("layout_springs_check", sql("ss", " select count(*) as nodes, true as shorter from nodes"))(lambda s, d: (lambda g: layout.fruchterman_reingold(g, 8).agg(F.count_distinct("id").alias("nodes")).join(layout.stress(g, layout.fruchterman_reingold(g, 8)).join(layout.stress(g, layout.scattered(g)).withColumnRenamed("stress", "was")).select((F.col("stress") < F.col("was")).alias("shorter"))))(ss(s, d)))
 
 
+# -- graphs that grow and change by a random rule
+_LATER = 1_000_000_000
+
+
+def _forest_fire(s, d) -> DataFrame:
+    """Customers join the parts of an order: (u, ambassador, linked, earlier) says whether each links to its ambassador, and only to nodes of steps before."""
+    g = pp2(s, d)
+    comers = fx.table(s, d, "customer").select((F.col("c_custkey") + _LATER).alias("id"))
+    events = growth.forest_fire_growth(g, comers, 0.4, share=0.25)
+    came = events.where("type = 'NODE_ADDITION'").select(F.col("u").alias("v"), F.col("step").alias("came"))
+    links = events.where("type = 'EDGE_ADDITION'").join(came, "v", "left").groupBy("u").agg(F.collect_set("v").alias("to"), F.max(F.coalesce("came", F.lit(-1)) - F.col("step")).alias("gap"))
+    everyone = [numbered(g.nodes.select("id"), ["id"], "at"), numbered(comers, ["id"], "at")]
+    n = everyone[0].count()
+    places = cut(everyone[0].union(everyone[1].withColumn("at", F.col("at") + n)))
+    sizes = growth.batches(n, places.count() - n, 0.25)
+    first = [n + sum(sizes[:k]) for k in range(len(sizes))]
+    present = F.array_max(F.filter(F.array(*map(F.lit, first)), lambda f: f <= F.col("at")))
+    drawn = places.where(F.col("at") >= n).select(F.col("id").alias("u"), F.floor(uniform("ambassador0", "id") * present).cast("long").alias("at"))
+    return drawn.join(places.select("at", F.col("id").alias("ambassador")), "at").join(links, "u").select("u", "ambassador", F.array_contains("to", F.col("ambassador")).alias("linked"), (F.col("gap") < 0).alias("earlier"))
+
+
+query(
+    "dyn_forest_fire",
+    f"""with recursive pl as materialized (select p_partkey as id, row_number() over (order by p_partkey) - 1 as place from part union all
+    select c_custkey + {_LATER}, (select count(*) from part) + row_number() over (order by c_custkey) - 1 from customer),
+    s(present, waiting) as (select (select count(*) from part), (select count(*) from customer) union all
+    select present + least(waiting, greatest(1, floor(present * 0.25)::bigint)), waiting - least(waiting, greatest(1, floor(present * 0.25)::bigint)) from s where waiting > 0),
+    dr as (select id as u, floor({uniform_sql('ambassador0', 'id')} * (select max(present) from s where waiting > 0 and present <= place))::bigint as place from pl where id >= {_LATER})
+    select u, id as ambassador, true as linked, true as earlier from dr join pl using (place)""",
+)(_forest_fire)
+
+
+def _vector_points(s, d) -> DataFrame:
+    x, y = (F.element_at("embedding", i).cast("double") for i in (1, 2))
+    return fx.table(s, d, "embeddings").where(x.isNotNull() & y.isNotNull()).select(F.col("vec_id").alias("id"), (x - F.floor(x)).alias("x"), (y - F.floor(y)).alias("y"))
+
+
+def _come(step: int) -> str:
+    c, far, turn = f"floor({uniform_sql('c0', 'id')} * 21)::bigint", f"{uniform_sql('g0', 'id')} * 0.05", f"{uniform_sql('t0', 'id')} * 2 * pi()"
+    at = [f"case when {c} < 20 then {uniform_sql(f'c{a}0', c)} + {far} * {f}({turn}) - floor({uniform_sql(f'c{a}0', c)} + {far} * {f}({turn})) else {uniform_sql(f'{a}0', 'id')} end as {a}" for a, f in (("x", "cos"), ("y", "sin"))]
+    return f"select id, {at[0]}, {at[1]} from (select unnest(range(fresh + {step - 1} * moving, fresh + {step} * moving)) as id from k)"
+
+
+query(
+    "dyn_pub_web",
+    f"""with p0 as materialized (select vec_id as id, embedding[1]::double - floor(embedding[1]::double) as x, embedding[2]::double - floor(embedding[2]::double) as y from embeddings where embedding[1] is not null and embedding[2] is not null),
+    k as materialized (select floor(count(*) * 0.05)::bigint as moving, max(id) + 1 as fresh from p0),
+    p1 as materialized (select id, x, y from p0 qualify row_number() over (order by {uniform_sql('leave0:1', 'id')}, id) > (select moving from k) union all {_come(1)}),
+    p2 as materialized (select id, x, y from p1 qualify row_number() over (order by {uniform_sql('leave0:2', 'id')}, id) > (select moving from k) union all {_come(2)}),
+    n as (select a.id as a, b.id as b, pow(least(abs(a.x - b.x), 1 - abs(a.x - b.x)), 2) + pow(least(abs(a.y - b.y), 1 - abs(a.y - b.y)), 2) as d2 from p2 a join p2 b on a.id <> b.id),
+    t as materialized (select * from n where d2 <= 0.0025 qualify row_number() over (partition by a order by d2, b) <= 8)
+    select a.a as u, a.b as v, round(0.01 / greatest(a.d2, 1e-12), 3) as w from t a join t b on a.a = b.b and a.b = b.a where a.a < a.b""",
+)(lambda s, d: dynamic.fold_edges(growth.pub_web_churn(_vector_points(s, d), 2, 20, 0.05, 0.05, 8)).select("u", "v", F.round("w", 3).alias("w")))
+
+
 def _late_oracles() -> None:
     """Queries whose SQL is that of a registered one."""
     from graphloom.plans.registry import ORACLES
