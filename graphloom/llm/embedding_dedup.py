@@ -8,11 +8,16 @@ sum of squared centroid distances, taken from partners made for a sample of vect
 threshold itself and from true pairs of the sample. Whatever shares a visited cell and label
 is verified by cosine in double precision.
 
-Work is dealt by (label, cell), and a cell with many members or visitors is split into blocks on both
-sides, each pair of blocks one task group: a matrix product that returns counts per vector and a
-star for each connected part of its links, never the pairs. A link that both ends could find is counted by
+Work is dealt by (label, tile), a tile being a few left centroids that lie close together and a few right ones. A vector
+goes to each tile once, with the list of the tile's cells that it visits, and meets only what lies in those. A tile with many
+members or visitors is split into blocks on both sides, each pair of blocks one task group: a matrix product that returns
+counts per vector and a star for each connected part of its links, never the pairs. A link that both ends could find is counted by
 the rule that the member is credited only if it would not visit the visitor's cell itself.
 
+The codebooks grow with the root of the number of vectors, so a cell holds about as many at every size. Codebooks and slack are
+fitted on bounded samples: max_sample vectors for the codebooks, fit_sample of them for the slack, and of the true pairs at most
+fit_pairs from every 512 of those. The index holds every vector.
+
 Equal vectors of a label are collapsed to one with a multiplicity first, so copies cost nothing.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, vectors of a null
@@ -33,13 +38,18 @@ from pyspark.sql import functions as F
 from graphloom.plans.fixpoint import components, cut
 
 BLOCK = 1024
+TILE = 4  # centroids of a half that a tile spans on average
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmin((c * c).sum(1) - 2 * x[at : at + BLOCK] @ c.T, 1) for at in range(0, len(x), BLOCK)])
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = np.argmin((c * c).sum(1) - 2 * x @ c.T, 1)
+        near = _nearest(x, c)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=len(c))
@@ -52,6 +62,11 @@ class Grid:
 
     def __init__(self, left: np.ndarray, right: np.ndarray, slack: float = 0.0):
         self.left, self.right, self.slack = left, right, slack
+        groups = [_nearest(c, kmeans(c, -(-len(c) // TILE))) for c in (left, right)]
+        self.left_tile, self.right_tile = groups[0] * (int(groups[1].max()) + 1), groups[1]
+
+    def tiles(self, cells: np.ndarray) -> np.ndarray:
+        return self.left_tile[cells // len(self.right)] + self.right_tile[cells % len(self.right)]
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = x.shape[1] // 2
@@ -81,6 +96,17 @@ class Grid:
             out.append((i[u] * len(self.right) + j[v])[order])
         return out
 
+    def visited_tiles(self, x: np.ndarray) -> tuple[list[list[int]], list[list[list[int]]]]:
+        """The tiles that each row's search touches, and the cells that it visits in each."""
+        tiles, cells = [], []
+        for seen in self.visits(x):
+            t = self.tiles(seen)
+            order = np.argsort(t, kind="stable")
+            which, first = np.unique(t[order], return_index=True)
+            tiles.append(which.tolist())
+            cells.append([c.tolist() for c in np.split(seen[order], first[1:])])
+        return tiles, cells
+
     def visiting(self, y: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Rows of y by cells: whether y's search reaches the cell."""
         a, b = self.distances(y)
@@ -88,25 +114,26 @@ class Grid:
         return a[:, cells // len(self.right)] + b[:, cells % len(self.right)] <= self.slack
 
 
-def fit(sample: np.ndarray, labels: np.ndarray, n: int, threshold: float, recall: float = 0.995, occupancy: int = 64, seed: int = 5) -> Grid:
-    """Codebooks from unit vectors; their size follows n, the number of vectors to index."""
-    k = int(np.clip(round((n / occupancy) ** 0.5), 1, min(256, len(sample))))
+def fit(sample: np.ndarray, labels: np.ndarray, n: int, threshold: float, recall: float = 0.995, occupancy: int = 64, seed: int = 5, fit_sample: int = 4096, fit_pairs: int = 20_000) -> Grid:
+    """Codebooks from unit vectors; their size follows n, the number of vectors to index, up to one centroid for each vector of the sample."""
+    k = int(np.clip(round((n / occupancy) ** 0.5), 1, len(sample)))
     h = sample.shape[1] // 2
     grid = Grid(kmeans(sample[:, :h], k, seed=seed), kmeans(sample[:, h:], k, seed=seed + 1))
     rng = np.random.default_rng(seed)
-    x = sample[rng.permutation(len(sample))[:4000]]
+    x = sample[rng.permutation(len(sample))[:fit_sample]]
     noise = rng.normal(size=x.shape)
     noise -= (noise * x).sum(1, keepdims=True) * x
     noise /= np.maximum(np.linalg.norm(noise, axis=1, keepdims=True), 1e-12)
     partner = threshold * x + (1 - threshold**2) ** 0.5 * noise
-    slack = [np.quantile(grid.excess(x, grid.cells(partner)), recall)]
+    apart = lambda of, to: np.concatenate([grid.excess(of[at : at + BLOCK], grid.cells(to[at : at + BLOCK])) for at in range(0, len(of), BLOCK)])
+    slack = [np.quantile(apart(x, partner), recall)]
     found = []
-    for at in range(0, min(len(sample), 4096), 512):
-        part = sample[at : at + 512]
-        i, j = np.nonzero((part @ sample[:4096].T >= threshold) & (labels[at : at + 512, None] == labels[None, :4096]))
-        keep = (i + at != j) & (np.arange(len(i)) < 20_000)
-        if keep.any():
-            found.append(grid.excess(part[i[keep]], grid.cells(sample[:4096][j[keep]])))
+    few, names = sample[:fit_sample], labels[:fit_sample]
+    for at in range(0, len(few), 512):
+        i, j = np.nonzero((few[at : at + 512] @ few.T >= threshold) & (names[at : at + 512, None] == names[None, :]))
+        keep = np.flatnonzero(i + at != j)[:fit_pairs]
+        if len(keep):
+            found.append(apart(few[at + i[keep]], few[j[keep]]))
     if found:
         slack.append(np.quantile(np.concatenate(found), recall))
     grid.slack = float(max(slack)) + 1e-9
@@ -159,16 +186,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     grid = fit(unit(_matrix(pdf["x"])), pdf["label"].to_numpy(), n, threshold, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
                 x = unit(_matrix(batch.column(3).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(grid.cells(x), pa.int64()), pa.array([c.tolist() for c in grid.visits(x)], pa.list_(pa.int64()))], names=["rep", "label", "mult", "x", "home", "visits"])
-
-    placed = cut(reps.select("rep", "label", "mult", "x").mapInArrow(place, "rep long, label string, mult long, x array<double>, home long, visits array<long>"))
-    # blocks per cell, for either side, from counts alone
-    held = placed.groupBy("label", F.col("home").alias("cell")).agg(F.count(F.lit(1)).alias("members"))
-    seen = placed.select("label", F.explode("visits").alias("cell")).groupBy("label", "cell").agg(F.count(F.lit(1)).alias("visitors"))
-    blocks = held.join(seen, ["label", "cell"]).where("visitors > 1").select("label", "cell", F.ceil(F.col("members") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("visitors") / BLOCK).cast("int").alias("vb"))
+                home, (tiles, cells) = grid.cells(x), grid.visited_tiles(x)
+                cols = [pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(home, pa.int64()), pa.array(grid.tiles(home), pa.int64()), pa.array(tiles, pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], names=["rep", "label", "mult", "x", "home", "tile", "tiles", "cells"])
+
+    placed = cut(reps.select("rep", "label", "mult", "x").mapInArrow(place, "rep long, label string, mult long, x array<double>, home long, tile long, tiles array<long>, cells array<array<long>>"))
+    # blocks per tile, for either side, from counts alone
+    held = placed.groupBy("label", "tile").agg(F.count(F.lit(1)).alias("members"))
+    seen = placed.select("label", F.explode("tiles").alias("tile")).groupBy("label", "tile").agg(F.count(F.lit(1)).alias("visitors"))
+    blocks = held.join(seen, ["label", "tile"]).where("visitors > 1").select("label", "tile", F.ceil(F.col("members") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("visitors") / BLOCK).cast("int").alias("vb"))
     blocks = cut(blocks)
 
     def block(of, count):
@@ -177,17 +207,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     def spread(count):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
-    members = placed.select("rep", "label", "mult", "x", F.col("home").alias("cell")).join(blocks, ["label", "cell"]).select("label", "cell", block("m", "mb").alias("m"), spread("vb").alias("v"), "rep", "mult", "x", F.col("cell").alias("home"), F.lit(True).alias("member"))
-    visitors = placed.select("rep", "label", "mult", "x", "home", F.explode("visits").alias("cell")).join(blocks, ["label", "cell"]).select("label", "cell", spread("mb").alias("m"), block("v", "vb").alias("v"), "rep", "mult", "x", "home", F.lit(False).alias("member"))
+    members = placed.select("rep", "label", "mult", "x", "home", "tile").join(blocks, ["label", "tile"]).select("label", "tile", block("m", "mb").alias("m"), spread("vb").alias("v"), "rep", "mult", "x", "home", F.lit(None).cast("array<long>").alias("cells"))
+    asks = placed.select("rep", "label", "mult", "x", "home", F.explode(F.arrays_zip("tiles", "cells")).alias("ask")).select("rep", "label", "mult", "x", "home", F.col("ask.tiles").alias("tile"), F.col("ask.cells").alias("cells"))
+    visitors = asks.join(blocks, ["label", "tile"]).select("label", "tile", spread("mb").alias("m"), block("v", "vb").alias("v"), "rep", "mult", "x", "home", "cells")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
-        side = pdf["member"].to_numpy()
+        side = pdf["cells"].isna().to_numpy()
         a, b = pdf[~side], pdf[side]
         if len(a) and len(b):
             xa, xb = _matrix(a["x"]), _matrix(b["x"])
             ra, rb = a["rep"].to_numpy(), b["rep"].to_numpy()
-            m = (xa @ xb.T >= threshold) & (ra[:, None] != rb)
+            held, cell = np.unique(b["home"].to_numpy(), return_inverse=True)
+            sees = np.stack([np.isin(held, c) for c in a["cells"]])
+            m = (xa @ xb.T >= threshold) & sees[:, cell] & (ra[:, None] != rb)
             if m.any():
                 ca = m @ b["mult"].to_numpy()
                 homes, which = np.unique(a["home"].to_numpy(), return_inverse=True)
@@ -198,7 +231,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
                 out = [counts[counts["n"] > 0].assign(other=None), pd.DataFrame({"rep": [p for p, _ in tied], "n": 0, "other": [q for _, q in tied]})]
         return pd.concat([o for o in out if len(o)]).astype({"other": "Int64"}) if any(map(len, out)) else pd.DataFrame({"rep": [], "n": [], "other": []}).astype({"rep": "int64", "n": "int64", "other": "Int64"})
 
-    found = cut(members.unionByName(visitors).groupBy("label", "cell", "m", "v").applyInPandas(verify, "rep long, n long, other long"))
+    found = cut(members.unionByName(visitors).groupBy("label", "tile", "m", "v").applyInPandas(verify, "rep long, n long, other long"))
     counts = found.where("n > 0").groupBy("rep").agg(F.sum("n").alias("n"))
     tied = components(found.where("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst")))
     whole = cut(reps.select("label", "same", "rep", "mult").join(counts, "rep", "left").join(tied.withColumnRenamed("id", "rep"), "rep", "left").select("label", "same", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("least")))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import curriculum, hard_negatives, jaccard, periodic
+from graphloom.llm import embedding_dedup, curriculum, hard_negatives, jaccard, periodic
 from tests.llm.test_llm import docs, some
 
 SMALL = "/root/testdata/sf0.01"
@@ -240,3 +240,16 @@ def test_template_pages_form_few_pairs(spark, monkeypatch):
     for r in found:
         members[r.component].add(r.doc_id)
     assert sorted(sorted(m) for m in members.values() if len(m) > 1) == [[i, 1000 + i] for i in range(5)]
+
+
+def test_embedding_tiles_cover_every_visit():
+    rng = np.random.default_rng(3)
+    x = embedding_dedup.unit(rng.normal(size=(900, 16)))
+    grid = embedding_dedup.fit(x, np.zeros(len(x), int), 900, 0.8, occupancy=2)
+    assert len(grid.left) == len(grid.right) == 21 and grid.slack > 0
+    tiles, cells = grid.visited_tiles(x)
+    for seen, t, c in zip(grid.visits(x), tiles, cells, strict=True):
+        assert sorted(seen.tolist()) == sorted(i for part in c for i in part) and len(set(t)) == len(t)
+        assert all(set(grid.tiles(np.array(part)).tolist()) == {at} for at, part in zip(t, c, strict=True))
+    # more vectors than the codebooks of old could tell apart
+    assert len(embedding_dedup.fit(x[:600], np.zeros(600, int), 10**8, 0.9, fit_sample=200).left) == 600
