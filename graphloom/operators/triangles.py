@@ -11,12 +11,17 @@ from graphloom.graph import Graph, cumulated, numbered
 from graphloom.plans.fixpoint import cut
 
 
-def oriented(g: Graph) -> DataFrame:
-    """(a, b): each edge from its end of smaller (degree, id): no node then sends more than about sqrt(2m) arcs."""
+def _ranked(g: Graph) -> DataFrame:
+    """(src, dst, rs, rd): each edge with its ends' ranks (degree, id)."""
     d = g.degrees().select("id", "deg")
     e = g.edges.where("src <> dst").select("src", "dst").join(d.select(F.col("id").alias("src"), F.col("deg").alias("ds")), "src").join(d.select(F.col("id").alias("dst"), F.col("deg").alias("dd")), "dst")
-    up = F.struct("ds", "src") < F.struct("dd", "dst")
-    return e.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
+    return e.select("src", "dst", F.struct(F.col("ds").alias("d"), F.col("src").alias("id")).alias("rs"), F.struct(F.col("dd").alias("d"), F.col("dst").alias("id")).alias("rd"))
+
+
+def oriented(g: Graph) -> DataFrame:
+    """(a, b): each edge from its end of smaller (degree, id): no node then sends more than about sqrt(2m) arcs."""
+    up = F.col("rs") < F.col("rd")
+    return _ranked(g).select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
 
 
 def triangles(g: Graph) -> DataFrame:
@@ -84,15 +89,17 @@ def triangle_scores(g: Graph) -> DataFrame:
 def quadrangle_scores(g: Graph) -> DataFrame:
     """(src, dst, q): four-cycles through every edge.
 
-    Pairs of nodes with c common neighbours close c * (c - 1) / 2 cycles; an edge u-v of such a wedge
-    u-v-x lies in c - 1 of them.
+    A cycle is met at its corner of greatest rank (degree, id) and the one across: where c paths of two edges join such a pair through corners
+    of lesser rank, each path lies in c - 1 cycles, and so do its edges for that pair. A node passes each of its few arcs to nodes of
+    greater rank on to its neighbours, so paths grow with m times the root of m, and a hub sends few.
     """
-    o = g.both().where("src <> dst").select("src", "dst")
-    wedge = o.select(F.col("src").alias("m"), F.col("dst").alias("x")).join(o.select(F.col("src").alias("m"), F.col("dst").alias("y")), "m").where("x < y")
+    e = cut(_ranked(g))
+    arcs = e.select(F.col("src").alias("m"), F.col("dst").alias("y"), F.col("rd").alias("r"), "rs").union(e.select("dst", "src", "rs", "rd")).withColumnRenamed("rs", "rm")
+    up = arcs.where("r > rm").select("m", F.col("y").alias("x"), F.col("r").alias("top"))
+    wedge = cut(up.join(arcs.select("m", "y", "r"), "m").where("r < top").select("m", "x", "y"))
     common = wedge.groupBy("x", "y").agg((F.count(F.lit(1)) - 1).alias("more")).where("more > 0")
     hits = wedge.join(common, ["x", "y"]).select(F.explode(F.array(F.struct(F.least("x", "m").alias("src"), F.greatest("x", "m").alias("dst")), F.struct(F.least("y", "m").alias("src"), F.greatest("y", "m").alias("dst")))).alias("e"), "more")
-    # each cycle through the edge is met from the wedge at either end's far side, so twice
-    q = hits.groupBy("e.src", "e.dst").agg((F.sum("more") / 2).cast("long").alias("q"))
+    q = hits.groupBy("e.src", "e.dst").agg(F.sum("more").cast("long").alias("q"))
     return g.edges.select("src", "dst").join(q, ["src", "dst"], "left").select("src", "dst", F.coalesce("q", F.lit(0)).cast("long").alias("q"))
 
 
