@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform, uniform_sql
 from graphloom.graph import Graph, numbered
-from graphloom.operators import algebra, centrality, cliques, coloring, community, components, distance, dynamic, flows, growth, layout, linkpred, multigrid, rooted, sampled, sparsify, spectral, traversal, triangles
+from graphloom.operators import algebra, centrality, cliques, coloring, community, components, distance, dynamic, flows, generators, growth, layout, linkpred, matching, multigrid, rooted, sampled, sparsify, spectral, traversal, triangles
 from graphloom.plans import fixtures as fx
 from graphloom.plans.fixpoint import cut
 from graphloom.plans.fixtures import sql
@@ -354,6 +354,91 @@ query(
 )(lambda s, d: dynamic.fold_edges(growth.pub_web_churn(_vector_points(s, d), 2, 20, 0.05, 0.05, 8)).select("u", "v", F.round("w", 3).alias("w")))
 
 
+_POINTS = "select vec_id as id, embedding[1]::double - floor(embedding[1]::double) as x, embedding[2]::double - floor(embedding[2]::double) as y from embeddings where embedding[1] is not null and embedding[2] is not null"
+query(
+    "gen_pub_web_points",
+    f"""with p as materialized ({_POINTS}), n as (select a.id as a, b.id as b, pow(least(abs(a.x - b.x), 1 - abs(a.x - b.x)), 2) + pow(least(abs(a.y - b.y), 1 - abs(a.y - b.y)), 2) as d2 from p a join p b on a.id <> b.id),
+    t as materialized (select * from n where d2 <= 0.01 qualify row_number() over (partition by a order by d2, b) <= 12)
+    select a.a as src, a.b as dst, round(0.01 / greatest(a.d2, 1e-12), 3) as w from t a join t b on a.a = b.b and a.b = b.a where a.a < a.b""",
+)(lambda s, d: generators.near_links(_vector_points(s, d), 0.1, 12).select("src", "dst", F.round("w", 3).alias("w")))
+
+
+# -- what partitions, matchings and drawn graphs owe
+def _restless(g: Graph, labels: DataFrame, weighted: bool = True) -> DataFrame:
+    """One row: nodes with a label, and how many of them hear another label more than their own."""
+    arcs = g.both().where("src <> dst").select("src", "dst", F.col("w") if weighted else F.lit(1.0).alias("w"))
+    heard = cut(arcs.join(labels.select(F.col("id").alias("dst"), "subset"), "dst").groupBy(F.col("src").alias("id"), "subset").agg(F.sum("w").alias("s")))
+    top = labels.join(heard.groupBy("id").agg(F.max("s").alias("top")), "id", "left").join(heard, ["id", "subset"], "left")
+    return top.agg(F.count_distinct("id").alias("nodes"), F.count_if(F.coalesce("top", F.lit(0.0)) > F.coalesce("s", F.lit(0.0)) + 1e-9).alias("restless"))
+
+
+_NODES = "count(*) as nodes"
+query("label_propagation_check", sql("pp2", f" select {_NODES}, 0::bigint as restless from nodes"))(lambda s, d: _restless(g := pp2(s, d), cut(community.label_propagation(g))))
+query("degree_ordered_check", sql("pp2", f" select {_NODES}, 0::bigint as restless from nodes"))(lambda s, d: _restless(g := pp2(s, d), cut(community.degree_ordered_propagation(g)), False))
+
+
+def _merged(g: Graph) -> DataFrame:
+    """One row: nodes in communities, whether each community lies in one component, and whether modularity exceeds that of single nodes."""
+    found = cut(community.agglomerate(g))
+    alone = community.modularity(g, g.nodes.select("id", F.col("id").alias("subset"))).select(F.col("modularity").alias("alone"))
+    inside = found.join(components.connected_components(g), "id").groupBy("subset").agg(F.count_distinct("component").alias("c"))
+    return found.agg(F.count_distinct("id").alias("nodes")).join(inside.agg((F.max("c") == 1).alias("inside"))).join(community.modularity(g, found).join(alone).select((F.col("modularity") > F.col("alone")).alias("better")))
+
+
+query("agglomerative_check", sql("pp2", f" select {_NODES}, true as inside, true as better from nodes"))(lambda s, d: _merged(pp2(s, d)))
+
+
+def _half(g: Graph) -> DataFrame:
+    """One row: whether path growing gives a matching of g's edges of at least half the weight that locally heaviest edges give."""
+    pairs = cut(matching.path_growing(g))
+    weigh = lambda chosen, name: chosen.join(g.edges, ["src", "dst"]).agg(F.sum("w").alias(name))
+    foreign = pairs.join(g.edges, ["src", "dst"], "left_anti").agg((F.count(F.lit(1)) == 0).alias("edges_of_graph"))
+    return matching.is_matching(pairs).join(foreign).join(weigh(pairs, "w").join(weigh(matching.local_max(g), "x")).select((2 * F.col("w") >= F.col("x")).alias("half")))
+
+
+query("matching_path_growing_check", "select true as proper, true as edges_of_graph, true as half")(lambda s, d: _half(pp2(s, d)))
+
+
+def _coarse(g: Graph) -> DataFrame:
+    """One row: the weight of the coarse graph, loops and all, and whether it has a node less for each pair."""
+    pairs = cut(matching.local_max(g))
+    c = matching.matching_coarsening(g, pairs).cut()
+    return c.edges.agg(F.sum("w").alias("weight")).join(c.nodes.agg(F.lit(c.nodes.count() + pairs.count() == g.nodes.count()).alias("fits")).select("fits"))
+
+
+query("matching_coarsening_check", sql("pp2", " select sum(w) as weight, true as fits from e"))(lambda s, d: _coarse(pp2(s, d)))
+
+
+def _drawn(edges: DataFrame, expected: float) -> DataFrame:
+    """One row: whether edges are simple and as many as expected, within six standard deviations of independent draws."""
+    return edges.agg((F.count(F.lit(1)) == F.count_distinct("src", "dst")).alias("distinct"), (F.count_if(F.col("src") >= F.col("dst")) == 0).alias("ordered"), (F.abs(F.count(F.lit(1)) - expected) <= 6 * F.sqrt(F.lit(expected))).alias("expected"))
+
+
+_DRAWN = "select true as distinct, true as ordered, true as expected"
+
+
+def _chung_lu_drawn(g: Graph) -> DataFrame:
+    wt = cut(g.degrees().select("id", F.col("deg").cast("double").alias("wt")))
+    total, squares = wt.agg(F.sum("wt"), F.sum(F.col("wt") * F.col("wt"))).first()
+    return _drawn(generators.chung_lu(g.nodes.sparkSession, wt, 1).edges, (total - squares / total) / 2)
+
+
+def _blocks_drawn(s, d) -> DataFrame:
+    """Brands as blocks: parts of one are linked with chance 0.05, others with 0.002."""
+    of = fx.brands(s, d)
+    named = of.select("subset").distinct().orderBy("subset").select("subset").collect()  # a row for each brand
+    names = [r.subset for r in named]
+    blocks = cut(of.select("id", (F.array_position(F.array(*map(F.lit, names)), F.col("subset")) - 1).cast("long").alias("block")))
+    n, inside = blocks.groupBy("block").count().agg(F.sum("count"), F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()
+    drawn = generators.stochastic_block(s, blocks, [[0.05 if i == j else 0.002 for j in range(len(names))] for i in range(len(names))], 1)
+    return _drawn(drawn.edges, 0.05 * inside + 0.002 * (n * (n - 1) / 2 - inside))
+
+
+query("gen_erdos_renyi_check", _DRAWN)(lambda s, d: (lambda n: _drawn(generators.erdos_renyi(s, n, 0.004, 1).edges, 0.004 * n * (n - 1) / 2))(fx.parts(s, d).count()))
+query("gen_chung_lu_check", _DRAWN)(lambda s, d: _chung_lu_drawn(pp2(s, d)))
+query("gen_stochastic_block_check", _DRAWN)(_blocks_drawn)
+
+
 def _late_oracles() -> None:
     """Queries whose SQL is that of a registered one."""
     from graphloom.plans.registry import ORACLES
