@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,24 +22,147 @@ def _ranked(g: Graph) -> DataFrame:
     return e.select("src", "dst", F.struct(F.col("ds").alias("d"), F.col("src").alias("id")).alias("rs"), F.struct(F.col("dd").alias("d"), F.col("dst").alias("id")).alias("rd"))
 
 
-def oriented(g: Graph) -> DataFrame:
-    """(a, b): each edge from its end of smaller (degree, id): no node then sends more than about sqrt(2m) arcs."""
-    up = F.col("rs") < F.col("rd")
-    return _ranked(g).select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b"))
-
+#: Edges that one task holds at most, about; 16 bytes each and as much again while they are sorted.
+TILE = 12_000_000
+#: Wedges that a task looks up at once.
+WEDGES = 1_000_000
 
-def triangles(g: Graph) -> DataFrame:
-    """(a, b, c): every triangle once."""
-    o = oriented(g)
-    # wedges leave their lowest corner; the closing edge is looked up as an unordered pair
-    wedge = o.join(o.withColumnRenamed("b", "c"), "a").where("b < c")
-    e = g.edges.select(F.col("src").alias("b"), F.col("dst").alias("c"))
-    return wedge.join(e, ["b", "c"]).select("a", "b", "c")
 
+def _tiles(g: Graph, tile: int) -> tuple[DataFrame, int]:
+    """(tile, src, dst, same) dealt so that each partition is one tile, and the number of tiles.
 
-def node_triangles(g: Graph) -> DataFrame:
-    t = triangles(g).select(F.explode(F.array("a", "b", "c")).alias("id"))
-    return t.groupBy("id").agg(F.count(F.lit(1)).alias("t"))
+    Nodes have one of k colours by a hash; a tile is three colours, equal ones included. An edge goes to the k tiles that hold its
+    ends' colours, so a triangle lies in the tile of its corners' colours. A tile holds at most 6 / k^2 of the edges.
+    """
+    m = g.edges.count()
+    k = max(3, math.ceil(math.sqrt(6 * m / tile))) if m > 1000 else 1
+    colour = lambda c: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    e = g.edges.where("src <> dst").select("src", "dst", colour("src").alias("x"), colour("dst").alias("y")).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    lo, hi = F.least("x", "y", "z"), F.greatest("x", "y", "z")
+    mid = F.col("x") + F.col("y") + F.col("z") - lo - hi
+    # colours lo <= mid <= hi, numbered without holes
+    number = F.expr("hi * (hi + 1) * (hi + 2) div 6 + mid * (mid + 1) div 2 + lo").cast("int")
+    dealt = e.select("src", "dst", (F.col("x") == F.col("y")).alias("same"), lo.alias("lo"), mid.alias("mid"), hi.alias("hi")).select(number.alias("tile"), "src", "dst", "same", (F.col("lo") == F.col("hi")).alias("single"))
+    n = k * (k + 1) * (k + 2) // 6
+    return dealt.repartitionById(n, "tile"), n
+
+
+def _closed(batches, wedges: int):
+    """Triangles of the edges in batches: first ids, each edge's ends as places in ids, then arrays of places in the edges, three to a triangle.
+
+    Edges leave their end of lesser (degree, id) and are sorted, so the closing edge of two of a node's is found by bisection. In a tile of
+    several colours those of one colour are passed over: their own tile has them.
+    """
+    raw, small, ids, single = [], [], np.empty(0, np.int64), True
+    for b in batches:
+        if b.num_rows:
+            small.append((b.column("src").to_numpy(), b.column("dst").to_numpy(), b.column("same").to_numpy(zero_copy_only=False)))
+            single = b.column("single")[0].as_py()
+        if len(small) == 64:
+            raw.append(tuple(np.concatenate(c) for c in zip(*small)))
+            small = []
+    if small:
+        raw.append(tuple(np.concatenate(c) for c in zip(*small)))
+    if not raw:
+        return
+    for src, dst, _ in raw:
+        ids = np.union1d(ids, np.concatenate([src, dst]))
+    n = len(ids)
+    ends, deg = [], np.zeros(n, np.int64)
+    raw.reverse()
+    while raw:
+        src, dst, same = raw.pop()
+        s, d = np.searchsorted(ids, src).astype(np.int32), np.searchsorted(ids, dst).astype(np.int32)
+        deg += np.bincount(s, minlength=n) + np.bincount(d, minlength=n)
+        ends.append((s, d, same))
+    by_rank = np.lexsort((ids, deg))
+    rank = np.empty(n, np.int64)
+    rank[by_rank] = np.arange(n)
+    ids = ids[by_rank]
+    key = np.empty(sum(len(e[0]) for e in ends), np.int64)
+    at = 0
+    while ends:
+        s, d, same = ends.pop()
+        s, d = rank[s], rank[d]
+        key[at : at + len(s)] = (np.minimum(s, d) * n + np.maximum(s, d)) * 2 + same
+        at += len(s)
+    key.sort()
+    same = (key & 1).astype(bool)
+    key >>= 1
+    a, b = (key // n).astype(np.int32), (key % n).astype(np.int32)
+    yield ids, a, b
+    several = bool((key[1:] == key[:-1]).any())
+    last = np.cumsum(np.bincount(a, minlength=n))
+    more = last[a] - 1 - np.arange(len(a))
+    upto = np.cumsum(more)
+    at = 0
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + wedges, "right")))
+        own = more[at:end]
+        one = np.repeat(np.arange(at, end), own)
+        two = np.arange(len(one)) - np.repeat(np.cumsum(own) - own, own) + one + 1
+        want = b[one].astype(np.int64) * n + b[two]
+        third = np.searchsorted(key, want)
+        hit = key[np.minimum(third, len(key) - 1)] == want
+        if not single:
+            hit &= ~(same[one] & same[two])
+        one, two, third, want = one[hit], two[hit], third[hit], want[hit]
+        if several and len(want):  # parallel edges close as many triangles
+            times = np.searchsorted(key, want, "right") - third
+            one, two, start = np.repeat(one, times), np.repeat(two, times), np.repeat(third, times)
+            third = start + np.arange(len(start)) - np.repeat(np.cumsum(times) - times, times)
+        yield one, two, third
+        at = end
+
+
+def triangles(g: Graph, tile: int = TILE, wedges: int = WEDGES) -> DataFrame:
+    """(a, b, c), b < c: every triangle once. Edges are dealt to tiles, so no wedge is ever sent."""
+
+    def rows(batches):
+        found = _closed(batches, wedges)
+        ids, a, b = next(found, (None, None, None))
+        for one, two, _ in found:
+            u, v = ids[b[one]], ids[b[two]]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[one]]), pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b", "c"])
+
+    return _tiles(g, tile)[0].mapInArrow(rows, "a long, b long, c long")
+
+
+def node_triangles(g: Graph, tile: int = TILE, wedges: int = WEDGES) -> DataFrame:
+    """(id, t): triangles at every node that has any, counted in the tiles first."""
+
+    def rows(batches):
+        found = _closed(batches, wedges)
+        ids, a, b = next(found, (None, None, None))
+        if ids is None:
+            return
+        t = np.zeros(len(ids), np.int64)
+        for one, two, _ in found:
+            for corner in (a[one], b[one], b[two]):
+                np.add.at(t, corner, 1)
+        for part in np.array_split(np.flatnonzero(t), 1 + len(t) // 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(t[part])], names=["id", "t"])
+
+    return _tiles(g, tile)[0].mapInArrow(rows, "id long, t long").groupBy("id").agg(F.sum("t").alias("t"))
+
+
+def edge_triangles(g: Graph, tile: int = TILE, wedges: int = WEDGES) -> DataFrame:
+    """(src, dst, t): triangles at every edge that has any, counted in the tiles first."""
+
+    def rows(batches):
+        found = _closed(batches, wedges)
+        ids, a, b = next(found, (None, None, None))
+        if ids is None:
+            return
+        t = np.zeros(len(a), np.int64)
+        for three in found:
+            for edge in three:
+                np.add.at(t, edge, 1)
+        for part in np.array_split(np.flatnonzero(t), 1 + len(t) // 100_000):
+            u, v = ids[a[part]], ids[b[part]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(t[part])], names=["src", "dst", "t"])
+
+    return _tiles(g, tile)[0].mapInArrow(rows, "src long, dst long, t long").groupBy("src", "dst").agg(F.sum("t").alias("t"))
 
 
 def local_clustering(g: Graph) -> DataFrame:
@@ -80,9 +207,7 @@ def sampled_clustering(g: Graph, k: int, salt: int = 0) -> DataFrame:
 
 def triangle_scores(g: Graph) -> DataFrame:
     """(src, dst, t) for every edge."""
-    t = triangles(g)
-    pairs = t.select(F.explode(F.array(*[F.struct(F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")) for x, y in (("a", "b"), ("a", "c"), ("b", "c"))])).alias("e")).select("e.*")
-    n = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("t"))
+    n = edge_triangles(g)
     return g.edges.select("src", "dst").join(n, ["src", "dst"], "left").select("src", "dst", F.coalesce("t", F.lit(0)).cast("long").alias("t"))
 
 

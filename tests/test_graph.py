@@ -341,3 +341,17 @@ def test_entry_without_the_corpus_package(tmp_path):
     shutil.copy(top / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"], cwd=tmp_path, env={"PATH": __import__("os").environ["PATH"], "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert said.returncode == 0, said.stderr
+
+
+def test_triangles_in_many_tiles_send_no_wedges(spark):
+    rng = random.Random(4)
+    pairs = sorted({tuple(sorted(rng.sample(range(90), 2))) for _ in range(1600)})
+    g = Graph.from_edges(spark.createDataFrame([*pairs, (3, 3)], "src long, dst long")).cut()
+    near = {v: {a + b - v for a, b in pairs if v in (a, b)} for v in range(90)}
+    want = {(a, b): len(near[a] & near[b]) for a, b in pairs}
+    got = tri.triangles(g, tile=900, wedges=50).collect()
+    assert len(got) == sum(want.values()) // 3 == len({tuple(sorted(r)) for r in got}) and all(r.b < r.c for r in got)
+    assert {(r.src, r.dst): r.t for r in tri.edge_triangles(g, tile=900, wedges=50).collect()} == {e: t for e, t in want.items() if t}
+    assert {r.id: r.t for r in tri.node_triangles(g, tile=900, wedges=50).collect()} == {v: t for v in range(90) if (t := sum(want.get(tuple(sorted((v, u))), 0) for u in near[v]) // 2)}
+    # the edges are the only large thing shuffled: no join makes wedges
+    assert "Join" not in tri.triangles(g)._jdf.queryExecution().executedPlan().toString()
