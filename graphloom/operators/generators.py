@@ -6,14 +6,21 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.hashrand import uniform
+from graphloom.functions.hashrand import below, uniform
 from graphloom.graph import Graph
 
 
+#: Drawn edges that a task holds at once, about.
+PIECE = 500_000
+#: Tasks that all pairs of nodes are dealt to.
+PAIR_TASKS = 192
+
+
 def _nodes(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n)
 
@@ -37,7 +44,7 @@ def erdos_renyi(spark: SparkSession, n: int, p: float, salt: int = 0) -> Graph:
 
     def rows(it):
         for pdf in it:
-            src, dst = [], []
+            src, dst, held = [], [], 0
             for u in pdf["id"]:
                 rng = np.random.default_rng([salt, int(u)])
                 if p >= 1:
@@ -54,6 +61,10 @@ def erdos_renyi(spark: SparkSession, n: int, p: float, salt: int = 0) -> Graph:
                     got = got[got < u]
                 src.append(np.full(len(got), u))
                 dst.append(got)
+                held += len(got)
+                if held > PIECE:
+                    yield pd.DataFrame({"src": np.concatenate(dst), "dst": np.concatenate(src)}).astype("int64")
+                    src, dst, held = [], [], 0
             yield pd.DataFrame({"src": np.concatenate(dst) if dst else [], "dst": np.concatenate(src) if src else []}).astype("int64")
 
     return Graph.from_edges(spark.range(n).mapInPandas(rows, "src long, dst long"), _nodes(spark, n))
@@ -63,7 +74,10 @@ def pairwise(spark: SparkSession, n: int, chance, salt: int = 0, extra: DataFram
     """Edges of a small graph from a chance for each pair (a column over u, v and extra's columns of either, as ux and vx)."""
     ids = spark.range(n) if extra is None else extra
     a, b = ids.select(*[F.col(c).alias("u" if c == "id" else "u" + c) for c in ids.columns]), ids.select(*[F.col(c).alias("v" if c == "id" else "v" + c) for c in ids.columns])
-    return a.join(b, F.col("u") < F.col("v")).where(uniform(salt, "u", "v") < chance).select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    # one file of nodes would be one task's pairs; rows are dealt by a hash, so that tasks get small and large ids alike
+    a = a.repartition(PAIR_TASKS, "u")
+    drawn = below(salt, chance, "u", "v") if isinstance(chance, float) else uniform(salt, "u", "v") < chance
+    return a.join(b, F.col("u") < F.col("v")).where(drawn).select(F.col("u").alias("src"), F.col("v").alias("dst"))
 
 
 def chung_lu(spark: SparkSession, weights: DataFrame, salt: int = 0) -> Graph:
@@ -105,36 +119,62 @@ def chung_lu(spark: SparkSession, weights: DataFrame, salt: int = 0) -> Graph:
     return Graph.from_edges(e.select(F.col("u").alias("src"), F.col("v").alias("dst")), weights.select("id"))
 
 
-def stochastic_block(spark: SparkSession, blocks: DataFrame, affinity: list[list[float]], salt: int = 0) -> Graph:
-    """Edges with the chance of the ends' blocks, from (id, block); pairs are skipped over within each pair of blocks."""
-    from graphloom.graph import numbered
+def _hits(rng: np.random.Generator, p: float, cells: int):
+    """The cells that a chance p each draws, rising, in pieces."""
+    last = -1
+    while p > 0 and last < cells - 1:
+        left = cells - 1 - last
+        got = last + np.cumsum(rng.geometric(min(1.0, p), min(PIECE, 16 + int(1.1 * p * left))))
+        last = int(got[-1])
+        yield got[got < cells]
 
-    sizes = {r["block"]: r["n"] for r in blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each block
-    placed = numbered(blocks, ["block", "id"], "pos")
-    first, at = {}, 0
-    for c in sorted(sizes):
-        first[c], at = at, at + sizes[c]
 
-    def rows(it):
-        for pdf in it:
-            out = []
-            for u, block, pos in zip(pdf["id"], pdf["block"], pdf["pos"], strict=True):
-                for c, n in sizes.items():
-                    p = affinity[int(block)][int(c)]
-                    lo, hi = first[c], min(first[c] + n, int(pos))
-                    if hi <= lo or p <= 0:
-                        continue
-                    rng = np.random.default_rng([salt, int(pos), int(c)])
-                    k = lo - 1
-                    while True:
-                        k += int(rng.geometric(min(1.0, p)))
-                        if k >= hi:
-                            break
-                        out.append((u, k))
-            yield pd.DataFrame(out, columns=["u", "pos"]).astype("int64")
+def stochastic_block(spark: SparkSession, blocks: DataFrame, affinity: list[list[float]], salt: int = 0, chunk: int | None = None) -> Graph:
+    """Edges with the chance of the ends' blocks, from (id, block); pairs are skipped over.
 
-    e = placed.select("id", "block", "pos").mapInPandas(rows, "u long, pos long").join(placed.select("pos", F.col("id").alias("v")), "pos")
-    return Graph.from_edges(e.select(F.col("u").alias("src"), F.col("v").alias("dst")), blocks.select("id"))
+    Blocks are cut into chunks of nodes. Each pair of chunks is one task's work: it gets both chunks' ids, walks their pairs by geometric
+    gaps and passes edges on in pieces, so a task holds two chunks and a piece however many edges there are, and no edge is shuffled.
+    """
+    from graphloom.graph import numbered
+
+    sizes = {int(r["block"]): r["n"] for r in blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each block
+    each = chunk or min(32_768, max(500, sum(sizes.values()) // 60))
+    starts, of = [], []  # each block's number, first place and first chunk; each chunk's block
+    at = 0
+    for c in sorted(sizes):
+        starts.append((c, at, len(of)))
+        of += [c] * -(-sizes[c] // each)
+        at += sizes[c]
+    if not of:
+        return Graph.from_edges(blocks.select(F.col("id").alias("src"), F.col("id").alias("dst")), blocks.select("id"))
+
+    def rows(batches):
+        mine: dict[int, list] = {}
+        for batch in batches:
+            which, ids = batch.column("chunk").to_numpy(), batch.column("id").to_numpy()
+            for c in np.unique(which):
+                mine.setdefault(int(c), []).append(ids[which == c])
+        if not mine:
+            return
+        x, y = min(mine), max(mine)
+        a, b = np.sort(np.concatenate(mine[x])), np.sort(np.concatenate(mine[y]))
+        cells = len(a) * len(b) if x < y else len(a) * (len(a) - 1) // 2
+        for got in _hits(np.random.default_rng([salt, x, y]), affinity[of[y]][of[x]], cells):
+            if x < y:
+                i, j = got // len(b), got % len(b)
+            else:  # cells 0, then 1 and 2, and so on are the pairs of nodes 1, 2, ... with those before
+                j = ((1 + np.sqrt(1 + 8.0 * got)) / 2).astype(np.int64)
+                j -= j * (j - 1) // 2 > got
+                j += j * (j + 1) // 2 <= got
+                i = got - j * (j - 1) // 2
+            yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j])], names=["src", "dst"])
+
+    start = spark.createDataFrame(starts, "block long, first long, base long")  # a row for each block
+    own = (F.col("base") + F.expr(f"(pos - first) div {each}")).cast("int")
+    placed = numbered(blocks.select("id", F.col("block").cast("long").alias("block")), ["block", "id"], "pos").join(F.broadcast(start), "block").select("id", own.alias("chunk"))
+    dealt = placed.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(len(of) - 1)))).select(F.expr("greatest(chunk, z) * (greatest(chunk, z) + 1) div 2 + least(chunk, z)").cast("int").alias("tile"), "chunk", F.col("id").cast("long").alias("id"))
+    e = dealt.repartitionById(len(of) * (len(of) + 1) // 2, "tile").select("chunk", "id").mapInArrow(rows, "src long, dst long")
+    return Graph.from_edges(e, blocks.select("id"))
 
 
 def clustered(spark: SparkSession, n: int, k: int, p_in: float, p_out: float, salt: int = 0) -> tuple[Graph, DataFrame]:

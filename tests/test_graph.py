@@ -355,3 +355,23 @@ def test_triangles_in_many_tiles_send_no_wedges(spark):
     assert {r.id: r.t for r in tri.node_triangles(g, tile=900, wedges=50).collect()} == {v: t for v in range(90) if (t := sum(want.get(tuple(sorted((v, u))), 0) for u in near[v]) // 2)}
     # the edges are the only large thing shuffled: no join makes wedges
     assert "Join" not in tri.triangles(g)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_generators_pass_edges_on_in_pieces(spark):
+    blocks = spark.range(100, 400).select("id", (F.col("id") % 3).alias("block"))
+    whole = generators.stochastic_block(spark, blocks, [[1.0] * 3] * 3, chunk=40).edges.select("src", "dst").collect()
+    assert len(whole) == len(set(whole)) == 300 * 299 // 2
+    got = {tuple(r) for r in generators.stochastic_block(spark, blocks, [[0.2 if i == j else 0.0 for j in range(3)] for i in range(3)], 5, chunk=40).edges.select("src", "dst").collect()}
+    assert all((a - b) % 3 == 0 and a < b for a, b in got) and abs(len(got) - 0.2 * 3 * 4950) < 6 * math.sqrt(0.16 * 14850)
+    spread = generators.stochastic_block(spark, blocks.repartition(7), [[0.2 if i == j else 0.0 for j in range(3)] for i in range(3)], 5, chunk=40)
+    assert {tuple(r) for r in spread.edges.select("src", "dst").collect()} == got
+    pieces = list(generators._hits(generators.np.random.default_rng(1), 0.5, 3_000_000))
+    assert max(map(len, pieces)) <= generators.PIECE and (generators.np.diff(generators.np.concatenate(pieces)) > 0).all()
+
+
+def test_pairs_are_dealt_to_tasks(spark):
+    ids = spark.range(200).coalesce(1)
+    fast = generators.pairwise(spark, 0, 0.3, 9, ids)
+    slow = generators.pairwise(spark, 0, F.lit(0.3), 9, ids)
+    assert sorted(fast.collect()) == sorted(slow.collect())
+    assert fast.rdd.getNumPartitions() > 1
