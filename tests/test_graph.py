@@ -375,3 +375,27 @@ def test_pairs_are_dealt_to_tasks(spark):
     slow = generators.pairwise(spark, 0, F.lit(0.3), 9, ids)
     assert sorted(fast.collect()) == sorted(slow.collect())
     assert fast.rdd.getNumPartitions() > 1
+
+
+def test_shares_of_nothing_and_sets_without_an_outside(spark):
+    p = spark.createDataFrame([(0, 1, 2.0), (2, 3, 1.0)], "u long, v long, score double")
+    none = spark.createDataFrame([], "src long, dst long")
+    assert all(math.isnan(r.y) for r in linkpred.roc(p, none, points=3).collect())
+    assert all(math.isnan(r.x) for r in linkpred.precision_recall(p, none, points=3).collect())
+    pair = make(spark, "0-1")
+    assert {r.id for r in community.greedy_expansion(pair, spark.range(1)).collect()} == {0, 1}
+
+
+def test_effective_diameter_of_equally_large_components(spark):
+    g = make(spark, "0-1 1-2 2-3 4-5 4-6 4-7 8-9")
+    both = components.largest_components(g).cut()
+    assert {r.id for r in both.nodes.collect()} == set(range(8))
+    # path: 3, 2, 2, 3 hops; star: 1 from its centre and 2 from the three others
+    assert distance.effective_diameter(both).first().effective == 17 / 8
+
+
+def test_nearest_within(spark):
+    g = make(spark, "0-1:0.5 1-2:0.5 2-3:0.5 0-4:0.25")
+    start = spark.range(1)
+    assert [(r.id, r.dist) for r in traversal.nearest(g, start, 30, within=1.0).collect()] == [(0, 0.0), (4, 0.25), (1, 0.5)]
+    assert traversal.nearest(g, start, 30).count() == 5
