@@ -29,6 +29,14 @@ def largest_component(g: Graph) -> Graph:
     return g.subgraph(c.join(top, "component", "left_semi").select("id"))
 
 
+def largest_components(g: Graph) -> Graph:
+    """The subgraph of all components that no other exceeds in size."""
+    c = cut(connected_components(g))
+    sizes = cut(c.groupBy("component").count())
+    top = sizes.join(F.broadcast(sizes.agg(F.max("count").alias("count"))), "count")  # one row
+    return g.subgraph(c.join(top, "component", "left_semi").select("id"))
+
+
 def strong_components(g: Graph) -> DataFrame:
     """(id, component): least id of those that reach the node and are reached by it, by forward-backward colouring.
 
