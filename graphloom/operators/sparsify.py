@@ -23,7 +23,7 @@ def threshold(g: Graph, scores: DataFrame, at: float, above: bool = True) -> Gra
 def to_size(g: Graph, scores: DataFrame, ratio: float, above: bool = True) -> Graph:
     """The ratio of the edges that score highest (or lowest), ties by (src, dst)."""
     k = round(scores.count() * ratio)
-    kept = scores.orderBy(F.desc("score") if above else F.asc("score"), "src", "dst").limit(k)
+    kept = numbered(scores.select("src", "dst", "score"), [F.desc("score") if above else F.asc("score"), "src", "dst"], "at").where(F.col("at") < k)
     return Graph(g.nodes, g.edges.join(kept.select("src", "dst"), ["src", "dst"], "left_semi"), g.directed)
 
 

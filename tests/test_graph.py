@@ -405,3 +405,13 @@ def test_labels_settle_in_large_graphs_too(spark):
     g = make(spark, "0-1", n=250_000)
     x = {r.id: r.subset for r in community.label_propagation(g).where("id < 2").collect()}
     assert x[0] == x[1]
+
+
+def test_sizes_are_cut_in_many_tasks(spark):
+    g = Graph.from_edges(spark.range(400).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))).cut()
+    s = g.edges.select("src", "dst", F.when(F.col("src") % 40 == 0, F.lit(None)).otherwise(F.col("src") % 7).cast("double").alias("score"))
+    for above in (True, False):
+        want = s.orderBy(F.desc("score") if above else F.asc("score"), "src", "dst").limit(300).select("src", "dst").collect()
+        kept = sparsify.to_size(g, s, 0.75, above).edges
+        assert sorted(kept.select("src", "dst").collect()) == sorted(want)
+        assert "Limit" not in kept._jdf.queryExecution().optimizedPlan().toString()
