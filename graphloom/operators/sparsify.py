@@ -27,10 +27,6 @@ def to_size(g: Graph, scores: DataFrame, ratio: float, above: bool = True) -> Gr
     return Graph(g.nodes, g.edges.join(kept.select("src", "dst"), ["src", "dst"], "left_semi"), g.directed)
 
 
-def _sided(g: Graph, scores: DataFrame) -> DataFrame:
-    return scores.select(F.col("src").alias("ego"), F.col("dst").alias("alter"), "score").union(scores.select("dst", "src", "score"))
-
-
 def _best_of_ends(sided: DataFrame) -> DataFrame:
     return sided.groupBy(F.least("ego", "alter").alias("src"), F.greatest("ego", "alter").alias("dst")).agg(F.max("value").alias("score"))
 
@@ -42,7 +38,7 @@ def _log_rank(rank: Column, degree: Column) -> Column:
 def local_filter(g: Graph, scores: DataFrame, logarithmic: bool = True) -> DataFrame:
     """Rank of each neighbour by score on a scale of 1 to 0, the better end counts; equal scores share a rank."""
     w = Window.partitionBy("ego")
-    r = _sided(g, scores).select("ego", "alter", F.rank().over(w.orderBy(F.desc("score"))).alias("r"), F.count(F.lit(1)).over(w).alias("d"))
+    r = tri.sided(scores).select("ego", "alter", F.rank().over(w.orderBy(F.desc("score"))).alias("r"), F.count(F.lit(1)).over(w).alias("d"))
     value = _log_rank(F.col("r"), F.col("d")) if logarithmic else F.when(F.col("d") == 1, 1.0).otherwise(1 - (F.col("r") - 1) / (F.col("d") - 1))
     return _best_of_ends(r.select("ego", "alter", value.alias("value")))
 
@@ -60,7 +56,7 @@ def local_similarity(g: Graph) -> DataFrame:
     """Neighbours ranked by t / (du + dv - t), each with a rank of its own (ties by id)."""
     sim = tri.with_degrees(g, tri.triangle_scores(g)).select("src", "dst", (F.col("t") / (F.col("du") + F.col("dv") - F.col("t"))).alias("score"))
     w = Window.partitionBy("ego")
-    r = _sided(g, sim).select("ego", "alter", F.row_number().over(w.orderBy(F.desc("score"), "alter")).alias("r"), F.count(F.lit(1)).over(w).alias("d"))
+    r = tri.sided(sim).select("ego", "alter", F.row_number().over(w.orderBy(F.desc("score"), "alter")).alias("r"), F.count(F.lit(1)).over(w).alias("d"))
     return _best_of_ends(r.select("ego", "alter", _log_rank(F.col("r"), F.col("d")).alias("value")))
 
 
@@ -136,7 +132,8 @@ def quadrilateral_simmelian(g: Graph, at: float) -> Graph:
 
 
 def simmelian_multiscale(g: Graph, at: float) -> Graph:
-    return threshold(g, multiscale(tri.as_weight(g, _t(g))), at)
+    weighted = tri.as_weight(g, cut(_t(g)))  # read for degrees and for edges
+    return threshold(g, multiscale(weighted), at)
 
 
 def degree_multiscale(g: Graph, at: float) -> Graph:

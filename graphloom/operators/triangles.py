@@ -28,8 +28,45 @@ TILE = 12_000_000
 WEDGES = 1_000_000
 
 
+#: Edges that are packed together before they are sent.
+PACK = 1_000_000
+
+
+def _planes(ids: np.ndarray) -> bytes:
+    """Longs with their first bytes together, then their second bytes, and so on: what the shuffle's compression makes small."""
+    return np.ascontiguousarray(ids.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _longs(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _packs(batches):
+    """(x, y, src, dst): edges of two colours x <= y in packs sorted by (src, dst), src as steps from one to the next."""
+    held, n = [], 0
+
+    def packed():
+        x, y, src, dst = (np.concatenate(c) for c in zip(*held))
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((dst, src, y, x))
+        x, y, src, dst = x[order], y[order], src[order], dst[order]
+        starts = np.flatnonzero(np.diff(x, prepend=-1) | np.diff(y, prepend=-1))
+        parts = [slice(i, j) for i, j in zip(starts, [*starts[1:], len(x)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x[starts]), pa.array(y[starts]), pa.array([_planes(np.diff(src[p], prepend=0)) for p in parts], pa.binary()), pa.array([_planes(dst[p]) for p in parts], pa.binary())], names=["x", "y", "src", "dst"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(tuple(b.column(c).to_numpy() for c in ("x", "y", "src", "dst")))
+            n += b.num_rows
+        if n >= PACK:
+            yield packed()
+            held, n = [], 0
+    if held:
+        yield packed()
+
+
 def _tiles(g: Graph, tile: int) -> tuple[DataFrame, int]:
-    """(tile, src, dst, same) dealt so that each partition is one tile, and the number of tiles.
+    """(tile, src, dst, same, single), packs of edges dealt so that each partition is one tile, and the number of tiles.
 
     Nodes have one of k colours by a hash; a tile is three colours, equal ones included. An edge goes to the k tiles that hold its
     ends' colours, so a triangle lies in the tile of its corners' colours. A tile holds at most 6 / k^2 of the edges.
@@ -37,7 +74,8 @@ def _tiles(g: Graph, tile: int) -> tuple[DataFrame, int]:
     m = g.edges.count()
     k = max(3, math.ceil(math.sqrt(6 * m / tile))) if m > 1000 else 1
     colour = lambda c: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
-    e = g.edges.where("src <> dst").select("src", "dst", colour("src").alias("x"), colour("dst").alias("y")).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    packs = g.edges.where("src <> dst").select(colour("src").alias("x"), colour("dst").alias("y"), "src", "dst").mapInArrow(_packs, "x int, y int, src binary, dst binary")
+    e = packs.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     lo, hi = F.least("x", "y", "z"), F.greatest("x", "y", "z")
     mid = F.col("x") + F.col("y") + F.col("z") - lo - hi
     # colours lo <= mid <= hi, numbered without holes
@@ -55,10 +93,11 @@ def _closed(batches, wedges: int):
     """
     raw, small, ids, single = [], [], np.empty(0, np.int64), True
     for b in batches:
-        if b.num_rows:
-            small.append((b.column("src").to_numpy(), b.column("dst").to_numpy(), b.column("same").to_numpy(zero_copy_only=False)))
-            single = b.column("single")[0].as_py()
-        if len(small) == 64:
+        for row in b.select(["src", "dst", "same", "single"]).to_pylist():
+            dst = _longs(row["dst"])
+            small.append((np.cumsum(_longs(row["src"])), dst, np.full(len(dst), row["same"])))
+            single = row["single"]
+        if len(small) >= 64:
             raw.append(tuple(np.concatenate(c) for c in zip(*small)))
             small = []
     if small:
@@ -297,9 +336,15 @@ def as_weight(g: Graph, scores: DataFrame, offset: float = 0.0, factor: float =
     return Graph(g.nodes, scores.select("src", "dst", (offset + factor * s).alias("w")), g.directed)
 
 
+def sided(scores: DataFrame) -> DataFrame:
+    """(ego, alter, score) from either end, in one pass, so that the scores are made once."""
+    ends = F.array(F.struct(F.col("src").alias("ego"), F.col("dst").alias("alter")), F.struct(F.col("dst").alias("ego"), F.col("src").alias("alter")))
+    return scores.select(F.explode(ends).alias("e"), "score").select("e.ego", "e.alter", "score")
+
+
 def ranked_neighborhoods(g: Graph, scores: DataFrame) -> DataFrame:
     """(ego, alter, score, rank): neighbours by score, the highest first; rank counts distinct higher scores, ties by larger id."""
-    both = scores.select(F.col("src").alias("ego"), F.col("dst").alias("alter"), "score").union(scores.select("dst", "src", "score"))
+    both = sided(scores)
     w = Window.partitionBy("ego")
     return both.select("ego", "alter", "score", (F.dense_rank().over(w.orderBy(F.desc("score"))) - 1).alias("rank"), F.row_number().over(w.orderBy(F.desc("score"), F.desc("alter"))).alias("place"))
 

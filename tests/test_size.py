@@ -1,8 +1,14 @@
 """What a task holds, and what is sent, must not outgrow the input."""
 
+import random
 from collections import Counter
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from graphloom.graph import Graph
+from graphloom.operators import sparsify
+from graphloom.operators import triangles as tri
 from graphloom.plans import fixtures as fx
 
 SMALL = "/root/testdata/sf0.001"
@@ -17,3 +23,32 @@ def test_co_orders_partitions_grow_with_the_table(spark, monkeypatch):
     want = Counter(pair for parts in orders.values() for pair in combinations(sorted(parts), 2))
     assert {(r.src, r.dst): r.w for r in g.edges.collect()} == want
     assert g.edges.rdd.getNumPartitions() >= sum(map(len, orders.values())) // 1000
+
+
+def test_edges_go_to_tiles_in_packs_and_keep_their_triangles(spark):
+    rng = random.Random(3)
+    ids = [rng.randrange(-(2**62), 2**62) for _ in range(60)]
+    edges = sorted({tuple(sorted(rng.sample(ids, 2))) for _ in range(1200)})
+    g = Graph.from_edges(spark.createDataFrame([(a, b, 1.0) for a, b in edges], "src long, dst long, w double"))
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for tile in (tri.TILE, 400):
+        assert {(r.src, r.dst): r.t for r in tri.edge_triangles(g, tile).collect()} == {(a, b): len(near[a] & near[b]) for a, b in edges if near[a] & near[b]}
+    many = Graph.from_edges(spark.range(20000).select(F.col("id").alias("src"), (F.col("id") * 7919 % 20000).alias("dst")).where("src <> dst"))
+    assert tri._tiles(many, tri.TILE)[0].count() < many.edges.count()
+
+
+def test_scores_are_made_once_for_both_ends(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    g = Graph.from_edges(spark.createDataFrame([(0, 1, 1.0), (1, 2, 2.0), (0, 2, 3.0)], "src long, dst long, w double"))
+    scores = g.edges.select("src", "dst", F.col("w").alias("score")).mapInArrow(rows, "src long, dst long, score double")
+    found = {(r.src, r.dst): round(r.score, 6) for r in sparsify.local_filter(g, scores).collect()}
+    assert found == {(0, 1): 0.0, (1, 2): 1.0, (0, 2): 1.0} and calls.value == 3
