@@ -332,7 +332,9 @@ def lfr(spark: SparkSession, n: int, low: int, high: int, gamma: float, smallest
     while sum(sizes) < n:
         sizes.append(int(rng.integers(smallest, largest + 1)))
     starts = np.cumsum([0, *sizes[:-1]]).tolist()
-    parts = deg.select("id", "deg", (F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("id"))) - 1).cast("long").alias("subset"))
+    blocks = spark.createDataFrame(list(zip(range(len(sizes)), starts, sizes, strict=True)), "subset long, start long, size long")
+    of = blocks.select("subset", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("id"))
+    parts = deg.select("id", "deg").join(of, "id").select("id", "deg", "subset")
     inner = parts.select("id", F.col("subset").alias("block"), (F.col("deg") * (1 - mixing)).alias("wt"))
     # inside a community of size s a node of inner degree d links with chance about d / s
     mean = inner.groupBy("block").agg(F.sum("wt").alias("total"))

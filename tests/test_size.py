@@ -63,3 +63,12 @@ def test_louvain_level_goes_on_while_a_node_would_gain(spark):
     a, b = next((r.id, sides[r.s0, r.s1]) for r in spark.range(50).select("id", *side).collect() if sides[r.s0, r.s1] != r.id)
     g = Graph.from_edges(spark.createDataFrame([(a, b)], "src long, dst long"))
     assert {r.subset for r in community.louvain(g).collect()} == {min(a, b)}
+
+
+def test_lfr_plan_does_not_grow_with_the_communities(spark):
+    g, label = generators.lfr(spark, 900, 3, 8, -2.0, 10, 20, 0.2)
+    sizes, rng = [], np.random.default_rng(0)
+    while sum(sizes) < 900:
+        sizes.append(int(rng.integers(10, 21)))
+    assert [r.subset for r in label.orderBy("id").collect()] == [i for i, s in enumerate(sizes) for _ in range(s)][:900]
+    assert "filter([" not in label._jdf.queryExecution().optimizedPlan().toString()
