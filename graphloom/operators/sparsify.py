@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions.hashrand import uniform
-from graphloom.graph import Graph, numbered
+from graphloom.graph import Graph, cumulated, numbered
 from graphloom.plans.fixpoint import cut
 from graphloom.operators import triangles as tri
 
@@ -89,16 +89,21 @@ def random_node_edge(g: Graph, ratio: float = 0.8, salt: int = 0) -> DataFrame:
 
 
 def forest_fire(g: Graph, p: float = 0.4, burnt_ratio: float = 5.0, fires: int = 256, salt: int = 0) -> DataFrame:
-    """How often each edge burns, scaled to a largest of 1. Fires start at drawn nodes and spread over each arc with chance p until they die, `fires` of them side by side, wave after wave until burnt_ratio times m edges have burnt."""
+    """How often each edge burns, scaled to a largest of 1. Fires start at drawn nodes and spread over each arc with chance p until they die; they count by waves of `fires`, up to the first wave by which burnt_ratio times m edges have burnt.
+
+    Waves burn side by side: as many as the rate of those before asks for. What a wave burns depends on its fires' numbers alone, and
+    waves past the last one that counts are left out, so the result is that of one wave after another.
+    """
     arcs = cut(g.both().where("src <> dst").select("src", "dst"))
     m = arcs.count() / 2
     zero = g.edges.select("src", "dst", F.lit(0.0).alias("score"))
     if not m or p <= 0:
         return zero
     places, wave, total, hits = cut(numbered(arcs.select(F.col("src").alias("id")).distinct(), ["id"], "at")), 0, 0, None
-    n = places.count()
-    while total < burnt_ratio * m:
-        draws = g.nodes.sparkSession.range(fires).select((F.col("id") + wave * fires).alias("fire")).withColumn("at", F.floor(uniform(f"start{salt}", "fire") * n).cast("long"))
+    n, goal = places.count(), burnt_ratio * m
+    while total < goal:
+        more = max(1, math.ceil(wave * (goal - total) / total)) if total else max(1, wave)
+        draws = g.nodes.sparkSession.range(wave * fires, (wave + more) * fires).select(F.col("id").alias("fire")).withColumn("at", F.floor(uniform(f"start{salt}", "fire") * n).cast("long"))
         front = cut(draws.join(places, "at").select("fire", "id"))
         burnt, edges = front, None
         while not front.isEmpty():
@@ -106,9 +111,12 @@ def forest_fire(g: Graph, p: float = 0.4, burnt_ratio: float = 5.0, fires: int =
             edges = lit if edges is None else edges.union(lit)
             front = cut(lit.select("fire", F.col("dst").alias("id")).distinct().join(burnt, ["fire", "id"], "left_anti"))
             burnt = cut(burnt.union(front))
-        ends = edges.select("fire", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().groupBy("src", "dst").agg(F.count(F.lit(1)).alias("count"))
+        once = cut(edges.select("fire", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct().withColumn("wave", F.floor(F.col("fire") / fires)))
+        upto = cut(cumulated(once.groupBy("wave").agg(F.count(F.lit(1)).alias("c")), ["wave"], "c", "upto"))
+        last = upto.where(F.col("upto") + total >= goal).agg(F.min("wave")).first()[0]
+        ends = (once if last is None else once.where(F.col("wave") <= last)).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("count"))
         hits = cut(ends if hits is None else hits.union(ends).groupBy("src", "dst").agg(F.sum("count").alias("count")))
-        total, wave = hits.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0], wave + 1
+        total, wave = hits.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0], wave + more
     top = hits.agg(F.max("count").alias("top"))
     share = hits.join(F.broadcast(top)).select("src", "dst", (F.col("count") / F.col("top")).alias("score"))  # one row
     return zero.select("src", "dst").join(share, ["src", "dst"], "left").select("src", "dst", F.coalesce("score", F.lit(0.0)).alias("score"))

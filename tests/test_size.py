@@ -72,3 +72,24 @@ def test_lfr_plan_does_not_grow_with_the_communities(spark):
         sizes.append(int(rng.integers(10, 21)))
     assert [r.subset for r in label.orderBy("id").collect()] == [i for i, s in enumerate(sizes) for _ in range(s)][:900]
     assert "filter([" not in label._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_forest_fires_of_many_waves_burn_side_by_side(spark, monkeypatch):
+    g = Graph.from_edges(spark.range(60).select((2 * F.col("id")).alias("src"), (2 * F.col("id") + 1).alias("dst"))).cut()
+    # each fire burns its one edge or none: the draws say which
+    fire = spark.range(4000).select("id", F.floor(uniform("start0", "id") * 120).cast("long").alias("at"))
+    lit = fire.withColumn("d", F.col("at").bitwiseXOR(F.lit(1))).where(uniform("burn0", "id", "at", "d") < 0.4)
+    want, total = Counter(), 0
+    burnt = sorted((r.id, r.at // 2) for r in lit.collect())
+    for wave in range(1000):
+        if total >= 300:
+            break
+        mine = [e for i, e in burnt if i // 4 == wave]
+        want.update(mine)
+        total += len(mine)
+    calls = []
+    real = sparsify.cumulated
+    monkeypatch.setattr(sparsify, "cumulated", lambda *a: calls.append(1) or real(*a))
+    got = {r.src // 2: r.score for r in sparsify.forest_fire(g, fires=4).collect() if r.score}
+    assert got == {e: c / max(want.values()) for e, c in want.items()}
+    assert len(calls) < 20 < wave
