@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,6 +63,31 @@ def repulsion(pos: DataFrame, q: float = 0.0, occupancy: int = 4) -> DataFrame:
     return pos.select("id").join(both, "id", "left").fillna(0.0, ["fx", "fy"])
 
 
+def exact_repulsion(pos: DataFrame, block: int = 1024) -> DataFrame:
+    """(id, fx, fy): the sum over all other nodes j of (p - p_j) / |p - p_j|^2, every pair tried, a pair of blocks of about `block` nodes at a time.
+
+    A block is sent once to each other one, so n / block copies of the nodes are shuffled, and a task holds no more than two blocks' pairs.
+    """
+    k = max(1, math.ceil(pos.count() / block))
+    tasks = max(k, int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pos.select("id", "x", "y", F.pmod(F.xxhash64("id"), F.lit(k)).alias("block"))
+    packs = cut(dealt.groupBy("block").agg(F.collect_list(F.struct("id", "x", "y")).alias("p")).select("block", *(F.col(f"p.{c}").alias(c) for c in ("id", "x", "y"))))
+    asked = packs.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))).repartition(tasks, "other")
+    others = packs.select(F.col("block").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, x, y, ox, oy = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in range(5))
+                dx, dy = x[:, None] - ox, y[:, None] - oy
+                d2 = dx * dx + dy * dy
+                d2[d2 == 0] = np.inf  # the node itself
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((dx / d2).sum(1)), pa.array((dy / d2).sum(1))], names=["id", "fx", "fy"])
+
+    parts = asked.join(others, "other").select("id", "x", "y", "ox", "oy").mapInArrow(run, "id long, fx double, fy double")
+    return parts.groupBy("id").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+
+
 def stress(g: Graph, pos: DataFrame) -> DataFrame:
     """One row: the sum over edges of (distance - 1) squared."""
     a, b = (pos.select(F.col("id").alias(c), F.col("x").alias(f"x{c}"), F.col("y").alias(f"y{c}")) for c in ("src", "dst"))

@@ -93,3 +93,12 @@ def test_forest_fires_of_many_waves_burn_side_by_side(spark, monkeypatch):
     got = {r.src // 2: r.score for r in sparsify.forest_fire(g, fires=4).collect() if r.score}
     assert got == {e: c / max(want.values()) for e, c in want.items()}
     assert len(calls) < 20 < wave
+
+
+def test_exact_repulsion_by_blocks(spark):
+    pos = spark.range(70).select("id", uniform("px", "id").alias("x"), uniform("py", "id").alias("y"))
+    rows = [(r.id, r.x, r.y) for r in pos.collect()]
+    got = {r.id: (r.fx, r.fy) for r in layout.exact_repulsion(pos, 16).collect()}
+    for i, x, y in rows:
+        parts = [((x - u) / ((x - u) ** 2 + (y - v) ** 2), (y - v) / ((x - u) ** 2 + (y - v) ** 2)) for j, u, v in rows if j != i]
+        assert np.allclose(got[i], np.sum(parts, axis=0))
