@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform
 from graphloom.graph import Graph, numbered
+from graphloom.operators import tiled
 from graphloom.operators.components import connected_components
 from graphloom.operators.traversal import bfs
 from graphloom.plans.fixpoint import cut
@@ -45,7 +46,7 @@ def draw_paths(g: Graph, pairs: DataFrame, salt: int = 0) -> DataFrame:
     One breadth-first search with path counts for each different u; then all samples walk back together, a step to each
     predecessor as likely as its share of the paths. A step's draw depends on the sample and the place alone.
     """
-    reach = cut(bfs(g.unweighted(), pairs.select(F.col("u").alias("id")).distinct()))
+    reach = tiled.bfs(g, pairs.select(F.col("u").alias("id")).distinct())
     ends = pairs.join(reach.select(F.col("source").alias("u"), F.col("id").alias("v"), "dist"), ["u", "v"], "left")
     whole = cut(ends.select("sample", "u", "v", "dist", F.array().cast("array<bigint>").alias("inner")))
     arcs = cut(g.both().where("src <> dst").select(F.col("src").alias("z"), F.col("dst").alias("at")).distinct())

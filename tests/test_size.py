@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform
 from graphloom.graph import Graph
-from graphloom.operators import community, generators, layout, sparsify
+from graphloom.operators import community, generators, layout, sparsify, tiled
 from graphloom.operators import triangles as tri
 from graphloom.plans import fixtures as fx
 
@@ -102,3 +102,33 @@ def test_exact_repulsion_by_blocks(spark):
     for i, x, y in rows:
         parts = [((x - u) / ((x - u) ** 2 + (y - v) ** 2), (y - v) / ((x - u) ** 2 + (y - v) ** 2)) for j, u, v in rows if j != i]
         assert np.allclose(got[i], np.sum(parts, axis=0))
+
+
+def test_searches_by_tiles_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(tiled, "SIDE", 8)
+    monkeypatch.setattr(tiled, "WIDE", 4)
+    edges = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (3, 5), (4, 6), (5, 6), (6, 7), (7, 8), (8, 9), (20, 21), (21, 22)]
+    g = Graph.from_edges(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(i,) for i in (*range(10), 20, 21, 22, 30)], "id long")).cut()
+    search = tiled.Searches(g, g.nodes)
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    want, score = set(), Counter()
+    for s in (*range(10), 20, 21, 22, 30):
+        dist, paths, order = {s: 0}, Counter({s: 1}), [s]
+        for v in order:
+            for w in near.get(v, ()):
+                if w not in dist:
+                    dist[w] = dist[v] + 1
+                    order.append(w)
+                paths[w] += paths[v] * (dist[w] == dist[v] + 1)
+        dep = Counter()
+        for w in reversed(order):
+            for v in near.get(w, ()):
+                dep[v] += paths[v] / paths[w] * (1 + dep[w]) * (dist[v] + 1 == dist[w])
+            score[w] += dep[w] * (w != s)
+        want |= {(s, v, dist[v], float(paths[v])) for v in order}
+    assert {tuple(r) for r in search.reached().collect()} == want
+    got = {r.id: r.score for r in search.dependencies().collect()}
+    assert got.keys() == score.keys() and all(abs(got[i] - score[i]) < 1e-9 for i in got)
