@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform
 from graphloom.graph import Graph
-from graphloom.operators import community, generators, layout, sparsify, tiled
+from graphloom.operators import algebra, community, generators, layout, sparsify, tiled
 from graphloom.operators import triangles as tri
 from graphloom.plans import fixtures as fx
 
@@ -132,3 +132,24 @@ def test_searches_by_tiles_equal_plain_ones(spark, monkeypatch):
     assert {tuple(r) for r in search.reached().collect()} == want
     got = {r.id: r.score for r in search.dependencies().collect()}
     assert got.keys() == score.keys() and all(abs(got[i] - score[i]) < 1e-9 for i in got)
+
+
+def test_resistances_come_from_a_solve_for_each_node(spark, monkeypatch):
+    monkeypatch.setattr(tiled, "SIDE", 8)
+    monkeypatch.setattr(tiled, "WIDE", 4)
+    rng = random.Random(6)
+    edges = sorted({tuple(sorted(rng.sample(range(lo, lo + 11), 2))) for lo in (0, 11) for _ in range(30)})
+    w = {e: rng.randint(1, 5) for e in edges}
+    g = Graph.from_edges(spark.createDataFrame([(a, b, float(w[a, b])) for a, b in edges], "src long, dst long, w double"), spark.range(23))
+    lap = np.zeros((23, 23))
+    for (a, b), x in w.items():
+        lap[a, b] = lap[b, a] = -x
+    np.fill_diagonal(lap, -lap.sum(1))
+    inv = np.linalg.pinv(lap)
+    pairs = [(0, 10), (3, 5), (3, 3), (12, 21), (0, 12), (5, 22)]
+    kept = []
+    monkeypatch.setattr(tiled.Rounds, "put", lambda self, name, df, put=tiled.Rounds.put: kept.append(name) or put(self, name, df))
+    found = {(r.src, r.dst): r.r for r in algebra.effective_resistance(g, spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    want = {(a, b): inv[a, a] + inv[b, b] - 2 * inv[a, b] if a // 11 == b // 11 and b < 22 else float("inf") for a, b in pairs}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-6 for k in pairs if want[k] < 9) and all(found[k] == v for k, v in want.items() if v > 9)
+    assert kept.count("state") > 2  # rows of blocks, not of pairs and nodes
