@@ -82,8 +82,8 @@ def approx_betweenness(g: Graph, epsilon: float = 0.05, delta: float = 0.1, salt
 class DynamicBetweenness:
     """Sampled paths kept as state (sample, u, v, dist, inner), so that insertions redraw only what they touch.
 
-    A pair's shortest paths change iff some inserted edge (a, b) lies on one that is no longer than before: two
-    breadth-first searches for each inserted edge tell which, and only those pairs are searched and drawn again. The
+    A pair's shortest paths change iff some inserted edge (a, b) lies on one that is no longer than before: searches
+    from the inserted edges' ends, or from the pairs' ends where these are fewer, tell which, and only those pairs are searched and drawn again. The
     others would be drawn as they are. The sample size stays, as insertions don't make the diameter of a component grow
     unless they join components; where they do, `grow` draws the samples that the new diameter asks for.
     """
@@ -99,13 +99,17 @@ class DynamicBetweenness:
         new = Graph.from_edges(added.select("src", "dst"), self.g.nodes).edges.where("src <> dst").distinct()
         new = cut(new.join(self.g.edges.select("src", "dst"), ["src", "dst"], "left_anti"))
         self.g = Graph(self.g.nodes, self.g.edges.select("src", "dst", "w").unionByName(new)).cut()
-        ends = new.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        near = cut(bfs(self.g.unweighted(), ends).select("source", "id", "dist"))
+        # hops from the inserted edges' ends or, where these are more, from the pairs' ends: they are the same either way
+        ends = cut(new.select(F.explode(F.array("src", "dst")).alias("id")).distinct())
+        mine = cut(self.paths.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+        here, there = ("source", "id") if ends.count() <= mine.count() else ("id", "source")
+        near = tiled.bfs(self.g, ends if here == "source" else mine).select("source", "id", "dist")
+        near = cut(near.select(F.col(here).alias("end"), F.col(there).alias("id"), "dist").join(ends.withColumnRenamed("id", "end"), "end", "left_semi"))
         # least way from each kept u to the inserted edges' ends, and on from the other end to v
         arcs = new.select("src", "dst").union(new.select("dst", "src"))
         pairs = self.paths.select("sample", "u", "v", F.col("dist").alias("was"))
-        to = near.select(F.col("source").alias("src"), F.col("id").alias("u"), F.col("dist").alias("du"))
-        on = near.select(F.col("source").alias("dst"), F.col("id").alias("v"), F.col("dist").alias("dv"))
+        to = near.select(F.col("end").alias("src"), F.col("id").alias("u"), F.col("dist").alias("du"))
+        on = near.select(F.col("end").alias("dst"), F.col("id").alias("v"), F.col("dist").alias("dv"))
         through = pairs.join(to, "u").join(arcs, "src").join(on, ["dst", "v"])
         touched = cut(through.where("was is null or du + 1 + dv <= was").select("sample", "u", "v").distinct())
         self.redrawn = touched.count()

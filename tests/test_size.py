@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform
 from graphloom.graph import Graph
-from graphloom.operators import algebra, community, generators, layout, sparsify, tiled
+from graphloom.operators import algebra, community, generators, layout, sampled, sparsify, tiled
 from graphloom.operators import triangles as tri
 from graphloom.plans import fixtures as fx
 
@@ -153,3 +153,19 @@ def test_resistances_come_from_a_solve_for_each_node(spark, monkeypatch):
     want = {(a, b): inv[a, a] + inv[b, b] - 2 * inv[a, b] if a // 11 == b // 11 and b < 22 else float("inf") for a, b in pairs}
     assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-6 for k in pairs if want[k] < 9) and all(found[k] == v for k, v in want.items() if v > 9)
     assert kept.count("state") > 2  # rows of blocks, not of pairs and nodes
+
+
+def test_many_insertions_are_searched_from_the_fewer_ends(spark, monkeypatch):
+    rng = random.Random(8)
+    edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(150)})
+    frame = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    sizes = []
+    for where in (tiled, sampled):
+        monkeypatch.setattr(where, "bfs", lambda g, sources, *more, bfs=where.bfs: sizes.append(sources.distinct().count()) or bfs(g, sources, *more))
+    dyn = sampled.DynamicBetweenness(Graph.from_edges(frame(edges[::2]), spark.range(60)), 0.5)
+    ends = {x for r in dyn.paths.collect() for x in (r.u, r.v)}
+    assert len({x for e in edges[1::2] for x in e}) > 50 > len(ends)
+    dyn.insert(frame(edges[1::2]))
+    assert max(sizes) <= len(ends)
+    again = sampled.draw_paths(Graph.from_edges(frame(edges), spark.range(60)), sampled.draw_pairs(dyn.g, dyn.samples))
+    assert {(r.sample, r.dist, *r.inner) for r in dyn.paths.collect()} == {(r.sample, r.dist, *r.inner) for r in again.collect()}
