@@ -36,23 +36,28 @@ def gauss_seidel(m: DataFrame, rhs: DataFrame, x: DataFrame, sweeps: int = 10, c
     """(i, v): x after sweeps of Gauss-Seidel relaxation of m x = rhs, m symmetric in its pattern and with a full diagonal.
 
     Rows go by colour class: rows of a class do not depend on each other, so a class is one plan, and the sweep equals one that takes the
-    rows one after another in the order of their colours.
+    rows one after another in the order of their colours. Rows that depend on no other are solved at once and take no part in sweeps. No round
+    sends a table to all tasks, whatever its size, as rounds are many.
     """
     loop = Rounds(m.sparkSession, "seidel")
     m = loop.put("m", m.select("i", "j", "v"))
+    off = m.where("i <> j and v <> 0")
+    start = m.where("i = j").select("i", F.col("v").alias("d")).join(rhs.select("i", F.col("v").alias("b")), "i", "left").join(x.select("i", F.col("v").alias("x")), "i", "left")
+    start = loop.put("start", start.select("i", "d", F.coalesce("b", F.lit(0.0)).alias("b"), F.coalesce("x", F.lit(0.0)).alias("x")))
     if colors is None:
-        off = m.where("i <> j and v <> 0").select(F.col("i").alias("src"), F.col("j").alias("dst"))
-        colors = greedy_coloring(Graph.from_edges(off, m.select(F.col("i").alias("id")).distinct()))
-    rows = m.where("i = j").select("i", F.col("v").alias("d")).join(rhs.select("i", F.col("v").alias("b")), "i", "left").join(colors.select(F.col("id").alias("i"), "color"), "i")
-    state = loop.put("x", rows.join(x.select("i", F.col("v").alias("x")), "i", "left").select("i", "d", F.coalesce("b", F.lit(0.0)).alias("b"), "color", F.coalesce("x", F.lit(0.0)).alias("x")))
+        colors = greedy_coloring(Graph.from_edges(off.select(F.col("i").alias("src"), F.col("j").alias("dst"))))
+    else:
+        start = start.join(colors.select(F.col("id").alias("i")), "i", "left_semi")
+    colors = loop.put("colors", off.select("i").distinct().join(colors.select(F.col("id").alias("i"), "color"), "i"))
+    alone = start.join(colors, "i", "left_anti").select("i", (F.col("b") / F.col("d") if sweeps else F.col("x")).alias("v"))
+    state = loop.put("x", start.join(colors, "i"))
+    off = loop.put("off", off.join(colors, "i"))
     classes = [r.color for r in state.select("color").distinct().orderBy("color").collect()]  # at most the greatest degree, one more
-    off = m.where("i <> j")
     for _ in range(sweeps):
         for c in classes:
-            mine = state.where(F.col("color") == c).select("i")
-            got = off.join(mine, "i", "left_semi").join(state.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
+            got = off.where(F.col("color") == c).hint("merge").join(state.select(F.col("i").alias("j"), "x"), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
             new = F.when(F.col("color") == c, (F.col("b") - F.coalesce("s", F.lit(0.0))) / F.col("d")).otherwise(F.col("x"))
-            state = loop.put("x", state.join(got, "i", "left").select("i", "d", "b", "color", new.alias("x")))
-    out = cut(state.select("i", F.col("x").alias("v")))
+            state = loop.put("x", state.hint("merge").join(got, "i", "left").select("i", "d", "b", "color", new.alias("x")))
+    out = cut(state.select("i", F.col("x").alias("v")).union(alone))
     loop.close()
     return out

@@ -169,3 +169,27 @@ def test_many_insertions_are_searched_from_the_fewer_ends(spark, monkeypatch):
     assert max(sizes) <= len(ends)
     again = sampled.draw_paths(Graph.from_edges(frame(edges), spark.range(60)), sampled.draw_pairs(dyn.g, dyn.samples))
     assert {(r.sample, r.dist, *r.inner) for r in dyn.paths.collect()} == {(r.sample, r.dist, *r.inner) for r in again.collect()}
+
+
+def test_sweeps_leave_out_rows_alone_and_send_no_table_to_all(spark, monkeypatch):
+    from graphloom.operators import coloring
+
+    n = 30
+    m = np.eye(n) * 4
+    for a, b in ((0, 1), (1, 2), (2, 0), (7, 8)):
+        m[a, b] = m[b, a] = -1.0
+    frame = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i long, j long, v double")
+    vec = lambda v: spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "i long, v double")
+    rounds = []
+
+    def put(self, name, df, put=coloring.Rounds.put):
+        out = put(self, name, df)
+        if name == "x" and self.versions[name] and "coloring" not in self.folder:
+            rounds.append((out.count(), "Broadcast" in df._jdf.queryExecution().toString()))
+        return out
+
+    monkeypatch.setattr(coloring.Rounds, "put", put)
+    b = np.arange(n) % 5
+    got = {r.i: r.v for r in coloring.gauss_seidel(frame, vec(b), vec(np.ones(n)), 20).collect()}
+    assert np.allclose([got[i] for i in range(n)], np.linalg.solve(m, b))
+    assert len(rounds) == 60 and set(rounds) == {(5, False)}
