@@ -21,9 +21,13 @@ from graphloom.plans import fixpoint
 from graphloom.plans.fixpoint import Rounds, cut
 
 #: Nodes of a block.
-SIDE = 512
+SIDE = 256
 #: Sources of a block, at most.
-WIDE = 256
+WIDE = 128
+#: Bytes of matrices to a partition, about.
+ROOM = 24_000_000
+#: Arcs to a partition while they are packed to tiles, about.
+PACKED = 1_000_000
 
 _STATE = "b long, s long, dist binary, paths binary, dep binary"
 _PART = "b long, s long, m binary"
@@ -55,11 +59,13 @@ class Tiled:
         a, b = (self.places.select(F.col("id").alias(c), F.col("at").alias(f"at_{c}")) for c in ("src", "dst"))
         cell = _inner("at_dst", side) * side + _inner("at_src", side)
         placed = arcs.join(a, "src").join(b, "dst").select(_block("at_dst", side).alias("to"), _block("at_src", side).alias("from"), cell.alias("cell"), "w")
-        self.tiles = self.loop.put("tiles", placed.groupBy("to", "from").agg(F.collect_list(F.struct("cell", "w")).alias("t")).select("to", "from", F.col("t.cell").alias("cells"), F.col("t.w").alias("ws")))
         self.least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = placed.repartition(max(self.least, math.ceil(arcs.count() / PACKED)), "to", "from").sortWithinPartitions("to", "from")
+        self.tiles = self.loop.put("tiles", dealt.mapInArrow(_packed, "to long, from long, cells binary, ws binary"))
 
     def _parts(self) -> int:
-        return max(self.least, math.ceil(self.state.count() / 32))
+        """Partitions for the state's rows: they grow with it, so what a task holds does not."""
+        return max(self.least, math.ceil(self.state.count() * self.side * self.wide * self.bytes / ROOM))
 
     def _multiplied(self, front: DataFrame, back: bool = False) -> DataFrame:
         """(b, s, m): the product of each tile with the blocks (b, s, m) of vectors that it meets; back: from heads to tails."""
@@ -69,14 +75,14 @@ class Tiled:
             for batch in batches:
                 for to, s, cells, ws, m in zip(*(batch.column(i) for i in range(5)), strict=True):
                     tile = np.zeros(side * side)
-                    tile[cells.values.to_numpy()] = ws.values.to_numpy()
+                    tile[np.frombuffer(cells.as_buffer(), np.int32)] = np.frombuffer(ws.as_buffer())
                     tile = tile.reshape(side, side)
                     out = (tile.T if back else tile) @ np.frombuffer(m.as_buffer()).reshape(side, wide)
                     yield pa.RecordBatch.from_arrays([pa.array([to.as_py()]), pa.array([s.as_py()]), pa.array([out.tobytes()], pa.binary())], names=["b", "s", "m"])
 
         to, from_ = ("from", "to") if back else ("to", "from")
-        # matrices pack well in files, so their sizes there must not make Spark broadcast them
-        met = self.tiles.select(F.col(to).alias("to"), F.col(from_).alias("b"), "cells", "ws").hint("merge").join(front.repartition(self._parts(), "b"), "b")
+        # matrices pack well in files, so their sizes there must not make Spark broadcast them; what a merge holds of a block is its arcs, not its vectors
+        met = front.repartition(self._parts(), "b").hint("merge").join(self.tiles.select(F.col(to).alias("to"), F.col(from_).alias("b"), "cells", "ws"), "b")
         return met.select("to", "s", "cells", "ws", "m").mapInArrow(multiply, _PART)
 
     def close(self) -> None:
@@ -86,6 +92,9 @@ class Tiled:
 class Searches(Tiled):
     """Breadth-first searches from all sources (id); nodes that no arc leaves or enters are only reached from themselves."""
 
+    #: Of a pair of node and source.
+    bytes = 18
+
     def __init__(self, g: Graph, sources: DataFrame):
         super().__init__(g, sources, g.both().where("src <> dst").select("src", "dst", F.lit(1.0).alias("w")).distinct())
         self.depth = 0
@@ -212,6 +221,9 @@ class Solves(Tiled):
     longer than tol stay as they are. Raises if one is left after `rounds`.
     """
 
+    #: Of a pair of node and source.
+    bytes = 48
+
     def __init__(self, g: Graph, sources: DataFrame, tol: float = 1e-8, rounds: int = 2000):
         super().__init__(g, sources, g.both().where("src <> dst").groupBy("src", "dst").agg(F.sum("w").alias("w")))
         self.state = self._start()
@@ -327,6 +339,30 @@ class Solves(Tiled):
         return self.state.select("b", "s", "x").hint("merge").join(asked, ["b", "s"]).select("b", "s", "x", "cells").mapInArrow(run, "at long, no long, v double")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arcs (to, from, cell, w) in the order of their tiles as a row for each tile."""
+    key, cells, ws = None, [], []
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([np.concatenate(cells).tobytes()], pa.binary()), pa.array([np.concatenate(ws).tobytes()], pa.binary())], names=["to", "from", "cells", "ws"])
+
+    for batch in batches:
+        to, from_, cell, w = (batch.column(i).to_numpy() for i in range(4))
+        if not len(to):
+            continue
+        starts = np.r_[0, 1 + np.flatnonzero((np.diff(to) != 0) | (np.diff(from_) != 0))]
+        for i, j in zip(starts, [*starts[1:], len(to)], strict=True):
+            at = (int(to[i]), int(from_[i]))
+            if at != key:
+                if key is not None:
+                    yield done()
+                key, cells, ws = at, [], []
+            cells.append(cell[i:j].copy())
+            ws.append(w[i:j].copy())
+    if key is not None:
+        yield done()
+
+
 def _scaled(r: np.ndarray, deg: np.ndarray) -> np.ndarray:
     return r / np.where(deg > 0, deg, 1.0) * (deg > 0)
 

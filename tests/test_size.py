@@ -209,3 +209,17 @@ def test_rounds_of_louvain_send_no_table_to_all(spark, monkeypatch):
     found = {r.id: r.subset for r in community.louvain(Graph.from_edges(spark.createDataFrame(edges, "src long, dst long"))).collect()}
     assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_blocks_of_searches_are_small_and_partitions_hold_few(spark, monkeypatch):
+    assert tiled.SIDE * tiled.WIDE * tiled.Solves.bytes <= 2_000_000
+    monkeypatch.setattr(tiled, "SIDE", 8)
+    monkeypatch.setattr(tiled, "WIDE", 4)
+    monkeypatch.setattr(tiled, "ROOM", 2 * 8 * 4 * tiled.Searches.bytes)
+    edges = [(i, i + 1) for i in range(30)] + [(i, i + 2) for i in range(29)]
+    search = tiled.Searches(Graph.from_edges(spark.createDataFrame(edges, "src long, dst long")), spark.createDataFrame([(0,), (30,)], "id long"))
+    assert search._parts() * 2 >= search.state.count() > 3
+    tiles = {(r.to, r["from"]): (np.frombuffer(r.cells, np.int32), np.frombuffer(r.ws)) for r in search.tiles.collect()}
+    got = {(to * 8 + c // 8, from_ * 8 + c % 8) for (to, from_), (cells, ws) in tiles.items() for c in cells.tolist()}
+    assert got == {(b, a) for a, b in edges} | set(edges) and all(set(ws) == {1.0} for _, ws in tiles.values())
+    search.close()
