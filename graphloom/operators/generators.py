@@ -13,12 +13,16 @@ from pyspark.sql.window import Window
 
 from graphloom.functions.hashrand import below, uniform
 from graphloom.graph import Graph
-
+from graphloom.plans.fixpoint import Rounds, cut
 
 #: Drawn edges that a task holds at once, about.
 PIECE = 500_000
 #: Tasks that all pairs of nodes are dealt to.
 PAIR_TASKS = 192
+#: Halvings of the cells of points, at most; fewer are right as well, only slower.
+LEVELS = 24
+#: Points of a cell that a task compares at once, at most.
+CELL = 4096
 
 
 def _nodes(spark: SparkSession, n: int) -> DataFrame:
@@ -358,19 +362,114 @@ def scattered_points(ids: DataFrame, centers: int, spread: float, salt: int = 0)
     return ids.select("id", x.alias("x"), y.alias("y"))
 
 
+def _cells(df: DataFrame, k) -> DataFrame:
+    """df with the cell (cx, cy) of (x, y) where k cells make a side of the torus."""
+    k = F.lit(k).cast("long") if isinstance(k, int) else k
+    return df.withColumns({"cx": F.pmod(F.floor(F.col("x") * k), k), "cy": F.pmod(F.floor(F.col("y") * k), k)})
+
+
+def _leveled(pts: DataFrame, first: int, most: int, loop) -> DataFrame:
+    """pts with level: the finest one, of those with first * 2^level cells a side, whose cell of the point holds over most points; -1 where none does."""
+    live, done = pts, None
+    for level in range(LEVELS):
+        cell = _cells(live, first << level)
+        dense = cell.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n"), ((F.min("x") < F.max("x")) | (F.min("y") < F.max("y"))).alias("go")).where(F.col("n") > most)
+        met = loop.put(f"met{level}", cell.join(dense.drop("n"), ["cx", "cy"], "left").select("id", "x", "y", "go"))
+        ended = met.where("go is null or not go").select("id", "x", "y", F.when(F.col("go").isNull(), F.lit(level - 1)).otherwise(F.lit(level)).alias("level"))
+        done, live = ended if done is None else done.union(ended), met.where("go").select("id", "x", "y")
+        if live.isEmpty():
+            return done
+    return done.union(live.select("id", "x", "y", F.lit(LEVELS - 1).alias("level")))
+
+
+def _asks(pts: DataFrame, radius: float, most: int, loop) -> tuple[DataFrame, DataFrame]:
+    """((m, cx, cy, z, id, x, y, d2), (m, cx, cy, z, id, x, y)): the cells where each point looks for its nearest, no further than the root of d2; and their points.
+
+    A cell that holds over most points has that many others within its diagonal, so a point looks no further, in cells of twice that
+    side. Cells of more than CELL points are cut into numbers z.
+    """
+    first = max(1, int(1 / radius))
+    at = loop.put("leveled", _leveled(pts, first, most, loop).withColumn("m", F.greatest(F.col("level") - 1, F.lit(0))))
+    k = F.expr(f"shiftleft({first}L, cast(m as int))")
+    diagonal = 2.0 / F.pow(F.lit(float(first)) * F.pow(F.lit(2.0), F.col("level")), F.lit(2)) * (1 + 1e-9)
+    own = _cells(at.withColumn("d2", F.when(F.col("level") >= 0, F.least(F.lit(radius * radius), diagonal)).otherwise(F.lit(radius * radius))), k)
+    gap = {c: {-1: F.pmod(F.col(c) * k, F.lit(1.0)) / k, 0: F.lit(0.0), 1: (1 - F.pmod(F.col(c) * k, F.lit(1.0))) / k} for c in ("x", "y")}
+    sides = [F.struct(F.pmod(F.col("cx") + i, k).alias("cx"), F.pmod(F.col("cy") + j, k).alias("cy"), (F.pow(gap["x"][i], F.lit(2)) + F.pow(gap["y"][j], F.lit(2)) <= F.col("d2") * (1 + 1e-6) + 1e-15).alias("near")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    near = F.array_distinct(F.transform(F.filter(F.array(*sides), lambda c: c["near"]), lambda c: F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"))))
+    asks = loop.put("asks", own.select("m", "id", "x", "y", "d2", F.explode(near).alias("t")).select("m", "t.cx", "t.cy", "id", "x", "y", "d2"))
+    levels = [r.m for r in asks.select("m").distinct().collect()]  # a row for each level
+    every = pts.select("id", "x", "y", F.explode(F.array(*[F.lit(m) for m in levels] or [F.lit(0)])).alias("m"))
+    every = _cells(every, k).join(asks.select("m", "cx", "cy").distinct(), ["m", "cx", "cy"], "left_semi")
+    every = loop.put("every", every.select("m", "cx", "cy", "id", "x", "y"))
+    sizes = loop.put("sizes", every.groupBy("m", "cx", "cy").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("zs")))
+    asks = asks.join(sizes, ["m", "cx", "cy"]).select("m", "cx", "cy", F.explode(F.sequence(F.lit(0), F.col("zs") - 1)).alias("z"), "id", "x", "y", "d2")
+    return asks, every.join(sizes, ["m", "cx", "cy"]).select("m", "cx", "cy", F.pmod(F.xxhash64("id"), F.col("zs")).cast("int").alias("z"), "id", "x", "y")
+
+
+def _nearest(most: int):
+    """For rows in the order of cells, points with a null d2, others asking: the most nearest (a, b, d2) of each that asks."""
+
+    def found(ids, x, y, d2) -> pa.RecordBatch | None:
+        asks, here = np.flatnonzero(~np.isnan(d2)), np.flatnonzero(np.isnan(d2))
+        out = []
+        step = max(1, 1_000_000 // max(1, len(here)))
+        for k in range(0, len(asks) if len(here) else 0, step):
+            mine = asks[k : k + step]
+            gaps = [np.abs(v[mine][:, None] - v[here]) for v in (x, y)]
+            gx, gy = (np.minimum(g, 1 - g) for g in gaps)
+            far = gx * gx + gy * gy
+            far[(far > d2[mine][:, None]) | (ids[mine][:, None] == ids[here])] = np.inf
+            if len(here) > most:
+                far[far > np.partition(far, most - 1, axis=1)[:, most - 1 : most]] = np.inf
+            i, j = np.nonzero(far < np.inf)
+            d, b = far[i, j], ids[here[j]]
+            order = np.lexsort((b, d, i))
+            i, d, b = i[order], d[order], b[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < most
+            out.append((ids[mine[i[keep]]], b[keep], d[keep]))
+        if out:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "d2"])
+        return None
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
+            rows = rows if held is None else [np.r_[h, r] for h, r in zip(held, rows, strict=True)]
+            n = len(rows[0])
+            if not n:
+                continue
+            new = np.any([np.diff(c) != 0 for c in rows[:4]], axis=0)
+            starts = np.r_[0, 1 + np.flatnonzero(new)]
+            for i, j in zip(starts, starts[1:]):
+                if (got := found(*(c[i:j] for c in rows[4:]))) is not None:
+                    yield got
+            held = [c[starts[-1] :].copy() for c in rows]
+        if held is not None and (got := found(*held[4:])) is not None:
+            yield got
+
+    return run
+
+
 def near_links(pts: DataFrame, radius: float, most: int) -> DataFrame:
-    """(src, dst, w): points (id, x, y) of the unit torus of which each is among the other's most nearest within radius. Weight is 0.01 over the squared distance."""
-    k = max(1, int(1 / radius))
-    cell = pts.select("id", "x", "y", F.floor(F.col("x") * k).alias("cx"), F.floor(F.col("y") * k).alias("cy"))
-    around = F.array(*[F.struct(F.pmod(F.col("cx") + i, F.lit(k)).alias("cx"), F.pmod(F.col("cy") + j, F.lit(k)).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asks = cell.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.explode(F.array_distinct(around)).alias("t")).select("a", "ax", "ay", "t.cx", "t.cy")
-    near = asks.join(cell.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy"), ["cx", "cy"]).where("a <> b")
-    gap = lambda p, q: F.least(F.abs(F.col(p) - F.col(q)), 1 - F.abs(F.col(p) - F.col(q)))
-    d2 = F.pow(gap("ax", "bx"), 2) + F.pow(gap("ay", "by"), 2)
+    """(src, dst, w): points (id, x, y) of the unit torus of which each is among the other's most nearest within radius. Weight is 0.01 over the squared distance.
+
+    Cells follow the density, so a point meets about as many others however many there are. Of the points at one place only the first by id, one
+    more than most, can be among the nearest of any other, so only these can have a link.
+    """
+    loop = Rounds(pts.sparkSession, "near")
+    same = Window.partitionBy("x", "y").orderBy("id")
+    first = pts.select("id", "x", "y").where(~F.isnan("x") & ~F.isnan("y")).withColumn("r", F.row_number().over(same)).where(F.col("r") <= most + 1)
+    asks, points = _asks(loop.put("points", first.select("id", "x", "y")), radius, most, loop)
+    rows = asks.unionByName(points, allowMissingColumns=True).select("m", "cx", "cy", "z", "id", "x", "y", "d2")
+    dealt = rows.repartition("m", "cx", "cy", "z").sortWithinPartitions("m", "cx", "cy", "z")
+    near = dealt.mapInArrow(_nearest(most), "a long, b long, d2 double")
     w = Window.partitionBy("a").orderBy("d2", "b")
-    top = near.select("a", "b", d2.alias("d2")).where(F.col("d2") <= radius * radius).select("a", "b", "d2", F.row_number().over(w).alias("r")).where(F.col("r") <= most)
+    top = loop.put("top", near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("a", "b", "d2"))
     mutual = top.where("a < b").join(top.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"])
-    return mutual.select(F.col("a").alias("src"), F.col("b").alias("dst"), (0.01 / F.greatest("d2", F.lit(1e-12))).alias("w"))
+    out = cut(mutual.select(F.col("a").alias("src"), F.col("b").alias("dst"), (0.01 / F.greatest("d2", F.lit(1e-12))).alias("w")))
+    loop.close()
+    return out
 
 
 def pub_web(spark: SparkSession, n: int, centers: int, radius: float, most: int, salt: int = 0) -> tuple[Graph, DataFrame]:

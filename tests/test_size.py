@@ -223,3 +223,28 @@ def test_blocks_of_searches_are_small_and_partitions_hold_few(spark, monkeypatch
     got = {(to * 8 + c // 8, from_ * 8 + c % 8) for (to, from_), (cells, ws) in tiles.items() for c in cells.tolist()}
     assert got == {(b, a) for a, b in edges} | set(edges) and all(set(ws) == {1.0} for _, ws in tiles.values())
     search.close()
+
+
+def test_near_links_look_where_points_are_dense_and_equal_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    dense = np.mod(rng.normal(0, 0.004, (700, 2)), 1)  # around the corner, where all sides meet
+    xy = np.r_[dense, rng.random((60, 2)), np.tile(dense[:1], (30, 1)), np.tile([[0.5, 0.5]], (25, 1)), rng.normal(0.5, 1e-5, (20, 2))].tolist()
+    ids = [int(i) for i in rng.permutation(len(xy))]
+    pts = spark.createDataFrame([(i, x, y) for i, (x, y) in zip(ids, xy, strict=True)], "id long, x double, y double")
+    for radius, most in ((0.1, 5), (0.4, 3)):
+        top = {}
+        for i, (x, y) in zip(ids, xy, strict=True):
+            far = []
+            for j, (u, v) in zip(ids, xy, strict=True):
+                gx, gy = min(abs(x - u), 1 - abs(x - u)), min(abs(y - v), 1 - abs(y - v))
+                if i != j and gx * gx + gy * gy <= radius * radius:
+                    far.append((gx * gx + gy * gy, j))
+            top[i] = {j for _, j in sorted(far)[:most]}
+        want = {(i, j) for i in top for j in top[i] if i < j and i in top[j]}
+        monkeypatch.setattr(generators, "CELL", 50)
+        assert {(r.src, r.dst) for r in generators.near_links(pts, radius, most).collect()} == want
+    loop = generators.Rounds(spark, "test")
+    asks, points = generators._asks(pts.where("id is not null").dropDuplicates(["x", "y"]), 0.1, 5, loop)
+    pairs = asks.join(points.groupBy("m", "cx", "cy", "z").count(), ["m", "cx", "cy", "z"]).groupBy().sum("count").first()[0]
+    assert pairs < 200_000  # 700 points that are all within radius of one another make 490,000
+    loop.close()
