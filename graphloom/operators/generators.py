@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.functions.hashrand import below, uniform
+from graphloom.functions.hashrand import ONE_TURN, PairsBelow, below, uniform
 from graphloom.graph import Graph
 from graphloom.plans.fixpoint import Rounds, cut
 
@@ -19,6 +19,8 @@ from graphloom.plans.fixpoint import Rounds, cut
 PIECE = 500_000
 #: Tasks that all pairs of nodes are dealt to.
 PAIR_TASKS = 192
+#: Pairs of a node that are hashed at once, at most.
+WIDTH = 16_384
 #: Halvings of the cells of points, at most; fewer are right as well, only slower.
 LEVELS = 24
 #: Points of a cell that a task compares at once, at most.
@@ -75,8 +77,15 @@ def erdos_renyi(spark: SparkSession, n: int, p: float, salt: int = 0) -> Graph:
 
 
 def pairwise(spark: SparkSession, n: int, chance, salt: int = 0, extra: DataFrame | None = None) -> DataFrame:
-    """Edges of a small graph from a chance for each pair (a column over u, v and extra's columns of either, as ux and vx)."""
+    """Edges of a small graph from a chance for each pair (a column over u, v and extra's columns of either, as ux and vx).
+
+    Where the chance is a number, pairs of chunks of nodes are a task's work each, which hashes a node's pairs as one array.
+    """
     ids = spark.range(n) if extra is None else extra
+    if isinstance(chance, float):
+        least, span = math.ceil(chance * 4294967296.0), ids.agg(F.count("id").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+        if 0 < least < 1 << 32 and span.n and span.low >= 0 and 2 * len(str(span.high)) + 2 + len(str(salt).encode()) <= ONE_TURN:
+            return _hashed_pairs(ids, int(span.n), least, salt)
     a, b = ids.select(*[F.col(c).alias("u" if c == "id" else "u" + c) for c in ids.columns]), ids.select(*[F.col(c).alias("v" if c == "id" else "v" + c) for c in ids.columns])
     # one file of nodes would be one task's pairs; rows are dealt by a hash, so that tasks get small and large ids alike
     a = a.repartition(PAIR_TASKS, "u")
@@ -84,6 +93,42 @@ def pairwise(spark: SparkSession, n: int, chance, salt: int = 0, extra: DataFram
     return a.join(b, F.col("u") < F.col("v")).where(drawn).select(F.col("u").alias("src"), F.col("v").alias("dst"))
 
 
+def _hashed_pairs(ids: DataFrame, n: int, least: int, salt: int | str) -> DataFrame:
+    """(src, dst): pairs of ids whose hash is below least. A task gets a chunk of lesser ids and one of at most WIDTH greater ids."""
+    from graphloom.graph import numbered
+
+    high, wide = min(32_768, max(250, n // 48)), WIDTH
+    rows_of, columns = -(-n // high), -(-n // wide)
+
+    def rows(batches):
+        mine: dict[int, list] = {0: [], 1: []}
+        for batch in batches:
+            which, got = batch.column("end").to_numpy(), batch.column("id").to_numpy()
+            for c in mine:
+                mine[c].append(got[which == c])
+        u, v = (np.sort(np.concatenate(m)) if m else np.empty(0, np.int64) for m in mine.values())
+        if not len(u) or not len(v):
+            return
+        drawn, src, dst, held = PairsBelow(salt, least, v), [], [], 0
+        for x in u[u < v[-1]].tolist():
+            got = drawn.among(x, int(np.searchsorted(v, x, "right")))
+            src.append(np.full(len(got), x))
+            dst.append(got)
+            held += len(got)
+            if held > PIECE:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+                src, dst, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+
+    placed = cut(numbered(ids.select(F.col("id").cast("long").alias("id")), ["id"], "pos"))
+    # chunks whose lesser ids all come after the greater ones have no pairs
+    lesser = placed.withColumn("i", F.expr(f"pos div {high}")).select(F.lit(0).alias("end"), "id", "i", F.explode(F.sequence(F.expr(f"i * {high} div {wide}"), F.lit(columns - 1).cast("long"))).alias("j"))
+    greater = placed.withColumn("j", F.expr(f"pos div {wide}")).select(F.lit(1).alias("end"), "id", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"least({rows_of - 1}L, ((j + 1) * {wide} - 1) div {high})"))).alias("i"), "j")
+    dealt = lesser.unionByName(greater).select(F.expr(f"cast(i * {columns} + j as int)").alias("tile"), "end", "id")
+    return dealt.repartitionById(rows_of * columns, "tile").select("end", "id").mapInArrow(rows, "src long, dst long")
+
+
 def chung_lu(spark: SparkSession, weights: DataFrame, salt: int = 0) -> Graph:
     """Edges with chance w_u w_v / sum(w), from (id, wt): by doublings of weight, so that pairs of light nodes are skipped over, not tried.
 

@@ -248,3 +248,17 @@ def test_near_links_look_where_points_are_dense_and_equal_brute_force(spark, mon
     pairs = asks.join(points.groupBy("m", "cx", "cy", "z").count(), ["m", "cx", "cy", "z"]).groupBy().sum("count").first()[0]
     assert pairs < 200_000  # 700 points that are all within radius of one another make 490,000
     loop.close()
+
+
+def test_pairs_are_hashed_as_arrays_and_equal_the_plain_hash(spark, monkeypatch):
+    import hashlib
+
+    ids = sorted({*range(0, 130), *range(990, 1010), 99_999, 100_000, 10**12})
+    monkeypatch.setattr(generators, "WIDTH", 40)
+    frame = spark.createDataFrame([(i,) for i in ids], "id long")
+    for salt in (9, "salted"):
+        drawn = generators.pairwise(spark, 0, 0.3, salt, frame)
+        assert "Join" not in drawn._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+        got = [(r.src, r.dst) for r in drawn.collect()]
+        want = {(u, v) for u in ids for v in ids if u < v and int(hashlib.md5(f"{u}:{v}:{salt}".encode()).hexdigest()[:8], 16) < 0.3 * 2**32}
+        assert len(got) == len(want) and set(got) == want
