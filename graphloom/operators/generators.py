@@ -17,6 +17,8 @@ from graphloom.plans.fixpoint import Rounds, cut
 
 #: Drawn edges that a task holds at once, about.
 PIECE = 500_000
+#: Drawn edges of a task, about.
+DRAWN = 4_000_000
 #: Tasks that all pairs of nodes are dealt to.
 PAIR_TASKS = 192
 #: Pairs of a node that are hashed at once, at most.
@@ -48,11 +50,11 @@ def watts_strogatz(spark: SparkSession, n: int, k: int, p: float, salt: int = 0)
 def erdos_renyi(spark: SparkSession, n: int, p: float, salt: int = 0) -> Graph:
     """G(n, p) by geometric skips: each node draws its own gaps to the partners before it, so work follows the edges."""
 
-    def rows(it):
-        for pdf in it:
+    def rows(batches):
+        for batch in batches:
             src, dst, held = [], [], 0
-            for u in pdf["id"]:
-                rng = np.random.default_rng([salt, int(u)])
+            for u in batch.column(0).to_pylist():
+                rng = np.random.default_rng([salt, u])
                 if p >= 1:
                     got = np.arange(u)
                 elif p <= 0:
@@ -69,11 +71,35 @@ def erdos_renyi(spark: SparkSession, n: int, p: float, salt: int = 0) -> Graph:
                 dst.append(got)
                 held += len(got)
                 if held > PIECE:
-                    yield pd.DataFrame({"src": np.concatenate(dst), "dst": np.concatenate(src)}).astype("int64")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(dst)), pa.array(np.concatenate(src))], names=["src", "dst"])
                     src, dst, held = [], [], 0
-            yield pd.DataFrame({"src": np.concatenate(dst) if dst else [], "dst": np.concatenate(src) if src else []}).astype("int64")
-
-    return Graph.from_edges(spark.range(n).mapInPandas(rows, "src long, dst long"), _nodes(spark, n))
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(dst)), pa.array(np.concatenate(src))], names=["src", "dst"])
+
+    # later nodes have more partners before them, so nodes are dealt finely
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(max(0.0, min(1.0, p)) * n * n / 2 / DRAWN))
+    return Graph.from_edges(spark.range(0, n, 1, tasks).mapInArrow(rows, "src long, dst long"), _nodes(spark, n))
+
+
+def runs_by_end(batches):
+    """(dst, n, fell, wrong): for each run of rows (src, dst) of one dst their number, how often src does not rise, and how often it is not below dst."""
+    names, last = ["dst", "n", "fell", "wrong"], None
+    for batch in batches:
+        src, dst = (batch.column(i).to_numpy() for i in range(2))
+        if not len(dst):
+            continue
+        starts = np.r_[0, 1 + np.flatnonzero(np.diff(dst))]
+        stay = np.r_[False, (np.diff(dst) == 0) & (np.diff(src) <= 0)]
+        rows = [dst[starts], np.diff(np.r_[starts, len(dst)]), *(np.add.reduceat(x.astype(np.int64), starts) for x in (stay, src >= dst))]
+        if last is not None and last[0] == dst[0]:
+            for c, v in zip(rows[1:], (last[1], last[2] + (src[0] <= last[4]), last[3]), strict=True):
+                c[0] += v
+        elif last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in last[:4]], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1]) for c in rows], names=names)
+        last = (*(int(c[-1]) for c in rows), int(src[-1]))
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in last[:4]], names=names)
 
 
 def pairwise(spark: SparkSession, n: int, chance, salt: int = 0, extra: DataFrame | None = None) -> DataFrame:

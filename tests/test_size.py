@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphloom.functions.hashrand import uniform
@@ -262,3 +263,36 @@ def test_pairs_are_hashed_as_arrays_and_equal_the_plain_hash(spark, monkeypatch)
         got = [(r.src, r.dst) for r in drawn.collect()]
         want = {(u, v) for u in ids for v in ids if u < v and int(hashlib.md5(f"{u}:{v}:{salt}".encode()).hexdigest()[:8], 16) < 0.3 * 2**32}
         assert len(got) == len(want) and set(got) == want
+
+
+def test_gt_files_are_made_and_read_without_copying_them_for_each_node(spark, tmp_path):
+    import time
+
+    from graphloom.sources.readers import read_graph
+    from graphloom.sources.writers import graph_tool
+
+    for top, big in ((200, False), (60_000, True), (3_000_000, False)):
+        edges = {(0, top), (3, 5), (3, 4), (top - 1, top), (top, top)}
+        g = Graph.from_edges(spark.createDataFrame(sorted(edges), "src long, dst long"), spark.range(top + 1))
+        began = time.time()
+        graph_tool(g, f"{tmp_path}/{top}.gt", big)
+        got = read_graph(spark, f"{tmp_path}/{top}.gt", "gt")
+        assert sorted((r.src, r.dst) for r in got.edges.collect()) == sorted(edges) and got.nodes.count() == top + 1
+        assert time.time() - began < 120  # minutes a million nodes where each copied what came before
+
+
+def test_edges_drawn_node_by_node_are_checked_where_they_are(spark):
+    from graphloom.plans import catalog, more
+
+    assert catalog.QUERIES
+
+    def rows(edges):
+        made = spark.createDataFrame([(0,)], "z long").mapInArrow(lambda it, e=edges: pa.Table.from_arrays([pa.array(c) for c in zip(*e, strict=True)], names=["src", "dst"]).to_batches(2) if next(it, None) is not None else [], "src long, dst long")
+        return [tuple(r) for r in more._drawn_by_node(made, 5.0).collect()], "Exchange hashpartitioning(src" in more._drawn_by_node(made, 5.0)._jdf.queryExecution().toString()
+
+    assert rows([(0, 2), (1, 2), (0, 3), (1, 3), (2, 3)]) == ([(True, True, True)], False)
+    assert rows([(0, 2), (1, 2), (0, 3), (1, 3), (1, 3)])[0] == [(False, True, True)]
+    assert rows([(0, 2), (1, 3), (0, 2), (1, 4), (2, 4)])[0] == [(False, True, True)]
+    assert rows([(0, 2), (1, 3), (1, 2), (5, 4), (6, 4)])[0] == [(True, False, True)]
+    g = generators.erdos_renyi(spark, 300, 0.1, 1)
+    assert [tuple(r) for r in more._drawn_by_node(g.edges, 0.1 * 300 * 299 / 2).collect()] == [(True, True, True)]
